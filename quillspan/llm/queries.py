@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quillspan.llm import bpe, topk_search
+from quillspan.llm import bpe, simhash, topk_search, url_filter
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op8_token_counts": bpe.op8_token_counts,
     "op10_exact_topk": topk_search.op10_exact_topk,
 }
 
 ORACLES = {
+    "op5_url_filter": url_filter.ORACLE,
     "op10_exact_topk": topk_search.ORACLE,
 }
