@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillspan.llm import bpe, simhash, topk_search, url_filter
+from quillspan.llm import bpe, sharding, simhash, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_shard": sharding.op4_shard,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": bpe.op8_token_counts,
     "op10_exact_topk": topk_search.op10_exact_topk,
 }
