@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
@@ -25,7 +27,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Shuffle files of the written plan are of no use afterwards; Spark may drop them at once.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspan_path = path
     return out
@@ -56,7 +64,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = materialize(both, "cc")
     if state.isEmpty():
-        return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     signature = None
     for _ in range(max_rounds):
         sym = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -75,4 +84,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         signature = now
     else:
         raise RuntimeError("connected components did not converge")
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillspan.llm import bpe, sharding, simhash, topk_search, toxicity, url_filter
+from quillspan.llm import bpe, line_dedup, sharding, simhash, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_shard": sharding.op4_shard,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
