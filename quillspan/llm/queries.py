@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm import bpe, line_dedup, sharding, simhash, topk_search, toxicity, url_filter
+from quillspan.llm import bpe, decontaminate, line_dedup, sharding, simhash, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": bpe.op8_token_counts,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_topk": topk_search.op10_exact_topk,
 }
 
 ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_topk": topk_search.ORACLE,
 }
