@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.llm import bpe, decontaminate, line_dedup, sharding, simhash, topk_search, toxicity, url_filter
+from quillspan.llm import bpe, decontaminate, line_dedup, sharding, simhash, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_shard": sharding.op4_shard,
