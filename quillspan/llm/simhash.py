@@ -19,28 +19,22 @@ HALF = (1 << CODE_BITS) - 1
 SHINGLE_BLOCK = 1 << 16
 
 
-def fingerprints(text: bytes, width: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """One 64-bit SimHash per seed over the word shingles of a text.
+def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
+    """64-bit SimHash over the word shingles of a text.
 
     Words are separated by ASCII white space and lower-cased in A-Z; a text of fewer words
     than ``width`` is one shingle, one without words has fingerprint zero.
     """
     words = text.lower().split()
     if not words:
-        return [0] * len(seeds)
-    n = max(1, len(words) - width + 1)
-    starts = range(0, n, SHINGLE_BLOCK)
-    out = []
-    for seed in seeds:
-        ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-        for s in starts:
-            part = words[s : s + SHINGLE_BLOCK + width - 1]
-            rows = zip(*[part[i:] for i in range(width)], strict=False) if n > 1 or len(words) >= width else [part]
-            hashes = np.array([digest(b" ".join(r), seed) for r in rows], np.uint64)
-            ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        bits = (2 * ones > n).astype(np.uint8)
-        out.append(int(np.packbits(bits, bitorder="little").view("<u8")[0]))
-    return out
+        return 0
+    n, ones, digest = max(1, len(words) - width + 1), np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    for s in range(0, n, SHINGLE_BLOCK):
+        part = words[s : s + SHINGLE_BLOCK + width - 1]
+        rows = zip(*[part[i:] for i in range(width)], strict=False) if len(words) >= width else [part]
+        hashes = np.array([digest(b" ".join(r), seed) for r in rows], "<u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -94,96 +88,145 @@ def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray,
     return row, anchor, over[near] == 0
 
 
-def with_fingerprints(docs: DataFrame, *, width: int = 3, seeds: tuple[int, ...] = (42,), text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``key_cols`` and ``prints``, an array of one signed 64-bit fingerprint per seed.
+def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints differ in at most ``threshold`` bits.
 
-    Null texts count as empty. Runs inside the tasks, batch by batch, without a shuffle.
+    ``distinct``: long columns ``node`` and ``print``, each fingerprint once. Every
+    fingerprint goes to all anchors in reach and meets there those that are at home; they are
+    compared per anchor, inside the join.
     """
-    rows = docs.select(*key_cols, text_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in key_cols] + ["prints array<long>"])
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            prints = [np.array(fingerprints((t.as_py() or "").encode(), width, seeds), np.uint64).view(np.int64) for t in texts]
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in key_cols]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(prints, pa.list_(pa.int64()))], names=[*key_cols, "prints"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def _replicate(distinct: DataFrame, bands: int, threshold: int) -> DataFrame:
-    """node, band, anchor, home, prints: a row for each anchor in reach."""
 
     def run(batches):
         for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            prints = np.array(batch.column(1).to_pylist(), np.int64).reshape(len(nodes), -1)
-            for s in range(0, len(nodes), 2048):
-                for band in range(bands):
-                    row, anchor, home = anchors(prints[s : s + 2048, band].view(np.uint64), threshold)
-                    at = row + s
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * prints.shape[1] + 1, prints.shape[1]), pa.int32()), pa.array(prints[at].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(anchor * bands + band), pa.array(home), lists], names=["node", "anchor", "home", "prints"])
-
-    return distinct.select("node", "prints").mapInArrow(run, "node long, anchor long, home boolean, prints array<long>")
+            nodes, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for s in range(0, len(nodes), 4096):
+                row, anchor, home = anchors(prints[s : s + 4096].view(np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (nodes[row + s], anchor * 2 + home, prints[row + s])], names=["node", "anchor", "print"])
 
+    spread = distinct.select("node", "print").mapInArrow(run, "node long, anchor long, print long")
+    # The lowest bit of the anchor says whether it is the fingerprint's home.
+    home, probe = spread.where("anchor & 1 = 1").withColumn("anchor", F.expr("anchor >> 1")), spread.withColumn("anchor", F.expr("anchor >> 1"))
+    near = F.bit_count(F.expr("h.print ^ p.print")) <= threshold
+    return home.alias("h").join(probe.alias("p"), (F.col("h.anchor") == F.col("p.anchor")) & (F.col("h.node") != F.col("p.node")) & near).select(F.col("h.node").alias("a"), F.col("p.node").alias("b"))
 
-def links(distinct: DataFrame, *, bands: int = 1, threshold: int = 2, max_total: int | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints agree.
-
-    ``distinct``: ``node`` long and ``prints``, each combination once. Two nodes link when
-    in one of the first ``bands`` fingerprints they differ in at most ``threshold`` bits and
-    in all fingerprints together in at most ``max_total``. Every fingerprint meets the
-    others at the home anchor of either; fingerprints are compared at their anchor only.
-    """
-    spread = _replicate(distinct, bands, threshold)
-    size = len(distinct.select("prints").first().prints) if max_total is not None else 1
-    near = lambda i: F.bit_count(F.expr(f"h.prints[{i}] ^ p.prints[{i}]"))
-    if max_total is None:
-        close = near(0) <= threshold
-    else:
-        total = sum((near(i) for i in range(1, size)), near(0))
-        close = (total <= max_total) & (F.least(*[near(i) for i in range(bands)]) <= threshold if bands > 1 else near(0) <= threshold)
-    home, probe = spread.where("home").alias("h"), spread.alias("p")
-    return home.join(probe, (F.col("h.anchor") == F.col("p.anchor")) & (F.col("h.node") != F.col("p.node")) & close).select(F.col("h.node").alias("a"), F.col("p.node").alias("b"))
 
-
-def simhash_groups(docs: DataFrame, *, width: int = 3, seeds: tuple[int, ...] = (42,), bands: int = 1, threshold: int = 2, max_total: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, ``prints`` and ``component_id`` for every row of ``docs``.
+def simhash_groups(docs: DataFrame, *, width: int = 3, threshold: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``id_col``, ``print`` (signed long) and ``component_id`` for every row of ``docs``.
 
     Equal fingerprints are folded into one node (its smallest id) before anything is
     compared; nodes link as in :func:`links`; a component's id is the smallest id that can be
-    reached. Null ids stay rows of their own class by fingerprint, with a null component if
-    the class has no other id; repeated rows all come back; an empty table gives no rows.
+    reached. Null ids keep their row, with a null component if no id shares the fingerprint;
+    repeated rows all come back; an empty table gives no rows.
     """
-    prints = materialize(with_fingerprints(docs, width=width, seeds=seeds, text_col=text_col, key_cols=(id_col,)), "simhash")
-    folded = materialize(prints.groupBy("prints").agg(F.min(id_col).alias("node")), "simhash-nodes")
-    nodes = folded.where("node is not null")
-    if nodes.isEmpty():
-        return prints.withColumn("component_id", F.col(id_col))
-    found = connected_components(links(nodes, bands=bands, threshold=threshold, max_total=max_total))
-    classes = folded.join(found, "node", "left").select("prints", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "prints", "left")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            prints = np.array([fingerprint((t.as_py() or "").encode(), width) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=[id_col, "print"])
+
+    kind = rows.schema[0].dataType.simpleString()
+    prints = materialize(rows.mapInArrow(run, f"`{id_col}` {kind}, print long"), "simhash")
+    folded = materialize(prints.groupBy("print").agg(F.min(id_col).cast("long").alias("node")), "simhash-nodes")
+    found = connected_components(links(folded.where("node is not null"), threshold))
+    classes = folded.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes, "print", "left").select(id_col, "print", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """3-word SimHash classes of all documents at two differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    groups = simhash_groups(docs)
-    return groups.select("doc_id", F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, bands: int = 6, threshold: int = 2) -> DataFrame:
-    """Keep the document of smallest id of every near-duplicate group.
+#: 64-bit words of the wide fingerprint, and the 23-bit blocks that fit in them.
+WIDE, BANDS = 4, 11
+#: Odd multipliers that derive independent hashes from one.
+SPREAD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3]
 
-    Each document gets ``bands`` independent fingerprints of its ``width``-word shingles.
-    Candidates agree within ``threshold`` bits in one of them; they are accepted if the bits
-    that differ in all of them together estimate a shingle similarity of ``similarity`` or
-    more. Rows that repeat an id are all kept or all removed; rows without id are kept.
+
+def wide_fingerprint(text: bytes, width: int) -> list[int]:
+    """WIDE words of SimHash bits, then the smallest derived hash of each of BANDS, as signed longs."""
+    words = text.lower().split()
+    if not words:
+        return [0] * (WIDE + BANDS)
+    n, digest = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
+    ones, low = np.zeros((WIDE, 64), np.int64), np.full(BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, n, SHINGLE_BLOCK):
+        part = words[s : s + SHINGLE_BLOCK + width - 1]
+        rows = zip(*[part[i:] for i in range(width)], strict=False) if len(words) >= width else [part]
+        hashes = np.array([digest(b" ".join(r), 42) for r in rows], np.uint64)
+        for k, m in enumerate(SPREAD):
+            mixed = hashes * np.uint64(m)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(SPREAD[0])
+            mixed ^= mixed >> np.uint64(29)
+            low[k] = min(low[k], mixed.min())
+            if k < WIDE:
+                ones[k] += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    prints = np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    return np.concatenate([prints, low]).view(np.int64).tolist()
+
+
+def _anchor_rows(threshold: int):
+    """Arrow function (node, wide) -> (bucket, node) for every anchor in reach in every block."""
+
+    def run(batches):
+        patterns, _, start = cosets(threshold)
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            wide = np.array(batch.column(1).to_pylist(), np.int64).reshape(len(nodes), WIDE + BANDS).view(np.uint64)
+            bits = np.unpackbits(np.ascontiguousarray(wide[:, :WIDE]).view(np.uint8), axis=1, bitorder="little")
+            for band in range(BANDS):
+                word = bits[:, band * CODE_BITS : (band + 1) * CODE_BITS] @ (1 << np.arange(CODE_BITS))
+                word = word.astype(np.uint32)
+                coset = _syndrome(word)
+                count = start[coset + 1] - start[coset]
+                row = np.repeat(np.arange(len(nodes)), count)
+                at = start[coset][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                anchor = (word[row] ^ patterns[at]).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    bucket = ((wide[row, WIDE + band] ^ anchor) * np.uint64(SPREAD[0]) ^ np.uint64(band)) * np.uint64(SPREAD[1])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(nodes[row])], names=["bucket", "node"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, threshold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``component_id`` of every row: classes of estimated shingle similarity.
+
+    A wide SimHash of ``width``-word shingles is cut into 23-bit blocks. Each block's anchors
+    are the words of the perfect code; a fingerprint goes to every anchor within the covering
+    radius plus ``threshold``, and anchors are told apart by the block's min-hash too, so that
+    they gather similar texts only, however many texts there are. At an anchor every
+    fingerprint is compared with the smallest id there; the pair is accepted if the bits that
+    differ over the whole width estimate ``similarity`` or more. Recall is measured in the
+    tests; every accepted pair is within the estimate. Equal fingerprints are one node.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+
+    def run(batches):
+        for batch in batches:
+            wide = [wide_fingerprint((t.as_py() or "").encode(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.list_(pa.int64()))], names=["id", "wide"])
+
+    prints = materialize(rows.mapInArrow(run, "id long, wide array<long>"), "wide")
+    nodes = materialize(prints.groupBy("wide").agg(F.min("id").alias("node")), "wide-nodes")
+    spread = nodes.select("node", "wide").mapInArrow(_anchor_rows(threshold), "bucket long, node long")
+    lead = spread.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
+    pairs = spread.join(lead, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    limit = int(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    x, y = nodes.select(F.col("node").alias("a"), F.col("wide").alias("wa")), nodes.select(F.col("node").alias("b"), F.col("wide").alias("wb"))
+    apart = sum((F.bit_count(F.expr(f"wa[{i}] ^ wb[{i}]")) for i in range(1, WIDE)), F.bit_count(F.expr("wa[0] ^ wb[0]")))
+    found = pairs.join(x, "a").join(y, "b").where(apart <= limit).select("a", "b")
+    classes = nodes.join(connected_components(found), "node", "left").select("wide", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes, "wide").select(F.col("id").alias(id_col), "component_id")
+
+
+def near_duplicates_removed(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Keep the document of smallest id of every class of :func:`similar_groups`.
+
+    Rows that repeat an id stand or fall together; rows without id are kept.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    limit = int(64 * bands * np.arccos(cosine) / np.pi)
-    groups = simhash_groups(docs, width=width, seeds=tuple(42 + i for i in range(bands)), bands=bands, threshold=threshold, max_total=limit)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = similar_groups(docs, width=width, similarity=similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
