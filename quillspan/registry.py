@@ -20,3 +20,14 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"quillspan.plans.{name}")
+
+
+MODULES = ("retrieval", "graph")
