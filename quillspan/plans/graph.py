@@ -88,11 +88,11 @@ def adjacency(spark, sf_dir):
     return G.undirected(strong(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("degree"), F.min("other").alias("first"), F.max("other").alias("last"))
 
 
-@query("concept_search", "SELECT p_partkey AS concept_id, p_name AS label FROM part WHERE contains(lower(p_name), lower('Green')) OR contains(lower(p_name), lower('7'))")
+@query("concept_search", "SELECT p_partkey AS concept_id, p_name AS label FROM part WHERE contains(lower(p_name), lower('Widget')) OR contains(lower(p_name), lower('7'))")
 def concept_search(spark, sf_dir):
     """Concepts whose label holds a needle in any case."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("label"))
-    return p.where(G.matches(F.col("label"), "Green") | G.matches(F.col("label"), "7"))
+    return p.where(G.matches(F.col("label"), "Widget") | G.matches(F.col("label"), "7"))
 
 
 @query("concept_by_name", "SELECT p_partkey AS concept_id, trim(regexp_replace(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g'), '\\s+', ' ', 'g')) AS canonical FROM part")

@@ -30,4 +30,4 @@ def load() -> None:
         import_module(f"quillspan.plans.{name}")
 
 
-MODULES = ("retrieval", "graph")
+MODULES = ("retrieval", "graph", "chunking", "catalog")
