@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -23,6 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables of this session that still exist.
+_MADE: set[str] = set()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
@@ -36,20 +40,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspan_path = path
+    _MADE.add(path)
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _MADE.discard(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._quillspan_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(df.sparkSession, df._quillspan_path)
 
 
-def row_key(*cols: str) -> Column:
-    """64-bit identity of a row from its columns; repeated rows share it."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that :func:`materialize` has left; call it once results are written."""
+    for name in list(_MADE):
+        _delete(spark, name)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

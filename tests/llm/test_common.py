@@ -21,3 +21,16 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tables_are_shared_and_can_be_cleaned_up(spark):
+    from pathlib import Path
+
+    from quillspan.llm import common
+
+    made = common.materialize(spark.range(5), "probe")
+    folder = Path(made._quillspan_path.removeprefix("file://"))
+    assert made.count() == 5 and folder.exists()
+    assert made._quillspan_path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    common.cleanup(spark)
+    assert not folder.exists()
