@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -30,7 +31,9 @@ class Vocabulary(dict):
         self.words = words
 
     def __missing__(self, token: str) -> int:
-        found = self.words.get(token.lower().strip(STRIP) or token, 0)
+        found = self.words.get(token)
+        if found is None:
+            found = self.words.get(token.lower().strip(STRIP) or token, 0)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[token] = found
@@ -70,7 +73,7 @@ class ItemIndex:
         self.steps = max([int(1.5 * c["shortest"]) for c in self.classes], default=0)
         self.walks = []
         for _ in range(repeats):
-            coins = rng.integers(0, 2, (self.steps, COINS), dtype=np.uint8)
+            coins = rng.integers(0, 2, (self.steps, COINS)).astype(np.intp)
             mults = rng.integers(1, 1 << 62, samples, dtype=np.uint64) | np.uint64(1)
             places = [np.sort(rng.choice(int(1.5 * c["shortest"]), samples, replace=False)) for c in self.classes]
             tables = []
@@ -89,14 +92,18 @@ class ItemIndex:
         with np.errstate(over="ignore"):
             return sum((out[j][0].astype(np.uint64) * m for j, m in zip(at.tolist(), mults, strict=True)), np.uint64(0))
 
-    def _emit(self, coins, seq, starts, wanted: set[int]) -> dict[int, np.ndarray]:
-        """Words emitted at the wanted steps of the walks from every start."""
-        at, out = starts.copy(), {}
-        for j in range(max(wanted) + 1):
-            word = seq[at]
+    def _emit(self, coins, seq, starts, wanted: set[int], active: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        """Words emitted at the wanted steps of the walks from every start.
+
+        ``active``: how many of the starts, from the first, still matter at each step.
+        """
+        at, out, low = starts.astype(np.intp), {}, (seq & (COINS - 1)).astype(np.intp)
+        for j in range(max(wanted, default=-1) + 1):
+            if active is not None:
+                at = at[: active[j]]
             if j in wanted:
-                out[j] = word
-            at += coins[j][word & (COINS - 1)]
+                out[j] = seq.take(at, mode="clip")
+            at = at + coins[j].take(low.take(at, mode="clip"), mode="clip")
         return out
 
     def candidates(self, seq: np.ndarray) -> set[tuple[int, int]]:
@@ -111,15 +118,21 @@ class ItemIndex:
         for c in self.classes:
             w = c["shortest"] - c["edits"]
             masks.append((known[w : w + n] - known[:n] >= w - c["edits"]) & (seq[:n] != DOC_END))
-        live = np.logical_or.reduce(masks)
-        starts = np.flatnonzero(live)
+        starts = np.flatnonzero(np.logical_or.reduce(masks))
         if not len(starts):
             return set()
+        # Walks that only short items need end early; the longest come first.
+        need = np.zeros(len(starts), np.int64)
+        for c, m in zip(self.classes, masks, strict=True):
+            need[m[starts]] = int(1.5 * c["shortest"])  # classes ascend
+        order = np.argsort(-need, kind="stable")
+        starts, need = starts[order], need[order]
+        active = len(need) - np.searchsorted(need[::-1], np.arange(self.steps), "right")
         inside = [np.flatnonzero(m[starts]) for m in masks]
         found: set[tuple[int, int]] = set()
         for coins, mults, places, tables in self.walks:
             wanted = {int(j) for at, s in zip(places, inside, strict=True) if len(s) for j in at}
-            out = self._emit(coins, seq, starts, wanted)
+            out = self._emit(coins, seq, starts, wanted, active)
             for at, table, s in zip(places, tables, inside, strict=True):
                 if not len(s):
                     continue
@@ -145,6 +158,14 @@ class ItemIndex:
         return int(ends[e]), a + e - int(np.argmin(back)), a + e
 
 
+@lru_cache(maxsize=2)
+def item_index(items: tuple, share: float, repeats: int, samples: int, min_words: int) -> ItemIndex:
+    """The index of a block of items, built once in each worker."""
+    index = ItemIndex(list(items), share, repeats, samples, min_words)
+    index.vocabulary = Vocabulary(index.words)
+    return index
+
+
 def infix_distances(q: np.ndarray, text: np.ndarray, anchored: bool = False) -> np.ndarray:
     """Edit distance of q to the best stretch of text that ends at each place.
 
@@ -220,11 +241,10 @@ def contaminated(
     out = None
     for p in range(passes):
         block = listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).collect()
-        shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in sorted(block, key=lambda r: (str(r["i"]), r["t"]))])
+        shared = spark.sparkContext.broadcast(tuple((r["i"], r["t"]) for r in sorted(block, key=lambda r: (str(r["i"]), r["t"]))))
 
         def run(batches, shared=shared):
-            index = ItemIndex(shared.value, max_edit_share, repeats, samples, min_words)
-            index.vocabulary = Vocabulary(index.words)
+            index = item_index(shared.value, max_edit_share, repeats, samples, min_words)
             if not index.items:
                 return
             for batch in batches:
