@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by anchor-point covering with a product of two Golay codes."""
+"""SimHash near-duplicates by anchor-point covering with a product of two Golay codes; exact shingle-set near-duplicates."""
 
 from __future__ import annotations
 
@@ -139,88 +139,143 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of the wide fingerprint, and the 23-bit blocks that fit in them.
-WIDE, BANDS = 4, 11
-#: Odd multipliers that derive independent hashes from one.
-SPREAD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3]
+#: Odd multipliers of the mixing steps.
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Counters of the sketch that orders shingles by how common they are.
+SKETCH = 1 << 20
 
 
-def wide_fingerprint(text: bytes, width: int) -> list[int]:
-    """WIDE words of SimHash bits, then the smallest derived hash of each of BANDS, as signed longs."""
-    words = text.lower().split()
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, words as in :func:`fingerprint`."""
+    words = text.encode().lower().split()
     if not words:
-        return [0] * (WIDE + BANDS)
-    n, digest = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
-    ones, low = np.zeros((WIDE, 64), np.int64), np.full(BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, n, SHINGLE_BLOCK):
-        part = words[s : s + SHINGLE_BLOCK + width - 1]
-        rows = zip(*[part[i:] for i in range(width)], strict=False) if len(words) >= width else [part]
-        hashes = np.array([digest(b" ".join(r), 42) for r in rows], np.uint64)
-        for k, m in enumerate(SPREAD):
-            mixed = hashes * np.uint64(m)
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= np.uint64(SPREAD[0])
-            mixed ^= mixed >> np.uint64(29)
-            low[k] = min(low[k], mixed.min())
-            if k < WIDE:
-                ones[k] += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    prints = np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
-    return np.concatenate([prints, low]).view(np.int64).tolist()
-
-
-def _anchor_rows(threshold: int):
-    """Arrow function (node, wide) -> (bucket, node) for every anchor in reach in every block."""
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = out * M2 + each[i : i + n]
+        out = (out ^ (out >> np.uint64(31))) * M1
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _sketch_rows(width: int):
+    """Arrow function (text) -> (slot, n): how many shingles each counter of the sketch has seen."""
+
+    def run(batches):
+        seen = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                np.add.at(seen, (shingle_set(value.as_py() or "", width) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+        slot = np.flatnonzero(seen)
+        for s in range(0, len(slot), 1 << 16):
+            part = slot[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], names=["slot", "n"])
+
+    return run
+
+
+def _prefix_rows(width: int, similarity: float, common):
+    """Arrow function (id, text) -> id, 128-bit hash of the shingle set, its size and its rarest shingles in order.
+
+    A set of n shares at least similarity * n shingles with any set as similar, so the first
+    shingle that both have, in one order for all sets, is among the n - ceil(similarity * n) + 1
+    that come first.
+    """
 
     def run(batches):
-        patterns, _, start = cosets(threshold)
+        counts = common.value
         for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            wide = np.array(batch.column(1).to_pylist(), np.int64).reshape(len(nodes), WIDE + BANDS).view(np.uint64)
-            bits = np.unpackbits(np.ascontiguousarray(wide[:, :WIDE]).view(np.uint8), axis=1, bitorder="little")
-            for band in range(BANDS):
-                word = bits[:, band * CODE_BITS : (band + 1) * CODE_BITS] @ (1 << np.arange(CODE_BITS))
-                word = word.astype(np.uint32)
-                coset = _syndrome(word)
-                count = start[coset + 1] - start[coset]
-                row = np.repeat(np.arange(len(nodes)), count)
-                at = start[coset][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                anchor = (word[row] ^ patterns[at]).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    bucket = ((wide[row, WIDE + band] ^ anchor) * np.uint64(SPREAD[0]) ^ np.uint64(band)) * np.uint64(SPREAD[1])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(nodes[row])], names=["bucket", "node"])
+            first, second, sizes, prefixes = [], [], [], []
+            for value in batch.column(1):
+                hashes = shingle_set(value.as_py() or "", width)
+                n, whole = len(hashes), xxhash.xxh3_128_intdigest(hashes.tobytes())
+                order = np.lexsort((hashes, counts[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                first.append(whole >> 64)
+                second.append(whole & (1 << 64) - 1)
+                sizes.append(n)
+                prefixes.append(hashes[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64))
+            cols = [batch.column(0), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (first, second)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "n", "prefix"])
 
     return run
 
 
-def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, threshold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``component_id`` of every row: classes of estimated shingle similarity.
+def _meet(x: DataFrame, y: DataFrame, similarity: float, also=None) -> DataFrame:
+    """Pairs (a, b) of nodes of two tables of prefix rows that share a shingle and may be similar.
 
-    A wide SimHash of ``width``-word shingles is cut into 23-bit blocks. Each block's anchors
-    are the words of the perfect code; a fingerprint goes to every anchor within the covering
-    radius plus ``threshold``, and anchors are told apart by the block's min-hash too, so that
-    they gather similar texts only, however many texts there are. At an anchor every
-    fingerprint is compared with the smallest id there; the pair is accepted if the bits that
-    differ over the whole width estimate ``similarity`` or more. Recall is measured in the
-    tests; every accepted pair is within the estimate. Equal fingerprints are one node.
+    Behind the first shingle that two sets share there must be enough left of both.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    need = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") != F.col("y.node"))
+    met &= F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
+    return x.alias("x").join(y.alias("y"), met if also is None else met & also).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+
+
+def _similar_pairs(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have an exact shingle Jaccard of ``similarity`` or more."""
 
     def run(batches):
         for batch in batches:
-            wide = [wide_fingerprint((t.as_py() or "").encode(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.list_(pa.int64()))], names=["id", "wide"])
-
-    prints = materialize(rows.mapInArrow(run, "id long, wide array<long>"), "wide")
-    nodes = materialize(prints.groupBy("wide").agg(F.min("id").alias("node")), "wide-nodes")
-    spread = nodes.select("node", "wide").mapInArrow(_anchor_rows(threshold), "bucket long, node long")
-    lead = spread.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
-    pairs = spread.join(lead, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    limit = int(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    x, y = nodes.select(F.col("node").alias("a"), F.col("wide").alias("wa")), nodes.select(F.col("node").alias("b"), F.col("wide").alias("wb"))
-    apart = sum((F.bit_count(F.expr(f"wa[{i}] ^ wb[{i}]")) for i in range(1, WIDE)), F.bit_count(F.expr("wa[0] ^ wb[0]")))
-    found = pairs.join(x, "a").join(y, "b").where(apart <= limit).select("a", "b")
-    classes = nodes.join(connected_components(found), "node", "left").select("wide", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "wide").select(F.col("id").alias(id_col), "component_id")
+            last, other, kept = None, None, []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                if (right := y.as_py()) != last:
+                    last, other = right, shingle_set(right, width)
+                own = shingle_set(x.as_py(), width)
+                if similarity * max(len(own), len(other)) - 1e-9 > min(len(own), len(other)):
+                    continue
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both >= similarity * (len(own) + len(other) - both) - 1e-9:
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+    pairs = materialize(pairs.distinct(), "pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = materialize(rows.join(involved, "id", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "pair-texts")
+    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    found = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return materialize(found, "similar")
+
+
+def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``component_id`` of every row: classes of shingle Jaccard ``similarity`` or more.
+
+    Exact: texts of equal shingle sets are one node, and nodes link if the sets of their
+    ``width``-word shingles have that Jaccard similarity. Shingles are ordered from rare to
+    common by a sketch of fixed size (any order is right, this one is fast), and every node
+    goes to the first of its shingles, one of which any two similar nodes share. There nodes
+    meet three leaders first; then all others that meet and are not yet in one class are
+    compared, so that large groups of copies do not all meet each other. Pairs are screened
+    in the join by size and place and confirmed on their texts.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    spark = docs.sparkSession
+    seen = rows.select("text").mapInArrow(_sketch_rows(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SKETCH, np.int64)
+    counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
+    common = spark.sparkContext.broadcast(counts)
+    prints = materialize(rows.mapInArrow(_prefix_rows(width, similarity, common), "id long, k1 long, k2 long, n int, prefix array<long>"), "prefixes")
+    nodes = materialize(prints.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefix-nodes")
+    spread = nodes.where("n > 0").select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    # A shared shingle counts if it is early enough in the smaller set of some pair.
+    early = F.col("n") - F.col("pos") >= F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6
+    lead = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("mid"), F.max(early).alias("any")]
+    alive = materialize(spread.join(spread.groupBy("shingle").agg(*lead).where("lo < hi and any").drop("any"), "shingle"), "meetings")
+    leaders = alive.where("node in (lo, hi, mid)")
+    near = _similar_pairs(_meet(leaders, alive, similarity), rows, width, similarity)
+    placed = alive.drop("lo", "hi", "mid").join(connected_components(near), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    placed = materialize(placed, "meeting-classes")
+    # Pairs of different classes have one outside the largest class that meets at the shingle.
+    main = placed.groupBy("shingle", "class").count().groupBy("shingle").agg(F.max_by("class", "count").alias("main"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    open_ = materialize(placed.join(main.where("lo < hi").select("shingle", "main"), "shingle"), "open-meetings")
+    own, minor = open_.where(early), open_.where("class <> main")
+    apart = (F.col("x.class") != F.col("y.class")) & (F.col("x.n") <= F.col("y.n"))
+    rest = _meet(own.where("class <> main"), open_, similarity, apart).unionByName(_meet(own.where("class = main"), minor, similarity, apart))
+    found = near.unionByName(_similar_pairs(rest, rows, width, similarity))
+    classes = nodes.join(connected_components(found), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -81,3 +81,30 @@ def test_near_duplicate_recall(spark):
     assert all(c // 2 == i // 2 for i, c in groups.items())
     kept = {r.doc_id for r in S.near_duplicates_removed(docs).collect()}
     assert all(2 * n in kept for n in range(200))
+
+
+def jaccard_classes(rows, limit=0.8):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_near_copies_inside_a_template_family(spark):
+    rnd = random.Random(6)
+    form = [f"t{i}" for i in range(240)]
+    # Each form fills the same template with its own words; the smallest id is like none of them.
+    rows = [(0, " ".join(form + [f"q{i}" for i in range(90)]))]
+    for i in range(60):
+        own = [f"x{i}.{k}" for k in range(60)]
+        rows.append((2 * i + 1, " ".join(form + own)))
+        own[rnd.randrange(60)] = "changed"
+        rows.append((2 * i + 2, " ".join(form + own)))
+    want = jaccard_classes(rows)
+    assert len(set(want.values())) == 61
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
