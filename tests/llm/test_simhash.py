@@ -108,3 +108,22 @@ def test_near_copies_inside_a_template_family(spark):
     assert len(set(want.values())) == 61
     got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_recall_and_false_drops_around_the_limit(spark):
+    rnd = random.Random(8)
+    rows, pairs = [(-1, ""), (-2, " \t"), (-3, "two words"), (-4, "two  WORDS".lower()), (-5, "two words more")], []
+    for n in range(300):
+        words = [f"w{n}.{k}" for k in range(rnd.randint(60, 300))]
+        other = words[:]
+        # An edited word changes five shingles: similarity of about 0.70 to 0.90.
+        for k in rnd.sample(range(len(words)), max(1, int(len(words) * rnd.uniform(0.011, 0.037)))):
+            other[k] = f"z{n}.{k}"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other))
+        pairs.append(len(a & b) / len(a | b))
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    assert sum(0.7 < p < 0.8 for p in pairs) > 50 and sum(0.8 <= p < 0.9 for p in pairs) > 50
+    groups = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, p in enumerate(pairs):
+        assert (groups[2 * n + 1] == 2 * n) == (p >= 0.8), p
+    assert [groups[i] for i in (-1, -2, -3, -4, -5)] == [-2, -2, -4, -4, -5]
