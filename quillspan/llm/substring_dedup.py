@@ -149,8 +149,10 @@ def repeated_windows(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [hit[s : s + max(0, n - size + 1)] for s, n in zip(starts, lengths, strict=True)]
 
 
-#: Offsets that a piece's windows span before a group is divided, and bytes sorted at once.
+#: Offsets that a piece's windows span, bytes sorted at once, and bytes of a group beyond which its windows are counted instead.
 SPAN, SORT_BYTES, GROUP_BYTES = 64, 1 << 18, 1 << 23
+#: Bytes that a held piece takes beside its text.
+PIECE_OVERHEAD = 256
 
 
 def _core_key(h: int, offset: int, core: bytes) -> int:
@@ -299,6 +301,37 @@ def _sort_rows(size: int):
     return run
 
 
+def _window_rows(size: int):
+    """Arrow function (key, begin, single, bytes) -> (w1, w2, key, begin, single) for every window of the pieces.
+
+    (w1, w2) is the 128-bit hash of the window's bytes.
+    """
+
+    def run(batches):
+        names = ["w1", "w2", "key", "begin", "single"]
+        for batch in batches:
+            for key, begin, single, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                n = len(value) - size + 1
+                digests = b"".join(hashlib.blake2b(value[i : i + size], digest_size=16).digest() for i in range(n))
+                w = np.frombuffer(digests, "<i8").reshape(n, 2)
+                cols = [w[:, 0].copy(), w[:, 1].copy(), np.full(n, key), np.arange(begin, begin + n, dtype=np.int32), np.full(n, single)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    return run
+
+
+def _counted_hits(pieces: DataFrame, size: int) -> DataFrame:
+    """(key, begin, end) of repeated windows of pieces whose groups are too large for one task.
+
+    Every window is dealt by its own hash; equal ones are counted, never gathered.
+    """
+    windows = pieces.select("key", "begin", "single", "bytes").mapInArrow(_window_rows(size), "w1 long, w2 long, key long, begin int, single boolean")
+    windows = materialize(windows, "windows")
+    several = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+    hits = windows.where("single").join(several, ["w1", "w2"], "left_semi")
+    return hits.select("key", "begin", (F.col("begin") + size).alias("end"))
+
+
 def _kept_rows(size: int):
     """Arrow function (row, text, runs) -> counts, spans and what stays."""
 
@@ -335,7 +368,8 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 200, id_col: str = "doc_
     occur once, and segments that are equal throughout, are settled by their hashes alone;
     one representative of every other segment is cut into pieces, which meet those that share
     their core bytes, and there the pieces' suffixes are sorted in two stages and windows
-    whose neighbours share ``min_bytes`` are marked. Null texts count as empty; rows that
+    whose neighbours share ``min_bytes`` are marked. Groups of more than GROUP_BYTES are never
+    gathered: their windows are dealt and counted by 128-bit hash. Null texts count as empty; rows that
     repeat id and text are copies of each other; texts under ``min_bytes`` lose nothing.
     """
     size = min_bytes
@@ -349,8 +383,16 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 200, id_col: str = "doc_
     reps = materialize(reps.select("h", "s", "c", "r.*"), "representatives")
     by_doc = reps.groupBy("key").agg(F.collect_list(F.struct("j0", "n", "d", "h", "c")).alias("reps"))
     pieces = texts.join(by_doc, "key").select("key", "text", "reps").mapInArrow(_cut_rows(size), "group long, key long, begin int, offset int, h long, single boolean, bytes binary")
+    pieces = materialize(pieces, "pieces")
+    weight = F.sum(F.length("bytes") + PIECE_OVERHEAD)
+    heavy = materialize(pieces.groupBy("group").agg(weight.alias("weight")).where(F.col("weight") > GROUP_BYTES).select("group"), "heavy")
+    counted = None
+    if not heavy.isEmpty():
+        # Broadcast: there is at most one heavy group to GROUP_BYTES of pieces.
+        counted = _counted_hits(pieces.join(F.broadcast(heavy), "group", "left_semi"), size)
+        pieces = pieces.join(F.broadcast(heavy), "group", "left_anti").select(pieces.columns)
     partial = pieces.repartition("group").sortWithinPartitions("group").mapInArrow(_sort_rows(size), "key long, begin int, end int")
-    partial = materialize(partial, "partial")
+    partial = materialize(partial if counted is None else partial.unionByName(counted), "partial")
     run = lambda df: df.select("key", F.col("j0").alias("begin"), (F.col("j0") + F.col("n") + (size - 1)).alias("end"))
     copies = shared.where("mixed").join(reps.where("c > 1").select("h", "s"), ["h", "s"])
     runs = run(shared.where("not mixed")).unionByName(run(copies)).unionByName(partial)

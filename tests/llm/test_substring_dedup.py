@@ -92,3 +92,34 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "z" * 10 + long, "k"), (2, "short", None), (2, "short", None), (3, long[500_000:500_300], "k")]
     out = {r.doc_id: r.n_removed for r in S.remove_repeats(spark.createDataFrame(rows, schema)).collect()}
     assert out == {1: 300, 2: 0, 3: 300}
+
+
+def test_no_task_gathers_a_heavy_group(spark, monkeypatch):
+    # Every document holds one passage between texts of its own, so edge pieces share a group.
+    rnd = random.Random(12)
+    common = "".join(rnd.choice("abcdefghij ") for _ in range(300))
+    docs = [(i, "".join(rnd.choices("klmnop", k=rnd.randint(210, 260))) + common[: rnd.randint(240, 300)] + "".join(rnd.choices("qrstuv", k=230))) for i in range(60)]
+    docs += [(100 + i, docs[i][1]) for i in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 200)
+    assert run(frame, 200) == want
+    labels = []
+    sort_rows, limit = S._sort_rows, 5000
+
+    def spied(size):
+        def rows(batches):
+            groups = collections.Counter()
+            for batch in batches:
+                for g, piece in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                    groups[g] += len(piece)
+                assert max(groups.values(), default=0) <= limit
+                yield batch
+
+        return lambda batches: sort_rows(size)(rows(batches))
+
+    monkeypatch.setattr(S, "GROUP_BYTES", limit)
+    monkeypatch.setattr(S, "_sort_rows", spied)
+    counted = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, label: labels.append(label) or counted(df, label))
+    assert run(frame, 200) == want
+    assert "windows" in labels
