@@ -235,8 +235,10 @@ def _similar_pairs(pairs: DataFrame, rows: DataFrame, width: int, similarity: fl
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = materialize(rows.join(involved, "id", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "pair-texts")
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-    return materialize(found, "similar")
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+    # Dealt anew by pair, with a fixed number of tasks: a node of many pairs is no task of its own.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(met.repartition(tasks, "a", "b").mapInArrow(run, "a long, b long"), "similar")
 
 
 def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
