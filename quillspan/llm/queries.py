@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
-    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_topk": topk_search.ORACLE,
 }

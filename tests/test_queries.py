@@ -43,3 +43,9 @@ def test_query_equals_its_oracle(spark, sf, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_oracle_is_sql_that_runs(duck):
+    for name, sql in entry.oracle_sql().items():
+        assert isinstance(sql, str), name
+        duck.sql(sql).fetchall()
