@@ -25,6 +25,8 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N
 
 #: Entries that a worker's cache of split results holds before it is emptied.
 CACHE_ENTRIES = 700_000
+#: Longest piece, in characters, that a cache takes up.
+CACHE_CHARS = 64
 
 
 def vocabulary_path(name: str) -> str:
@@ -52,8 +54,8 @@ def splitter(specials) -> re.Pattern | None:
 class ByteBpe:
     """Exact byte-level BPE in linear time, from a vocabulary file in JSON form.
 
-    Encoding walks the text with the longest vocabulary entry at each place (a prefix lookup
-    in an Aho-Corasick automaton) and backs off to shorter entries whenever two neighbours
+    One scan of an Aho-Corasick automaton gives the longest vocabulary entry at each place;
+    encoding walks along these and backs off to shorter entries whenever two neighbours
     could not both survive the merges; that pair test is answered from a table that fills as
     pairs occur. Decoding copies byte ranges named by an offset table.
     """
@@ -93,16 +95,15 @@ class ByteBpe:
         self.pool = np.frombuffer(b"".join(raw), np.uint8)
         self.pattern, self.cut = regex.compile(BYTE_PATTERN), splitter(self.special)
         self.sizes, self.numerals = lengths.tolist(), [str(i) for i in range(size)]
-        self.best: dict[str, int] = {}
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _longest(self, text: str) -> int:
-        """Longest entry that begins ``text``."""
-        path = text[: self.automaton.longest_prefix(text)]
-        found = self.best.get(path)
-        if found is None:
-            found = self.best[path] = next(self.ids[path[:n]] for n in range(len(path), 0, -1) if path[:n] in self.ids)
+    def _longest(self, text: str) -> list[int]:
+        """Longest entry that begins at every place of ``text``, by one scan of the automaton."""
+        found, lengths = [-1] * len(text), self.sizes
+        # Matches come by ascending end, so the last one with a given start is the longest.
+        for end, token in self.automaton.iter(text):
+            found[end + 1 - lengths[token]] = token
         return found
 
     def _prefix(self, token: int) -> int:
@@ -137,6 +138,8 @@ class ByteBpe:
                     a, limit = self.right[a], ra
                 else:
                     b, limit = self.left[b], rb + 1
+            if len(self.compatible) >= CACHE_ENTRIES:
+                self.compatible.clear()
             self.compatible[key] = found
         return found
 
@@ -146,9 +149,9 @@ class ByteBpe:
         whole = self.ids.get(text)
         if whole is not None:
             return [whole]
-        longest, compatible, fits, lengths = self._longest, self.compatible.get, self._fits, self.sizes
+        longest, compatible, fits, lengths = self._longest(text), self.compatible.get, self._fits, self.sizes
         dead, out, at = set(), [], 0
-        token = longest(text)
+        token = longest[0]
         while at < n:
             last = out[-1] if out else -1
             # Give up the token for its shorter prefixes until it fits behind the last one.
@@ -161,7 +164,7 @@ class ByteBpe:
                 out.append(token)
                 at = end
                 if at < n:
-                    token = longest(text[at:])
+                    token = longest[at]
             else:
                 # Nothing fits here: this place is closed, and the last token is shortened.
                 dead.add(at)
@@ -175,16 +178,18 @@ class ByteBpe:
         for piece in self.pattern.findall(text):
             found = get(piece)
             if found is None:
-                if len(self.pieces) >= CACHE_ENTRIES:
-                    self.pieces.clear()
-                found = self.pieces[piece] = array("I", self.encode_piece(piece.encode())).tobytes()
+                found = array("I", self.encode_piece(piece.encode())).tobytes()
+                if len(piece) <= CACHE_CHARS:
+                    if len(self.pieces) >= CACHE_ENTRIES:
+                        self.pieces.clear()
+                    self.pieces[piece] = found
             out.append(found)
         return out
 
     def _chunk(self, chunk: str) -> bytes:
         # Most words are one piece: a blank and letters only.
         found = self.pieces.get(chunk) or b"".join(self._split(chunk))
-        if "\n" not in chunk:
+        if len(chunk) <= CACHE_CHARS and "\n" not in chunk:
             if len(self.chunks) >= CACHE_ENTRIES:
                 self.chunks.clear()
             self.chunks[chunk] = found
@@ -292,11 +297,14 @@ class WordBpeCounter(dict):
                 if n is None:
                     if len(self.words) >= CACHE_ENTRIES:
                         self.words.clear()
-                    n = self.words[word] = self.merged(word)
+                    n = self.merged(word)
+                    if len(word) <= CACHE_CHARS:
+                        self.words[word] = n
                 total += n
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[chunk] = total
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = total
         return total
 
     def count(self, text: str) -> int:
@@ -322,20 +330,23 @@ def encode_texts(docs: DataFrame, *, text_col: str = "text", vocabulary: str = "
     """Append ``ids`` (array of int), ``n_tokens`` and ``decoded`` to the rows.
 
     Runs batch by batch inside the tasks, without a shuffle. Null and empty texts give no
-    tokens and an empty decoded text; existing columns of these names are replaced.
+    tokens and an empty decoded text; a text of any length is encoded whole, in time linear in
+    it; repeated rows are encoded each for itself; an empty table gives an empty result.
+    Existing columns of the new names, in whatever case, are replaced.
     """
     return _encode(docs, text_col, vocabulary, digests=False)
 
 
 def encode_digests(docs: DataFrame, *, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """As :func:`encode_texts`, with SHA-256 of ids and decoded text in place of them."""
+    """As :func:`encode_texts`, in every case too, with SHA-256 of ids and decoded text in
+    place of them and without the text column."""
     return _encode(docs, text_col, vocabulary, digests=True)
 
 
 def _encode(docs: DataFrame, text_col: str, vocabulary: str, digests: bool) -> DataFrame:
     new = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
     names = [c.split(" ")[0] for c in new.split(", ")]
-    kept = [c for c in docs.columns if c not in names and c != text_col]
+    kept = [c for c in docs.columns if c.lower() not in names and c != text_col]
     extra = [] if digests else [text_col]
     rows = docs.select(*kept, text_col)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept + extra] + [new])
@@ -360,9 +371,11 @@ def _encode(docs: DataFrame, text_col: str, vocabulary: str, digests: bool) -> D
 def count_tokens(docs: DataFrame, *, text_col: str = "text", vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """Append ``n_bytes`` and ``n_tokens`` to the rows' other columns (the text is dropped).
 
-    Null and empty texts count zero; existing columns of these names are replaced.
+    Null and empty texts count zero; a text of any length is counted whole; repeated rows
+    are counted each for itself; an empty table gives an empty result. Existing columns of
+    the new names, in whatever case, are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", text_col)]
+    kept = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens") and c != text_col]
     rows = docs.select(*kept, text_col)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept] + ["n_bytes long, n_tokens long"])
 

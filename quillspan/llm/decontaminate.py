@@ -6,9 +6,10 @@ import re
 from functools import lru_cache
 from itertools import islice
 
+import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ CACHE_ENTRIES = 300_000
 COINS = 1024
 #: Longest item of a size class over the shortest.
 CLASS_RATIO = 1.15
+#: Least words of a piece of an item of more than twice as many.
+PIECE_WORDS = 16
 DOC_END, ITEM_END = 1, 2
 
 
@@ -45,31 +48,53 @@ def normal_words(text: str) -> list[str]:
     return [w.lower().strip(STRIP) or w for w in text.split()]
 
 
+def piece_bounds(n: int) -> list[tuple[int, int]]:
+    """(begin, end) of the pieces that an item of ``n`` words is looked up by.
+
+    Items under 2 * PIECE_WORDS words are one piece; longer ones are cut evenly. If a passage
+    has at most a share of the item's words edited, so has one of its pieces.
+    """
+    k = max(1, n // PIECE_WORDS)
+    cuts = [i * n // k for i in range(k + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 class ItemIndex:
     """LSH tables of a block of benchmark items.
 
-    Each item's word sequence is embedded by a random walk: at step j the current word is
-    emitted and a coin, fixed for (step, word), decides whether to advance; edits of the
-    sequence turn into few differing places. Per repeat and size class a key is made of
-    ``samples`` places within the steps that an item of that size needs.
+    The word sequence of each piece of an item is embedded by a random walk: at step j the
+    current word is emitted and a coin, fixed for (step, word), decides whether to advance;
+    edits of the sequence turn into few differing places. Per repeat and size class a key is
+    made of ``samples`` places within the steps that a piece of that size needs. Items of
+    fewer than ``min_words`` words are matched exactly, by an automaton over normal text.
     """
 
     def __init__(self, items: list[tuple[int, str]], share: float, repeats: int, samples: int, min_words: int, seed: int = 5):
         split = [(i, normal_words(t)) for i, t in items if t is not None]
+        self.short: dict[str, list] = {}
+        for i, w in split:
+            if w and len(w) < min_words:
+                self.short.setdefault(" ".join(w), []).append((i, len(w)))
+        self.automaton = ahocorasick.Automaton()
+        for text in self.short:
+            self.automaton.add_word(text, text)
+        if self.short:
+            self.automaton.make_automaton()
         split = [(i, w) for i, w in split if len(w) >= min_words]
         words: dict[str, int] = {}
         self.ids = [i for i, _ in split]
         self.items = [np.array([words.setdefault(x, len(words) + 3) for x in w], np.int32) for _, w in split]
         self.words = words
         self.edits = [int(share * len(w)) for w in self.items]
+        self.pieces = [(i, a, self.items[i][a:b]) for i in range(len(split)) for a, b in piece_bounds(len(self.items[i]))]
         rng = np.random.default_rng(seed)
-        order = sorted(range(len(split)), key=lambda i: len(self.items[i]))
+        order = sorted(range(len(self.pieces)), key=lambda p: len(self.pieces[p][2]))
         self.classes: list[dict] = []
-        for i in order:
-            n = len(self.items[i])
+        for p in order:
+            n = len(self.pieces[p][2])
             if not self.classes or n > CLASS_RATIO * self.classes[-1]["shortest"]:
                 self.classes.append({"shortest": n, "members": []})
-            self.classes[-1]["members"].append(i)
+            self.classes[-1]["members"].append(p)
         self.steps = max([int(1.5 * c["shortest"]) for c in self.classes], default=0)
         self.walks = []
         for _ in range(repeats):
@@ -79,12 +104,12 @@ class ItemIndex:
             tables = []
             for c, at in zip(self.classes, places, strict=True):
                 table: dict[int, list[int]] = {}
-                for i in c["members"]:
-                    table.setdefault(int(self._key(coins, mults, at, self.items[i])), []).append(i)
-                tables.append(table)
+                for p in c["members"]:
+                    table.setdefault(int(self._key(coins, mults, at, self.pieces[p][2])), []).append(p)
+                tables.append((table, np.fromiter(table, np.uint64, len(table))))
             self.walks.append((coins, mults, places, tables))
         for c in self.classes:
-            c["edits"] = max(self.edits[i] for i in c["members"])
+            c["edits"] = max(int(share * len(self.pieces[p][2])) for p in c["members"])
 
     def _key(self, coins, mults, at, seq) -> np.uint64:
         padded = np.concatenate([seq, np.full(self.steps + 1, ITEM_END, np.int32)])
@@ -107,7 +132,7 @@ class ItemIndex:
         return out
 
     def candidates(self, seq: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of windows whose key meets an item's in some repeat.
+        """(start, piece) of windows whose key meets a piece's in some repeat.
 
         A window is passed over only where too few of its words occur in any item for it to
         be within the allowed edits.
@@ -133,20 +158,24 @@ class ItemIndex:
         for coins, mults, places, tables in self.walks:
             wanted = {int(j) for at, s in zip(places, inside, strict=True) if len(s) for j in at}
             out = self._emit(coins, seq, starts, wanted, active)
-            for at, table, s in zip(places, tables, inside, strict=True):
+            for at, (table, held), s in zip(places, tables, inside, strict=True):
                 if not len(s):
                     continue
                 with np.errstate(over="ignore"):
                     key = sum((out[int(j)][s].astype(np.uint64) * m for j, m in zip(at, mults, strict=True)), np.zeros(len(s), np.uint64))
-                hit = np.flatnonzero(np.isin(key, np.fromiter(table, np.uint64, len(table))))
+                hit = np.flatnonzero(np.isin(key, held))
                 for h in hit:
                     found.update((int(starts[s[h]]), i) for i in table[int(key[h])])
         return found
 
-    def verify(self, seq: np.ndarray, low: int, high: int, start: int, item: int) -> tuple[int, int, int] | None:
-        """(edits, first word, end word) of the best match around a window in seq[low:high]."""
+    def verify(self, seq: np.ndarray, low: int, high: int, start: int, piece: int) -> tuple[int, int, int] | None:
+        """(edits, first word, end word) of the best match of a piece's whole item in seq[low:high].
+
+        Of several stretches with equally few edits the one that ends first counts.
+        """
+        item, offset, _ = self.pieces[piece]
         q, k = self.items[item], self.edits[item]
-        a, b = max(low, start - k), min(high, start + len(q) + k)
+        a, b = max(low, start - offset - k), min(high, start - offset + len(q) + k)
         text = seq[a:b]
         if len(set(q.tolist()) - set(text.tolist())) > k:
             return None
@@ -181,9 +210,35 @@ def infix_distances(q: np.ndarray, text: np.ndarray, anchored: bool = False) ->
     return row
 
 
+#: Scripts written without blanks: a match may begin and end inside a token of them.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+
+
+def _short_matches(index: ItemIndex, text: str):
+    """(item id, words, begin and end in characters) of the first exact match of each short item."""
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    joined = " ".join(normal_words(text))
+    open_at = lambda i, c: not 0 <= i < len(joined) or joined[i] == " " or UNSPACED.match(c)
+    seen = set()
+    for last, found in index.automaton.iter(joined):
+        first = last + 1 - len(found)
+        if found not in seen and open_at(first - 1, found[0]) and open_at(last + 1, found[-1]):
+            seen.add(found)
+            a, b = joined.count(" ", 0, first), joined.count(" ", 0, last)
+            for i, n in index.short[found]:
+                yield i, n, spans[a][0], spans[b][1]
+
+
 def _scan(index: ItemIndex, keys, texts):
     """Matches (key, item id, edits, item words, begin and end in characters) of one batch."""
     vocabulary = index.vocabulary
+    if index.short:
+        keys, texts = list(keys), list(texts)
+        for key, text in zip(keys, texts, strict=True):
+            for item, n, begin, end in _short_matches(index, text):
+                yield key, item, 0, n, begin, end
+    if not index.items:
+        return
     rows = iter(zip(keys, texts, strict=True))
     gap = np.full(index.steps + 2, DOC_END, np.int32)
     while True:
@@ -201,12 +256,12 @@ def _scan(index: ItemIndex, keys, texts):
         seq = np.concatenate(parts)
         begins = np.array([b for b, _ in bounds])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for start, item in sorted(index.candidates(seq)):
-            d = int(np.searchsorted(begins, start, "right")) - 1
+        for start, piece in sorted(index.candidates(seq)):
+            item, d = index.pieces[piece][0], int(np.searchsorted(begins, start, "right")) - 1
             old = best.get((d, item))
             if old and (old[0] == 0 or old[1] <= start < old[2]):
                 continue
-            hit = index.verify(seq, *bounds[d], start, item)
+            hit = index.verify(seq, *bounds[d], start, piece)
             if hit and (old is None or hit < old):
                 best[d, item] = hit
         for (d, item), (edits, a, b) in best.items():
@@ -217,26 +272,34 @@ def _scan(index: ItemIndex, keys, texts):
 
 def contaminated(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    max_edit_share: float = 0.2, repeats: int = 10, samples: int = 3, min_words: int = 5, items_per_pass: int = 5000,
+    max_edit_share: float = 0.2, repeats: int = 10, samples: int = 3, min_words: int = 5, items_per_pass: int = 20_000, bytes_per_pass: int = 8 << 20,
 ) -> DataFrame:
     """``id_col``, ``item_col``, edits, item_words, begin_char, end_char: a row for each document
     and item of which the document holds a passage within ``max_edit_share`` word edits.
 
     Words are compared in lower case without surrounding punctuation. Documents are scanned
-    where they lie, without a shuffle; items go to the tasks in passes of at most
-    ``items_per_pass``, each pass another scan of all documents, so that what is sent stays
-    bounded however many items there are. Every window of a document that could match is
-    embedded and looked up; candidates are verified by exact word edit distance, so matches
-    are right, and recall is set by ``repeats`` and ``samples`` (unedited passages are always
-    found). Null texts hold nothing; items of fewer than ``min_words`` words are no evidence
-    and take no part; repeated rows each report.
+    where they lie, without a shuffle; items go to the tasks in passes of about
+    ``items_per_pass`` items or ``bytes_per_pass`` bytes, each pass another scan of all
+    documents, so that what is sent stays bounded however many items there are. Every window
+    of a document that could match is embedded and looked up; candidates are verified by exact
+    word edit distance, so matches are right, and recall is set by ``repeats`` and ``samples``
+    (unedited passages are always found). Items of fewer than ``min_words`` words are matched
+    exactly, as whole words, or anywhere in scripts that are written without blanks.
+
+    One row a document and item: the first match of fewest edits. Null and empty texts hold
+    nothing, null and blank items match nothing, texts of any length are scanned whole;
+    repeated rows each report, as do items that repeat a text; null ids come back null;
+    empty tables give an empty result; other columns are not read.
     """
+    if id_col == item_col:
+        raise ValueError("id_col and item_col name the same output column")
     spark = docs.sparkSession
     listed = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    passes = max(1, -(-listed.count() // items_per_pass))
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    passes = max(1, -(-n // items_per_pass), -(-size // bytes_per_pass))
     rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull())
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema} | {"item": items.schema[item_col].dataType.simpleString()}
-    schema = f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds['item']}, edits int, item_words int, begin_char int, end_char int"
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, edits int, item_words int, begin_char int, end_char int"
     names = [id_col, item_col, "edits", "item_words", "begin_char", "end_char"]
     out = None
     for p in range(passes):
@@ -245,13 +308,14 @@ def contaminated(
 
         def run(batches, shared=shared):
             index = item_index(shared.value, max_edit_share, repeats, samples, min_words)
-            if not index.items:
+            if not index.items and not index.short:
                 return
             for batch in batches:
                 keys, texts = batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))
-                found = pd.DataFrame(list(_scan(index, keys, texts)), columns=names)
-                if len(found):
-                    yield pa.RecordBatch.from_pandas(found.astype({c: "int32" for c in names[2:]}), preserve_index=False)
+                found = list(zip(*_scan(index, keys, texts), strict=True))
+                if found:
+                    cols = [pa.array(found[0], batch.column(0).type), pa.array(found[1])] + [pa.array(c, pa.int32()) for c in found[2:]]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -54,3 +56,31 @@ def test_frames_with_nulls_repeats_and_clashing_columns(spark):
     counted = bpe.count_tokens(docs).collect()
     assert sorted((r.doc_id or 0, r.n_bytes) for r in counted) == [(0, 200_000), (1, 0), (2, 0), (3, 11), (3, 11)]
     assert bpe.encode_texts(docs.where("false")).count() == 0 and bpe.count_tokens(docs.where("false")).count() == 0
+
+
+def test_long_pieces_take_linear_time():
+    mine = bpe.byte_bpe("byte_bpe_50k.json")
+    rnd, took = random.Random(3), []
+    for n in (200_000, 800_000):
+        piece = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n)).encode()
+        began = time.process_time()
+        ids = mine.encode_piece(piece)
+        took.append(time.process_time() - began)
+        assert mine.decode(bpe.array("I", ids).tobytes()) == piece
+    assert took[1] < 10 * took[0]  # four times the length; a quadratic scan takes sixteen times
+
+
+@pytest.mark.parametrize("name", ["op6_bpe_roundtrip", "op8_token_counts"])
+def test_queries_equal_the_libraries(spark, tmp_path, libraries, name):
+    texts = [None, "", *SPECIAL, *random_texts(300), "w " * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in getattr(bpe, name)(spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for i, text in enumerate(texts):
+        lib = libraries["byte_bpe_50k.json" if name.startswith("op6") else "word_bpe_49k.json"]
+        ids, r = lib.encode(text or "", add_special_tokens=False).ids, got[i]
+        assert r.n_tokens == len(ids)
+        if name.startswith("op6"):
+            assert r.ids_sha256 == sha(",".join(map(str, ids))) and r.decoded_sha256 == sha(lib.decode(ids, skip_special_tokens=False))
+        else:
+            assert r.n_bytes == len((text or "").encode()) and r.over_limit == (len(ids) > 2048)
