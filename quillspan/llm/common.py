@@ -14,10 +14,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder is used.
+    Only in local mode, as in tests, may it be absent; a temporary folder is used then.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspan-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -3,34 +3,43 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Components that a block of vectors holds at most.
+BLOCK_COMPONENTS = 1 << 23
+
+
 def quantize(vector: Column, scale: float = 256.0) -> Column:
     """Integer components floor(scale * x); null where the vector takes no part."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.when(vector.isNotNull() & finite, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("bigint")))
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column, filled up with zeros to the longest."""
+    lists = vectors.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(lists.offsets.to_numpy())
+    values = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes), sizes.max(initial=0)), np.int64)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return out
 
 
-def score_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+def score_block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     """Top k of one candidate block for each query of one query block.
 
     The block is inverted into one posting list per dimension; each query's non-zero terms
     scatter their weighted postings into that query's dense score array, and a partition
     selection keeps the k best (ties to the smaller id).
     """
-    ids = candidates["id"].to_numpy(np.int64)
-    width = max([0, *map(len, queries["v"]), *map(len, candidates["v"])])
-    block = _matrix(candidates["v"], width)
+    ids, block, asked = candidates["id"].to_numpy(), _matrix(candidates["v"]), _matrix(queries["v"])
+    # Terms beyond the block's longest vector meet no posting.
+    width = min(block.shape[1], asked.shape[1])
     postings = []
     for t in range(width):
         at = np.flatnonzero(block[:, t])
@@ -38,9 +47,9 @@ def score_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.D
         postings.append((slice(None) if len(at) == len(ids) else at, block[at, t]))
     out_q, out_id, out_s = [], [], []
     scores = np.empty(len(ids), np.int64)
-    for qid, q in zip(queries["id"].to_numpy(np.int64), queries["v"], strict=True):
+    for qid, q in zip(queries["id"].to_numpy(), asked, strict=True):
         scores[:] = 0
-        for t in np.flatnonzero(q):
+        for t in np.flatnonzero(q[:width]):
             at, weight = postings[t]
             scores[at] += int(q[t]) * weight
         keep = np.flatnonzero(ids != qid)
@@ -53,18 +62,19 @@ def score_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.D
         out_id.append(ids[keep])
         out_s.append(scores[keep])
     cat = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-    return pd.DataFrame({"query_id": cat(out_q), "vec_id": cat(out_id), "score": cat(out_s)})
+    return pa.table({"query_id": cat(out_q), "vec_id": cat(out_id), "score": cat(out_s)})
 
 
 def exact_topk(
     vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding",
-    scale: float = 256.0, query_block: int = 1024, candidate_block: int = 1024,
+    scale: float = 256.0, query_block: int = 8192, candidate_block: int = 4096,
 ) -> DataFrame:
     """The k highest integer inner products of every query row against all other rows.
 
     Returns query_id, rank, vec_id, score. Queries and candidates are dealt into blocks by a
-    hash of their id; every (query block, candidate block) pair is one task of bounded size,
-    and the blocks' winners are merged per query. Vectors that are null or hold null or
+    hash of their id; every (query block, candidate block) pair is one group of bounded size,
+    and the blocks' winners are merged per query. A candidate is sent once for every
+    ``query_block`` queries, a query once for every ``candidate_block`` candidates. Vectors that are null or hold null or
     non-finite components, and rows without id, take no part; of rows that repeat an id the
     smallest vector counts; shorter vectors count as zero beyond their end; an empty table
     gives an empty result.
@@ -74,14 +84,17 @@ def exact_topk(
         .where("id is not null and v is not null")
         .groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     )
-    n, nq = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    n, nq, width = vectors.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size(vector_col)), F.lit(0))).first()
+    # Blocks of very long vectors hold fewer of them, so that a group stays bounded in bytes.
+    most = max(1, BLOCK_COMPONENTS // max(1, width))
+    query_block, candidate_block = min(query_block, most), min(candidate_block, most)
     cb, qb = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))
     block = lambda m: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(m)).cast("int")
     cand = rows.select("id", "v", block(cb).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
     quer = rows.where("q").select("id", "v", block(qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
     found = (
         quer.groupBy("qb", "cb").cogroup(cand.groupBy("qb", "cb"))
-        .applyInPandas(lambda q, c: score_block(q, c, k), "query_id long, vec_id long, score long")
+        .applyInArrow(lambda q, c: score_block(q, c, k), "query_id long, vec_id long, score long")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -31,14 +31,35 @@ def test_bytes_are_near_equal_with_a_hot_text(spark):
     check(rows, out, 24, 4 * 170)
 
 
+def places(out):
+    place = collections.defaultdict(set)
+    for r in out:
+        place[r.text_crc32].add((r.shard, r.group_cut))
+    return place
+
+
 def test_long_texts_and_whole_groups(spark):
     rows = [(i, f"text {i // 2}") for i in range(4000)] + [(9000, "long " * 2000)]
-    out = S.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, whole_share=0.01).collect()
+    # Groups of every size up to a shard's share stay whole, and shards stay level.
+    rows += [(10_000 + 1000 * g + i, f"copies of text {g} " * 3) for g, n in enumerate((10, 50, 150, 300, 390)) for i in range(n)]
+    out = S.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
     check(rows, out, 4, 2 * 10_008)
-    place = collections.defaultdict(set)
-    for r in out:
-        place[r.text_crc32].add(r.shard)
-    assert all(len(s) == 1 for s in place.values())  # pairs of copies stay together
+    assert all(len(s) == 1 and not cut for s in places(out).values() for _, cut in s)
+
+
+def test_only_groups_beyond_a_share_are_cut(spark):
+    rows = [(i, "hot text") for i in range(2000)] + [(5000 + i, f"text {i % 700}") for i in range(2800)] + [(20_000 + i, None) for i in range(300)]
+    out = S.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    check(rows, out, 6, 200)
+    cut = {c for c, s in places(out).items() if len(s) > 1}
+    assert cut == {zlib.crc32(b"hot text")} and {r.text_crc32 for r in out if r.group_cut} == cut
+
+
+def test_query_equals_its_contract(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 60)))) for i in range(2500)] + [(9000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(rows, S.op4_shard(spark, str(tmp_path)).collect(), 24, 300)
 
 
 def test_empty_repeats_and_extra_columns(spark):
