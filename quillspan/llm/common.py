@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables of this session that still exist.
+#: Tables of this session that still exist, and those made in each open scratch scope.
 _MADE: set[str] = set()
+_SCOPES: list[list[str]] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -43,6 +45,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspan_path = path
     _MADE.add(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return out
 
 
@@ -57,6 +61,25 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df._quillspan_path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the tables that are materialized inside, at its end, but those given to what is yielded."""
+    made: list[str] = []
+    _SCOPES.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.remove(df._quillspan_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for name in made:
+            if name in _MADE:
+                _delete(spark, name)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all tables that :func:`materialize` has left; call it once results are written."""
     for name in list(_MADE):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import connected_components, materialize
+from quillspan.llm.common import connected_components, materialize, scratch
 
 #: Length, covering radius and generator polynomial of the perfect binary Golay code.
 CODE_BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011
@@ -115,22 +115,26 @@ def simhash_groups(docs: DataFrame, *, width: int = 3, threshold: int = 2, text_
 
     Equal fingerprints are folded into one node (its smallest id) before anything is
     compared; nodes link as in :func:`links`; a component's id is the smallest id that can be
-    reached. Null ids keep their row, with a null component if no id shares the fingerprint;
-    repeated rows all come back; an empty table gives no rows.
+    reached. Null texts count as empty, and texts without words share fingerprint zero; texts
+    of any length are read whole. Null ids keep their row, with a null component if no id
+    shares the fingerprint; repeated rows all come back; an empty table gives no rows; other
+    columns are not read.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             prints = np.array([fingerprint((t.as_py() or "").encode(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=[id_col, "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "print"])
 
     kind = rows.schema[0].dataType.simpleString()
-    prints = materialize(rows.mapInArrow(run, f"`{id_col}` {kind}, print long"), "simhash")
-    folded = materialize(prints.groupBy("print").agg(F.min(id_col).cast("long").alias("node")), "simhash-nodes")
-    found = connected_components(links(folded.where("node is not null"), threshold))
-    classes = folded.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "print", "left").select(id_col, "print", "component_id")
+    prints = materialize(rows.mapInArrow(run, f"id {kind}, print long"), "simhash")
+    with scratch(docs.sparkSession) as keep:
+        folded = materialize(prints.groupBy("print").agg(F.min("id").cast("long").alias("node")), "simhash-nodes")
+        found = connected_components(links(folded.where("node is not null"), threshold))
+        classes = folded.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+        classes = keep(materialize(classes, "simhash-classes"))
+    return prints.join(classes, "print", "left").select(F.col("id").alias(id_col), "print", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
@@ -245,13 +249,23 @@ def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
     """``id_col`` and ``component_id`` of every row: classes of shingle Jaccard ``similarity`` or more.
 
     Exact: texts of equal shingle sets are one node, and nodes link if the sets of their
-    ``width``-word shingles have that Jaccard similarity. Shingles are ordered from rare to
-    common by a sketch of fixed size (any order is right, this one is fast), and every node
-    goes to the first of its shingles, one of which any two similar nodes share. There nodes
-    meet three leaders first; then all others that meet and are not yet in one class are
-    compared, so that large groups of copies do not all meet each other. Pairs are screened
-    in the join by size and place and confirmed on their texts.
+    ``width``-word shingles have that Jaccard similarity. SimHash classes of the same shingles
+    (:func:`simhash_groups`) come first: each member is compared with its class's smallest
+    id. As fingerprints of 64 bits can't tell 0.8 from less, a second pass finds all other
+    links: shingles are ordered from rare to common by a sketch of fixed size (any order is
+    right, this one is fast), and every node goes to the first of its shingles, one of which
+    any two similar nodes share. There nodes meet three leaders first; then all others that
+    meet and are not yet in one class are compared, so that large groups of copies do not all
+    meet each other. Pairs are screened in the join by size and place and confirmed on their
+    texts. Null texts count as empty, and texts without words are one class; texts of any
+    length are read whole; rows without id are left out; rows that repeat an id share a class
+    if their texts do; an empty table gives no rows; other columns are not read.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(materialize(_similar_groups(docs, width, similarity, id_col, text_col), "similar-groups"))
+
+
+def _similar_groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     spark = docs.sparkSession
     seen = rows.select("text").mapInArrow(_sketch_rows(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -266,7 +280,9 @@ def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
     lead = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("mid"), F.max(early).alias("any")]
     alive = materialize(spread.join(spread.groupBy("shingle").agg(*lead).where("lo < hi and any").drop("any"), "shingle"), "meetings")
     leaders = alive.where("node in (lo, hi, mid)")
-    near = _similar_pairs(_meet(leaders, alive, similarity), rows, width, similarity)
+    folded = rows.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    hashed = simhash_groups(folded, width=width, id_col="id").where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    near = _similar_pairs(hashed.unionByName(_meet(leaders, alive, similarity)), rows, width, similarity)
     placed = alive.drop("lo", "hi", "mid").join(connected_components(near), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     placed = materialize(placed, "meeting-classes")
     # Pairs of different classes have one outside the largest class that meets at the shingle.
@@ -280,10 +296,12 @@ def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
     return prints.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Keep the document of smallest id of every class of :func:`similar_groups`.
+def near_duplicates_removed(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keep the rows of smallest id of every class of :func:`similar_groups`, with all their columns.
 
     Rows that repeat an id stand or fall together; rows without id are kept.
     """
-    gone = similar_groups(docs, width=width, similarity=similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    groups = similar_groups(docs, width=width, similarity=similarity, id_col=id_col, text_col=text_col)
+    # Written, so that its size is known when the join is planned.
+    gone = materialize(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-duplicates")
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

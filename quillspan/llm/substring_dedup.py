@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize
+from quillspan.llm.common import materialize, scratch
 
 #: Bytes of the grams whose smallest hash anchors a window.
 GRAM = 32
@@ -369,12 +369,24 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 200, id_col: str = "doc_
     one representative of every other segment is cut into pieces, which meet those that share
     their core bytes, and there the pieces' suffixes are sorted in two stages and windows
     whose neighbours share ``min_bytes`` are marked. Groups of more than GROUP_BYTES are never
-    gathered: their windows are dealt and counted by 128-bit hash. Null texts count as empty; rows that
-    repeat id and text are copies of each other; texts under ``min_bytes`` lose nothing.
+    gathered: their windows are dealt and counted by 128-bit hash. Null texts count as empty,
+    null ids come back null; rows that repeat id and text are copies of each other; texts
+    under ``min_bytes`` lose nothing, texts of any length are read whole; an empty table gives
+    no rows; other columns are not read. What hashes settle is settled by 128 bits of them.
     """
     size = min_bytes
-    base = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"))
     texts = base.where(F.octet_length("_text") >= size).select(F.col("_key").alias("key"), F.col("_text").alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        by_row = keep(materialize(_repeated_runs(texts, size), "runs"))
+    out = base.join(by_row, "_key", "left").select("_id", "_text", "runs")
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    out = out.mapInArrow(_kept_rows(size), f"_id {kind}, n_bytes long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary")
+    return out.withColumnRenamed("_id", id_col)
+
+
+def _repeated_runs(texts: DataFrame, size: int) -> DataFrame:
+    """_key and the runs (begin, end) of its text's bytes that windows of ``size`` repeat, not yet merged."""
     segs = texts.mapInArrow(_segment_rows(size), "key long, j0 int, n int, d int, h long, s long")
     anchors = segs.groupBy("h").agg(F.count("*").alias("m"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("m > 1")
     anchors = materialize(anchors.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
@@ -388,17 +400,15 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 200, id_col: str = "doc_
     heavy = materialize(pieces.groupBy("group").agg(weight.alias("weight")).where(F.col("weight") > GROUP_BYTES).select("group"), "heavy")
     counted = None
     if not heavy.isEmpty():
-        # Broadcast: there is at most one heavy group to GROUP_BYTES of pieces.
-        counted = _counted_hits(pieces.join(F.broadcast(heavy), "group", "left_semi"), size)
-        pieces = pieces.join(F.broadcast(heavy), "group", "left_anti").select(pieces.columns)
+        # There is at most one heavy group to GROUP_BYTES of pieces; the table's size picks the join.
+        counted = _counted_hits(pieces.join(heavy, "group", "left_semi"), size)
+        pieces = pieces.join(heavy, "group", "left_anti").select(pieces.columns)
     partial = pieces.repartition("group").sortWithinPartitions("group").mapInArrow(_sort_rows(size), "key long, begin int, end int")
     partial = materialize(partial if counted is None else partial.unionByName(counted), "partial")
     run = lambda df: df.select("key", F.col("j0").alias("begin"), (F.col("j0") + F.col("n") + (size - 1)).alias("end"))
     copies = shared.where("mixed").join(reps.where("c > 1").select("h", "s"), ["h", "s"])
     runs = run(shared.where("not mixed")).unionByName(run(copies)).unionByName(partial)
-    by_row = runs.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("runs")).withColumnRenamed("key", "_key")
-    out = base.join(by_row, "_key", "left").select(id_col, "_text", "runs")
-    return out.mapInArrow(_kept_rows(size), f"`{id_col}` {docs.select(id_col).schema[0].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary")
+    return runs.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("runs")).withColumnRenamed("key", "_key")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -127,3 +127,21 @@ def test_recall_and_false_drops_around_the_limit(spark):
     for n, p in enumerate(pairs):
         assert (groups[2 * n + 1] == 2 * n) == (p >= 0.8), p
     assert [groups[i] for i in (-1, -2, -3, -4, -5)] == [-2, -2, -4, -4, -5]
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rnd = random.Random(7)
+    voc = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choices(voc, k=rnd.randint(0, 120)))) for i in range(80)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(40)] + [(900, None), (901, ""), (902, "Two\tWORDS")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.op2_simhash(spark, str(tmp_path)).collect()}
+    assert got == brute(rows)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 0), (2, "a b c d e f", 1), (3, "other words are here now", 2)]
+    out = S.simhash_groups(spark.createDataFrame(rows, "node long, text string, print long"), id_col="node")
+    assert sorted((r.node, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
+    assert sorted(map(tuple, S.near_duplicates_removed(docs).collect())) == [rows[0], rows[2]]

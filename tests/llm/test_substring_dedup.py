@@ -123,3 +123,12 @@ def test_no_task_gathers_a_heavy_group(spark, monkeypatch):
     monkeypatch.setattr(S, "materialize", lambda df, label: labels.append(label) or counted(df, label))
     assert run(frame, 200) == want
     assert "windows" in labels
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    docs = sample(7)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == brute(docs, 200)
+    out = S.remove_repeats(spark.createDataFrame([(1, "x", 2)], "runs long, text string, kept long"), id_col="runs").collect()
+    assert [(r.runs, r.n_bytes) for r in out] == [(1, 1)]
