@@ -90,8 +90,9 @@ def exact_topk(
     query_block, candidate_block = min(query_block, most), min(candidate_block, most)
     cb, qb = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))
     block = lambda m: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(m)).cast("int")
-    cand = rows.select("id", "v", block(cb).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    quer = rows.where("q").select("id", "v", block(qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
+    # Columns are named anew, as both sides stem from one table.
+    cand = rows.select(F.col("id").alias("id"), F.col("v").alias("v"), block(cb).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    quer = rows.where("q").select(F.col("id").alias("id"), F.col("v").alias("v"), block(qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
     found = (
         quer.groupBy("qb", "cb").cogroup(cand.groupBy("qb", "cb"))
         .applyInArrow(lambda q, c: score_block(q, c, k), "query_id long, vec_id long, score long")

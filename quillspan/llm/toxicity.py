@@ -17,7 +17,7 @@ AFFIXES = (3, 4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
 STRIP = "\"'()[]{}<>,;:*#$%&-_/\\|«»„“”’‘…"
 #: Words whose features or scores a worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def word_features(token: str) -> list[int]:
@@ -139,7 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, max_byte
 
     At most ``per_label`` documents of each label are used, those first by a hash of the id,
     whole texts only, up to ``max_bytes`` in all (texts over a 64th of that are passed over);
-    they are weighted to the label's share among all labelled documents.
+    they are weighted to the label's share among all labelled documents. Null ids, null texts
+    and labels but 0 and 1 take no part; of several labels of one id the largest counts; with
+    no document, or documents of one label only, the model is constant.
     """
     rows, counts = training_rows(docs, labels, per_label, max_bytes)
     texts, marks, used = [], [], 0
@@ -158,10 +160,12 @@ def score(docs: DataFrame, model: NoisyOr, *, text_col: str = "text", spans: boo
     """Append ``score`` (and with ``spans``, ``offending``) to the rows' columns.
 
     ``offending`` lists (begin, end, score) of sentences of 0.5 or more, in characters. Null
-    and empty texts, having no sentence, score as the noisy-or over none: 0.
+    and empty texts, having no sentence, score as the noisy-or over none: 0. Texts of any
+    length are read whole; repeated rows are scored alike; an empty table gives an empty
+    result; other columns are kept, but ``score`` and ``offending``, which are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 1 MB table
-    kept = [c for c in docs.columns if c not in ("score", "offending")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "offending")]
     rows = docs.select(*kept)
     extra = "score double" + (", offending array<struct<begin:int,end:int,score:double>>" if spans else "")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [extra])
