@@ -38,12 +38,16 @@ def words(text: Column) -> Column:
 
 
 def reference_tokens(text: Column) -> Column:
-    """Compound tokens (``juan10v6``) for chapter-and-verse references in a text."""
+    """Compound tokens (``juan10v6``) for chapter-and-verse references in a text.
+
+    Texts without a digit, colon and digit are not searched; in others each reference is
+    found once and taken apart by itself.
+    """
     low = fold(text)
-    part = lambda i: F.regexp_extract_all(low, F.lit(SCRIPTURE), i)
-    books = F.arrays_zip(part(1).alias("n"), part(2).alias("b"), part(3).alias("c"), part(4).alias("v"))
-    kept = F.filter(books, lambda r: ~r["b"].isin(STOPWORDS))
-    return F.transform(kept, lambda r: F.concat(r["n"], r["b"], r["c"], F.lit("v"), r["v"]))
+    part = lambda m, i: F.regexp_extract(m, SCRIPTURE, i)
+    found = F.when(low.rlike(r"\d:\d"), F.regexp_extract_all(low, F.lit(SCRIPTURE), 0)).otherwise(F.array().cast("array<string>"))
+    kept = F.filter(found, lambda m: ~part(m, 2).isin(STOPWORDS))
+    return F.transform(kept, lambda m: F.concat(part(m, 1), part(m, 2), part(m, 3), F.lit("v"), part(m, 4)))
 
 
 def tokenize(text: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from quillspan.functions.text import tokenize
 
@@ -30,20 +33,41 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
 def document_weights(index: DataFrame, stats: DataFrame) -> DataFrame:
     """BM25 document side: id, term, weight."""
     norm = 1 - B + B * F.col("dl") / F.col("avgdl")
-    return index.crossJoin(F.broadcast(stats)).select("id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("weight"))  # stats is one row
+    return index.join(F.broadcast(stats)).select("id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("weight"))  # stats is one row
+
+
+#: Distinct query terms up to which they are broadcast.
+BROADCAST_TERMS = 200_000
+
+
+def asked_postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, dl, term, tf for terms of a one-column table; and one row with a null term for every document.
+
+    The documents are tokenised once; only the asked terms keep rows of their own.
+    """
+    few = terms.count() <= BROADCAST_TERMS
+    asked = terms.select(F.col("term").alias("asked"))
+    tokens = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("t"))
+    # The leading null stands for the document itself.
+    each = tokens.select("id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", F.array().cast("array<string>")))).alias("token"))
+    met = each.join(F.broadcast(asked) if few else asked, F.col("token") == F.col("asked"), "left")
+    return met.groupBy("id", "dl", F.col("asked").alias("term")).agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str, query_text: str, doc_id: str, doc_text: str) -> DataFrame:
     """query_id, doc_id, score: inner join of query terms and weighted postings.
 
     Each distinct query term counts once, weighted by its inverse document frequency over the
-    collection. Postings shuffle on the term; terms too frequent to be selective are split by
-    adaptive skew handling of the sort-merge join.
+    collection. One pass over the documents keeps the postings of asked terms and the
+    documents' lengths; frequencies, statistics and scores are made from that. Terms too
+    frequent to be selective are split by adaptive skew handling of the join.
     """
-    index, stats = postings(docs, doc_id, doc_text), corpus_stats(docs, doc_text)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(tokenize(F.col(query_text)))).alias("term"))
+    index = asked_postings(docs, asked.select("term").distinct(), doc_id, doc_text).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = index.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    index = index.where("term is not null")
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
     hits = asked.join(idf, "term").join(document_weights(index, stats), "term")
     return hits.groupBy("q", "id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).select(F.col("q").alias(query_id), F.col("id").alias(doc_id), "score")
 
@@ -54,20 +78,78 @@ def top_k(scored: DataFrame, group: str, item: str, k: int, score: str = "score"
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays, in doubles."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a list column; vectors shorter than the longest end in zeros, null ones are zero."""
+    rows = vectors.to_pylist()
+    out = np.zeros((len(rows), max(map(len, filter(None, rows)), default=0)))
+    for i, v in enumerate(rows):
+        out[i, : len(v or ())] = v or ()
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+
+
+def _scores(queries: pa.Table, vectors: pa.Table) -> np.ndarray:
+    """Cosines of a block of queries with a block of vectors; a vector's own and null ones' are nan."""
+    a, b = _units(queries["v"]), _units(vectors["v"])
+    n = min(a.shape[1], b.shape[1])
+    out = a[:, :n] @ b[:, :n].T
+    out[queries["id"].to_numpy()[:, None] == vectors["id"].to_numpy()[None, :]] = np.nan
+    for side, axis in ((queries, 0), (vectors, 1)):
+        gone = np.flatnonzero(side["v"].is_null().to_numpy(zero_copy_only=False))
+        out[(gone, slice(None)) if axis == 0 else (slice(None), gone)] = np.nan
+    return out
+
+
+def _blocked(queries: DataFrame, vectors: DataFrame, run, schema: str, block: int) -> DataFrame:
+    """Apply ``run`` to every pair of a query block and a vector block, dealt by a hash of the id."""
+    nq, n = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    to = lambda m: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    # Columns are named anew, as both sides may stem from one table.
+    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    left = anew(queries).withColumn("qb", to(nq)).withColumn("vb", every(n))
+    right = anew(vectors).withColumn("vb", to(n)).withColumn("qb", every(nq))
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(run, schema)
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, *, floor: float | None = None, other_label: bool = False, block: int = 4096) -> DataFrame:
+    """q, id, score, rank, ql, label: the k nearest vectors of every query by cosine.
+
+    ``queries`` and ``vectors``: id, v and label. Every query block meets every vector block
+    once, as two matrices of bounded size, and only each block's k best are merged. A vector
+    never answers itself; null vectors take no part; ``floor`` drops weak pairs;
+    ``other_label`` keeps only pairs of different labels.
+    """
 
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        s = _scores(q, v)
+        ids, ql, vl = v["id"].to_numpy(), q["label"].to_numpy(), v["label"].to_numpy()
+        if other_label:
+            s[ql[:, None] == vl[None, :]] = np.nan
+        s = np.where(np.isnan(s) | (s < (-2 if floor is None else floor)), -np.inf, s)
+        rounded = np.round(s, DIGITS)
+        at = np.array([np.lexsort((ids, -r))[:k] for r in rounded], np.int64).reshape(len(q), -1)
+        row = np.repeat(np.arange(len(q)), at.shape[1])
+        at = at.ravel()
+        keep = s[row, at] > -np.inf
+        row, at = row[keep], at[keep]
+        return pa.table({"q": q["id"].to_numpy()[row], "ql": ql[row], "id": ids[at], "label": vl[at], "score": s[row, at]})
 
-def dense(queries: DataFrame, vectors: DataFrame, *, floor: float | None = None) -> DataFrame:
-    """q, id, score over queries (q, qv) and vectors (id, v); a floor drops weak pairs.
+    kind = vectors.schema["label"].dataType.simpleString()
+    found = _blocked(queries, vectors, run, f"q long, ql {kind}, id long, label {kind}, score double", block)
+    return top_k(found, "q", "id", k)
 
-    The query table is the stated small side; every vector is scored against it.
-    """
-    pairs = vectors.join(queries, F.col("id") != F.col("q"))
-    scored = pairs.select("q", "id", cosine(F.col("qv"), F.col("v")).alias("score"))
-    return scored.where(F.col("score") >= floor) if floor is not None else scored
+
+def dense_counts(queries: DataFrame, vectors: DataFrame, floor: float, block: int = 4096) -> DataFrame:
+    """q, best, above, scored: of all vectors of every query, counted block by block."""
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        s = _scores(q, v)
+        seen = ~np.isnan(s)
+        best = np.where(seen, s, -np.inf).max(1, initial=-np.inf)
+        return pa.table({"q": q["id"].to_numpy(), "best": best, "above": (np.where(seen, s, -2) >= floor).sum(1), "scored": seen.sum(1)})
+
+    found = _blocked(queries, vectors, run, "q long, best double, above long, scored long", block)
+    return found.groupBy("q").agg(F.max("best").alias("best"), F.sum("above").alias("above"), F.sum("scored").alias("scored"))
 
 
 def fuse(legs: list[DataFrame], group: str, item: str, k: int) -> DataFrame:
@@ -106,10 +188,18 @@ def where_lost(dense_rank: Column, sparse_rank: Column, fused_rank: Column, deli
     )
 
 
+# Cumulative probabilities of the Poisson distribution of mean 1.
+POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
 def bootstrap_margin(ranks: DataFrame, rounds: int = 400, seed: int = 7) -> DataFrame:
-    """Population deviation of resampled mean reciprocal ranks (``rr``, ``i`` from 0)."""
-    n = ranks.count()
-    draws = ranks.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("d"))
-    draws = draws.select("round", F.pmod(F.xxhash64("round", "d", F.lit(seed)), F.lit(max(1, n))).alias("i"))
-    means = draws.join(ranks, "i").groupBy("round").agg(F.avg("rr").alias("m"))
-    return means.agg(F.count("*").alias("rounds"), F.stddev_pop("m").alias("margin"))
+    """Population deviation of resampled mean reciprocal ranks (``q``, ``rr``).
+
+    Every (question, round) draws how often the question is in that round's sample from a
+    Poisson distribution of mean 1, by a hash; so rounds need neither an index nor a join.
+    """
+    drawn = ranks.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "q", "round", F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    means = drawn.withColumn("times", times).groupBy("round").agg((F.sum(F.col("times") * F.col("rr")) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
+    return means.agg(F.count("*").alias("rounds"), F.round(F.stddev_pop("m"), 6).alias("margin"))

@@ -59,36 +59,43 @@ VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS
 RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, id) AS rank FROM pr)"
 
 
-def dense_pairs(spark, sf_dir):
-    """Scores of the stated query vectors (every twentieth) against all others."""
-    v = table(spark, sf_dir, "embeddings")
-    queries = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    pairs = v.select(F.col("vec_id").alias("id"), "label", "embedding").join(queries, F.col("id") != F.col("q"))
-    return pairs.select("q", "ql", "id", "label", R.cosine(F.col("qv"), F.col("embedding")).alias("score"))
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def nearest(spark, sf_dir, k, **kw):
+    """The stated query vectors (every twentieth) and their best of all others."""
+    v = vectors(spark, sf_dir)
+    return R.dense_top(v.where("id % 20 = 0"), v, k, **kw)
+
+
+def counts(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return R.dense_counts(v.where("id % 20 = 0"), v, R.DENSE_FLOOR)
 
 
 @query("dense_topk", f"WITH {VEC}, {RANKED} SELECT q, CAST(rank AS INTEGER) AS rank, id, round(score, 5) AS score FROM r WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     """Ten nearest vectors by cosine."""
-    return R.top_k(dense_pairs(spark, sf_dir), "q", "id", 10).select("q", "rank", "id", F.round("score", 5).alias("score"))
+    return nearest(spark, sf_dir, 10).select("q", "rank", "id", F.round("score", 5).alias("score"))
 
 
 @query("topicality_gate", f"WITH {VEC} SELECT q, round(max(score), 5) AS best, max(score) >= 0.6 AS on_topic FROM pr GROUP BY q")
 def topicality_gate(spark, sf_dir):
     """Whether any vector is near enough for a query to be on topic."""
-    return dense_pairs(spark, sf_dir).groupBy("q").agg(F.round(F.max("score"), 5).alias("best"), (F.max("score") >= R.DENSE_FLOOR).alias("on_topic"))
+    return counts(spark, sf_dir).select("q", F.round("best", 5).alias("best"), (F.col("best") >= R.DENSE_FLOOR).alias("on_topic"))
 
 
 @query("noise_floor", f"WITH {VEC} SELECT round(max(score), 5) AS noise_floor, count(DISTINCT q) AS probes FROM pr WHERE ql <> label")
 def noise_floor(spark, sf_dir):
     """Best score of a probe outside its topic."""
-    return dense_pairs(spark, sf_dir).where("ql <> label").agg(F.round(F.max("score"), 5).alias("noise_floor"), F.countDistinct("q").alias("probes"))
+    return nearest(spark, sf_dir, 1, other_label=True).agg(F.round(F.max("score"), 5).alias("noise_floor"), F.count("q").alias("probes"))
 
 
 @query("dense_floor_count", f"WITH {VEC} SELECT q, count_if(score >= 0.6) AS above, count(*) AS scored FROM pr GROUP BY q")
 def dense_floor_count(spark, sf_dir):
     """Vectors above the dense floor for each query."""
-    return dense_pairs(spark, sf_dir).groupBy("q").agg(F.count_if(F.col("score") >= R.DENSE_FLOOR).alias("above"), F.count("*").alias("scored"))
+    return counts(spark, sf_dir).select("q", "above", "scored")
 
 
 DIV = "d AS (SELECT *, CAST(row_number() OVER (PARTITION BY q, label ORDER BY rank) > 2 AS INTEGER) AS spare FROM r WHERE rank <= 50), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY spare, rank) AS delivered FROM d)"
@@ -97,7 +104,7 @@ DIV = "d AS (SELECT *, CAST(row_number() OVER (PARTITION BY q, label ORDER BY ra
 @query("diversify_per_section", f"WITH {VEC}, {RANKED}, {DIV} SELECT q, CAST(delivered AS INTEGER) AS delivered, id, label, spare FROM o WHERE delivered <= 10")
 def diversify_per_section(spark, sf_dir):
     """Ten hits with at most two of a section before backfill."""
-    ranked = R.top_k(dense_pairs(spark, sf_dir), "q", "id", R.PREFETCH)
+    ranked = nearest(spark, sf_dir, R.PREFETCH)
     return R.diversify(ranked, "q", "label", 10).select("q", "delivered", "id", "label", "spare")
 
 
@@ -106,7 +113,7 @@ FIRST = "f AS (SELECT v.vec_id AS q, (SELECT min(rank) FROM r WHERE r.q = v.vec_
 
 def first_hits(spark, sf_dir):
     """Rank of the first hit with the query's own label, or null."""
-    ranked = R.top_k(dense_pairs(spark, sf_dir), "q", "id", 10)
+    ranked = nearest(spark, sf_dir, 10)
     return ranked.groupBy("q").agg(F.min(F.when(F.col("ql") == F.col("label"), F.col("rank"))).alias("rank"))
 
 
@@ -116,11 +123,14 @@ def recall_mrr(spark, sf_dir):
     return R.rank_metrics(first_hits(spark, sf_dir))
 
 
-@query("bootstrap_margin")
+DRAWS = "dr AS (SELECT q, round, rr, CAST('0x' || substr(md5(q || ':' || round || ':7'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT q, coalesce(1.0 / rank, 0) AS rr, unnest(generate_series(0, 399)) AS round FROM f))"
+TIMES = " + ".join(f"CAST(u >= {p} AS INTEGER)" for p in R.POISSON)
+
+
+@query("bootstrap_margin", f"WITH {VEC}, {RANKED}, {FIRST}, {DRAWS}, m AS (SELECT round, sum(({TIMES}) * rr) / nullif(sum({TIMES}), 0) AS m FROM dr GROUP BY round) SELECT count(*) AS rounds, round(stddev_pop(m), 6) AS margin FROM m")
 def bootstrap_margin(spark, sf_dir):
     """Noise margin of the mean reciprocal rank over 400 resamples."""
-    rr = first_hits(spark, sf_dir).select(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr"), (F.row_number().over(Window.orderBy("q")) - 1).cast("long").alias("i"))  # one row per question
-    return R.bootstrap_margin(rr)
+    return R.bootstrap_margin(first_hits(spark, sf_dir).select("q", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr")))
 
 
 HYB = f"WITH {INDEX}, v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), dn AS (SELECT * FROM (SELECT q.vec_id AS item_id, c.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, c.e), 6) DESC, c.vec_id) AS rank FROM v q JOIN v c ON q.vec_id <> c.vec_id JOIN benchmark b ON b.item_id = q.vec_id) WHERE rank <= 50), lx AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM score) WHERE rank <= 50), fu AS (SELECT item_id, doc_id, sum(1.0 / (1 + rank)) AS score FROM (SELECT item_id, doc_id, rank FROM dn UNION ALL SELECT item_id, doc_id, rank FROM lx) GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM fu)"
@@ -128,10 +138,10 @@ HYB = f"WITH {INDEX}, v AS (SELECT vec_id, list_transform(embedding, lambda x: C
 
 def legs(spark, sf_dir):
     """Dense and lexical legs for the benchmark items; vector ids stand for document ids."""
-    v = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    asked = table(spark, sf_dir, "benchmark", "item_id").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("q"), F.col("embedding").alias("qv"))
-    near = R.dense(asked, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score")
-    return R.top_k(near, "item_id", "doc_id", R.PREFETCH), lexical(spark, sf_dir, R.PREFETCH)
+    v = vectors(spark, sf_dir)
+    asked = v.join(table(spark, sf_dir, "benchmark", "item_id"), F.col("item_id") == F.col("id"), "left_semi")
+    near = R.dense_top(asked, v, R.PREFETCH).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return near, lexical(spark, sf_dir, R.PREFETCH)
 
 
 @query("hybrid_rrf", HYB + " SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM fr WHERE rank <= 10")
