@@ -163,3 +163,74 @@ def short_title(question: Column, limit: int = 80) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all elements of two arrays; 0 where either is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+
+
+# Fixed value: the name space of deterministic point ids.
+POINT_NAMESPACE = "6b686569726f5e738f63696f6c6f6779"
+
+
+def point_id(document: Column, index: Column) -> Column:
+    """Version-5 UUID over ``document:index`` in the fixed name space."""
+    name = F.concat(document.cast("string"), F.lit(":"), index.cast("string"))
+    h = F.sha1(F.concat(F.unhex(F.lit(POINT_NAMESPACE)), F.encode(name, "UTF-8")))
+    # Version nibble 5, and the two variant bits 10 before what the hash has.
+    variant = F.lower(F.conv(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)) + 8, 10, 16))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def path_id(path: Column) -> Column:
+    """File name with a short hash of it."""
+    name = F.substring_index(path, "/", -1)
+    return F.concat(name, F.lit(":"), F.substring(F.sha2(name, 256), 1, 8))
+
+
+# Fixed value: the form of chunk ids in prose.
+CHUNK_ID = r"chk_[0-9a-f]{24}"
+
+
+def clean_prose(text: Column) -> Column:
+    """Prose without chunk ids, in brackets or bare, and with the punctuation behind them repaired."""
+    out = F.regexp_replace(text, rf"\s*[\[(]\s*{CHUNK_ID}(?:\s*[,;]\s*{CHUNK_ID})*\s*[\])]", "")
+    out = F.regexp_replace(out, rf"\s*\b{CHUNK_ID}\b", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"\s+([.,;:])", "$1"), r"[ \t]{2,}", " "), F.lit(" \t\r\n"))
+
+
+def cursor(value: Column) -> Column:
+    """(started_at, id) of a page cursor ``iso|id``; null where it can't be read."""
+    at = F.split_part(value, F.lit("|"), F.lit(1)).try_cast("timestamp_ntz")
+    return F.when(at.isNotNull(), F.struct(at.alias("started_at"), F.split_part(value, F.lit("|"), F.lit(2)).alias("id")))
+
+
+def join_paragraphs(parts: Column) -> Column:
+    """Trimmed paragraphs that are not blank, joined by blank lines."""
+    return F.array_join(F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != ""), "\n\n")
+
+
+def repair_paragraph(text: Column) -> Column:
+    """A paragraph whose inner blank lines are single line breaks, trimmed."""
+    return F.regexp_replace(F.regexp_replace(text, r"\n\s*\n", "\n"), r"^\s+|\s+$", "")
+
+
+# Words that read as an exercise, and as a bibliographic aside.
+IMPERATIVES = r"(?i)\b(defina|define|señale|senale|explique|mencione|indique|analice|compare|justifique|describa|enumere|argumente|comente|responda|complete)\b"
+BIBLIOGRAPHIC = r"(?i)\b(ib[ií]d(em)?\b|[ií]dem\b|op\.\s*cit|loc\.\s*cit|pp?\.\s*\d)"
+LONG_NOTE = 120
+
+
+def reads_as_question(text: Column) -> Column:
+    """Whether a text reads as a question or exercise, whatever its numbering."""
+    return text.contains("¿") | F.endswith(F.regexp_replace(text, r"\s+$", ""), F.lit("?")) | text.rlike(IMPERATIVES)
+
+
+def reads_as_note(text: Column) -> Column:
+    """Whether a text reads as a bibliographic aside: cited or long, and no question."""
+    return ~reads_as_question(text) & (text.rlike(BIBLIOGRAPHIC) | (F.char_length(text) > LONG_NOTE))
+
+
+def semantic_counts(document: Column) -> Column:
+    """(concepts, claims, quoted) of a JSON document of semantics; null where it is none."""
+    parsed = F.from_json(document, "concepts array<string>, claims array<struct<quote:string>>")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    quoted = size(F.filter(parsed["claims"], lambda c: F.coalesce(c["quote"], F.lit("")) != ""))
+    return F.when(document.rlike(r"^\s*\{"), F.struct(size(parsed["concepts"]).alias("concepts"), size(parsed["claims"]).alias("claims"), quoted.alias("quoted")))
