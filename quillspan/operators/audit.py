@@ -87,3 +87,85 @@ def stage_durations(events: DataFrame, key: str, at: str, seq: str) -> DataFrame
 def availability(name: str, value: Column) -> Column:
     """Envelope that keeps 'could not be asked' apart from zero."""
     return F.struct(F.lit(name).alias("leg"), value.isNotNull().alias("available"), value.alias("data"))
+
+
+def choose_stream(spans: DataFrame, streams: DataFrame) -> DataFrame:
+    """id, chosen, verified, unanimous: the text that each document's spans really index.
+
+    ``spans``: id, begin, end, text; ``streams``: id, label, content. Every stream is
+    measured; the one with most verified spans wins, the earlier label on a tie.
+    """
+    raw = streams.select("id", "label", F.encode("content", "UTF-8").alias("_raw"))
+    piece = F.try_validate_utf8(F.expr("substring(_raw, begin + 1, end - begin)").cast("string"))
+    scored = spans.join(raw, "id").groupBy("id", "label").agg(F.count_if(piece == F.col("text")).alias("verified"), F.count("*").alias("n"))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("verified")).alias("v"), "label", "n")).alias("b"))
+    return best.select("id", F.col("b.label").alias("chosen"), (-F.col("b.v")).alias("verified"), (F.col("b.n") == -F.col("b.v")).alias("unanimous"))
+
+
+def shared_ranges(chunks: DataFrame, key: str) -> DataFrame:
+    """Paragraph ranges (first, last) that several chunks of a key report."""
+    return chunks.groupBy(key, "para_from", "para_to").agg(F.count("*").alias("chunks")).where("chunks > 1")
+
+
+def chunk_times(chunks: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Chunks (key, index, para_from, para_to) with start_s, end_s and ``fault``.
+
+    Times are the start of the first and the end of the last paragraph of ``table`` (key,
+    idx, start_s, end_s). A range outside the table is a fault, never clamped.
+    """
+    first = table.select(key, F.col("idx").alias("para_from"), "start_s")
+    last = table.select(key, F.col("idx").alias("para_to"), "end_s")
+    j = chunks.join(first, [key, "para_from"], "left").join(last, [key, "para_to"], "left")
+    fault = F.when(F.col("para_to") < F.col("para_from"), "backwards").when(F.col("start_s").isNull() | F.col("end_s").isNull(), "outside")
+    return j.withColumn("fault", fault).withColumns({c: F.when(F.col("fault").isNull(), F.col(c)) for c in ("start_s", "end_s")})
+
+
+def time_report(timed: DataFrame, duration: DataFrame, key: str) -> DataFrame:
+    """Per key: chunks, faults, starts that go back, starts behind ends, and ends past the duration (reported only)."""
+    w = Window.partitionBy(key).orderBy("index")
+    back = F.col("start_s") < F.lag("start_s").over(w)
+    return timed.withColumn("_back", back).join(duration, key, "left").groupBy(key).agg(
+        F.count("*").alias("chunks"), F.count("fault").alias("faults"), F.count_if("_back").alias("back"),
+        F.count_if(F.col("start_s") > F.col("end_s")).alias("inverted"), F.count_if(F.col("end_s") > F.col("duration_s")).alias("past_duration"),
+    )
+
+
+def uncovered(chunks: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Paragraphs (key, idx) of ``table`` that no chunk covers."""
+    seen = chunks.where("para_to >= para_from").select(key, F.explode(F.sequence("para_from", "para_to")).alias("idx")).distinct()
+    return table.select(key, "idx").join(seen, [key, "idx"], "left_anti")
+
+
+def alignment(paragraphs: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Per key: paragraphs, timed groups, blank paragraphs, and whether indices still carry the times."""
+    p = paragraphs.groupBy(key).agg(F.count("*").alias("paragraphs"), F.count_if(F.trim(F.regexp_replace("text", r"\s+", " ")) == "").alias("blank"))
+    j = p.join(table.groupBy(key).agg(F.count("*").alias("timed")), key, "full").fillna(0)
+    return j.withColumn("aligned", (F.col("blank") == 0) & (F.col("paragraphs") == F.col("timed")))
+
+
+def status_fold(rows: DataFrame, key: str) -> DataFrame:
+    """Claims and quoted claims per status and, with a null status, in all; what has no status stays apart."""
+    named = rows.withColumn("status", F.coalesce("status", F.lit("sin_estado")))
+    each = named.rollup(key, "status").agg(F.sum("claims").alias("claims"), F.sum("with_quote").alias("with_quote"))
+    return each.where(F.col(key).isNotNull())
+
+
+def ledger(calls: DataFrame) -> DataFrame:
+    """Per stage: calls, retries, failures, cache hits, tokens, usd (null where nothing is priced) and unpriced calls."""
+    sums = [F.sum(c).alias(c) for c in ("retries", "failures", "cache_hits", "tokens")]
+    return calls.groupBy("stage").agg(F.count("*").alias("calls"), *sums, F.round(F.sum("usd"), 2).alias("usd"), F.count_if(F.col("usd").isNull()).alias("unpriced"))
+
+
+def heading_disagreement(chunks: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """Distinct chapters of every key under several rule sets, and whether they disagree."""
+    counts = [F.countDistinct(F.nullif(c, F.lit(""))).alias(n) for n, c in rules.items()]
+    return chunks.groupBy(key).agg(*counts).withColumn("disagree", F.greatest(*rules) != F.least(*rules))
+
+
+def semantic_diff(produced: dict[str, DataFrame], held: dict[str, DataFrame], key: str) -> DataFrame:
+    """One row for claims, concepts and mentions each: the set differences of a run and the graph."""
+    parts = [stale_diff(produced[k].select(key).distinct(), held[k].select(key).distinct(), key).withColumn("what", F.lit(k)) for k in produced]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
