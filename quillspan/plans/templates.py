@@ -90,3 +90,39 @@ register(Template("claims_for_chunks", {"chunk_ids": "id_list", "tenant_id": "st
 register(Template("chunk_texts", {"version_id": "id", "chunk_ids": "id_list", "tenant_id": "string"}, lambda e, p: e["chunks"].where((F.col("version_id") == p["version_id"]) & F.col("chunk_id").isin(p["chunk_ids"])), ("ordinal",)))
 register(Template("library_documents", {"library_id": "string", "tenant_id": "string"}, lambda e, p: e["versions"].where((F.col("library_id") == p["library_id"]) & F.col("active")), ("title", "version_id"), limit="document_limit"))
 register(Template("version_mention_pairs", {"version_id": "id", "tenant_id": "string"}, lambda e, p: e["mentions"].where(F.col("version_id") == p["version_id"]).select("chunk_id", "concept_id"), ("chunk_id", "concept_id"), limit="mention_limit", planner_visible=False))
+
+_of_version = lambda name: lambda e, p: e[name].where(F.col("version_id") == p["version_id"])
+VERSION = {"version_id": "id", "tenant_id": "string"}
+
+
+def _pairs(e: dict, p: dict) -> DataFrame:
+    """Claims that relate two concepts, whichever way round."""
+    both = [p["concept_a"], p["concept_b"]]
+    return e["claims"].where(F.col("about").isin(both) & F.col("involves").isin(both) & (F.col("about") != F.col("involves")) & (F.col("confidence") >= p["confidence_floor"]))
+
+
+def _reached(e: dict, p: dict) -> DataFrame:
+    """Distinct concepts of a version by its mentions, and by its claims' two ends."""
+    claims = _of_version("claims")(e, p)
+    routes = [_of_version("mentions")(e, p).select("concept_id"), claims.select(F.col("about").alias("concept_id")), claims.select(F.col("involves").alias("concept_id"))]
+    return G.reached(routes)
+
+
+def _library_mentions(e: dict, p: dict) -> DataFrame:
+    """Weighted mention edges of one library's concepts that enough of its versions hold."""
+    versions = e["versions"].where((F.col("library_id") == p["library_id"]) & F.col("active"))
+    return G.library_mentions(_mentions(e, p), versions, p["min_documents"]).drop("library_id")
+
+
+register(Template("claims_between_concepts", {"concept_a": "id", "concept_b": "id", "tenant_id": "string", "confidence_floor": "float"}, _pairs, ("-confidence", "claim_id"), defaults=FLOOR))
+register(Template("citations_for_chunks", {"chunk_ids": "id_list", "tenant_id": "string"}, lambda e, p: e["citations"].where(F.col("chunk_id").isin(p["chunk_ids"])), ("chunk_id", "citation_id")))
+register(Template("library_mentions", {"library_id": "string", "tenant_id": "string", "confidence_floor": "float", "min_documents": "int"}, _library_mentions, ("-weight", "version_id", "concept_id"), limit="mention_limit", defaults=FLOOR | {"min_documents": 1}))
+register(Template("graph_node_counts", {"tenant_id": "string"}, lambda e, p: G.label_counts({k: e[k] for k in ("chunks", "concepts", "versions", "claims")}), ("label",), planner_visible=False))
+register(Template("graph_edge_counts", {"tenant_id": "string"}, lambda e, p: e["mentions"].groupBy(F.lit("MENTIONS").alias("type")).agg(F.count("*").alias("n")), ("type",), planner_visible=False))
+register(Template("version_counts", VERSION, lambda e, p: G.label_counts({k: _of_version(k)(e, p) for k in ("chunks", "claims", "mentions")}), ("label",), planner_visible=False))
+register(Template("version_chunk_kinds", VERSION, lambda e, p: _of_version("chunks")(e, p).groupBy("kind").agg(F.count("*").alias("n")), ("kind",), planner_visible=False))
+register(Template("version_section_levels", VERSION, lambda e, p: _of_version("sections")(e, p).groupBy("level").agg(F.count("*").alias("n")), ("level",), planner_visible=False))
+register(Template("version_claim_shape", VERSION, lambda e, p: _of_version("claims")(e, p).groupBy("status").agg(F.count("*").alias("claims"), F.count(F.nullif("quote", F.lit(""))).alias("with_quote")), ("status",), planner_visible=False))
+register(Template("version_claim_keys", VERSION, lambda e, p: _of_version("claims")(e, p).select("claim_id", F.concat_ws(" ", "chunk_id", "text").alias("claim_key")), ("claim_id",), limit="claim_limit", planner_visible=False))
+register(Template("version_concept_ids", VERSION, _reached, ("concept_id",), limit="concept_limit", planner_visible=False))
+register(Template("version_concepts_reached", VERSION, lambda e, p: _reached(e, p).agg(F.count("*").alias("concepts")), ("concepts",), planner_visible=False))
