@@ -95,8 +95,9 @@ class ByteBpe:
         self.pool = np.frombuffer(b"".join(raw), np.uint8)
         self.pattern, self.cut = regex.compile(BYTE_PATTERN), splitter(self.special)
         self.sizes, self.numerals = lengths.tolist(), [str(i) for i in range(size)]
+        # Ids of split pieces, and of words with the blank before them: a word that is one
+        # piece has the same ids as both.
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
     def _longest(self, text: str) -> list[int]:
         """Longest entry that begins at every place of ``text``, by one scan of the automaton."""
@@ -187,12 +188,11 @@ class ByteBpe:
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        # Most words are one piece: a blank and letters only.
-        found = self.pieces.get(chunk) or b"".join(self._split(chunk))
+        found = b"".join(self._split(chunk))
         if len(chunk) <= CACHE_CHARS and "\n" not in chunk:
-            if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[chunk] = found
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+            self.pieces[chunk] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -205,7 +205,7 @@ class ByteBpe:
                 parts += self._split(section)
             elif section:
                 # A single blank always belongs to the word behind it, so blanks cut freely.
-                words, get, add = section.split(" "), self.chunks.get, self._chunk
+                words, get, add = section.split(" "), self.pieces.get, self._chunk
                 if words[0]:
                     parts.append(get(words[0]) or add(words[0]))
                 parts += [get(w) or add(w) for w in [" " + w for w in words[1:]]]

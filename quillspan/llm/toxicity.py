@@ -17,7 +17,7 @@ AFFIXES = (3, 4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
 STRIP = "\"'()[]{}<>,;:*#$%&-_/\\|«»„“”’‘…"
 #: Words whose features or scores a worker remembers before it starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 
 
 def word_features(token: str) -> list[int]:
@@ -165,26 +165,24 @@ def score(docs: DataFrame, model: NoisyOr, *, text_col: str = "text", spans: boo
     result; other columns are kept, but ``score`` and ``offending``, which are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 1 MB table
-    kept = [c for c in docs.columns if c.lower() not in ("score", "offending")]
-    rows = docs.select(*kept)
-    extra = "score double" + (", offending array<struct<begin:int,end:int,score:double>>" if spans else "")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [extra])
-    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            totals, found = [], []
-            for value in batch.column(batch.schema.get_field_index(text_col)):
-                at, z = m.sentences(value.as_py() or "")
-                totals.append(m.combine(z))
-                if spans:
-                    p = np.exp(-np.logaddexp(0, -z))
-                    found.append([{"begin": a, "end": b, "score": float(s)} for (a, b), s in zip(at, p, strict=True) if s >= 0.5])
-            cols = [*batch.columns, pa.array(totals, pa.float64())] + ([pa.array(found, kind)] if spans else [])
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "score"] + ["offending"] * spans)
-
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in ("score", "offending")])
+    kind = pa.struct([("score", pa.float64()), ("offending", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
+
+    # Only the text goes to Python, and only numbers come back.
+    @F.arrow_udf("struct<score:double,offending:array<struct<begin:int,end:int,score:double>>>" if spans else "double")
+    def judge(texts: pa.Array) -> pa.Array:
+        m, totals, found = shared.value, [], []
+        for value in texts:
+            at, z = m.sentences(value.as_py() or "")
+            totals.append(m.combine(z))
+            if spans:
+                p = np.exp(-np.logaddexp(0, -z))
+                found.append([{"begin": a, "end": b, "score": float(s)} for (a, b), s in zip(at, p, strict=True) if s >= 0.5])
+        scores = pa.array(totals, pa.float64())
+        return pa.StructArray.from_arrays([scores, pa.array(found, kind[1].type)], fields=list(kind)) if spans else scores
+
+    out = rows.withColumn("score", judge(F.col(text_col)))
+    return out.select(*rows.columns, "score.score", "score.offending") if spans else out
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
