@@ -169,3 +169,26 @@ def semantic_diff(produced: dict[str, DataFrame], held: dict[str, DataFrame], ke
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: Words of the inner run by which a quote is looked up.
+QUOTE_GRAM = 4
+
+
+def quoted_in(docs: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
+    """Documents with each quote they hold verbatim.
+
+    A quote of six words or more is found by the hash of its second to fifth word, which any
+    text that holds it must have between blanks; what meets is verified. Shorter quotes,
+    which have no such run, are searched in every document.
+    """
+    parts = F.split(F.col(quote), " ")
+    run = lambda words, i: F.xxhash64(*[F.get(words, i + k) for k in range(QUOTE_GRAM)])
+    marked = quotes.withColumn("_parts", parts)
+    long = marked.where(F.size("_parts") >= QUOTE_GRAM + 2).withColumn("_key", run(F.col("_parts"), F.lit(1))).drop("_parts")
+    short = marked.where(F.size("_parts") < QUOTE_GRAM + 2).drop("_parts")
+    words = docs.select(F.struct(*docs.columns).alias("doc"), F.split(text, " ").alias("_words")).where(F.size("_words") >= QUOTE_GRAM)
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_words") - QUOTE_GRAM), lambda i: run(F.col("_words"), i)))
+    met = words.select("doc", F.explode(keys).alias("_key")).join(long, "_key").drop("_key").select("doc.*", *quotes.columns)
+    both = met.where(F.contains(text, F.col(quote)))
+    return both.unionByName(docs.join(short, F.contains(F.col(text), F.col(quote))).select(both.columns))

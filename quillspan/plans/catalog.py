@@ -132,12 +132,14 @@ def stale_diff(spark, sf_dir):
     return A.stale_diff(d.where("lang <> 'de'"), d.where("lang <> 'fr'"), "k")
 
 
-@query("topical_jaccard", "WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w <> '')) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap FROM t a JOIN t b ON a.item_id < b.item_id")
+@query("topical_jaccard", "WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w <> '')) AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap FROM t a JOIN t b ON a.item_id < b.item_id) SELECT * FROM p WHERE overlap > 0")
 def topical_jaccard(spark, sf_dir):
-    """Word overlap of every pair of benchmark texts."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("w"))
-    a, b = t.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), t.select(F.col("item_id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("overlap"))
+    """Word overlap of benchmark texts that share a word; all other pairs have none."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.size(words).alias("n"), F.explode(words).alias("word"))
+    a, b = t.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "word"), t.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "word")
+    met = a.join(b, "word").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    return met.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("overlap"))
 
 
 @query("correction_gate", r"WITH e AS (SELECT doc_id, text AS o, trim(replace(regexp_replace(text, '\d', '', 'g'), ' the ', ' ')) AS c FROM documents) SELECT doc_id, CASE WHEN length(c) = 0 THEN 'empty' WHEN abs(length(c) - length(o)) / greatest(1, length(o)) > 0.25 THEN 'length' WHEN length(o) - length(c) > 20 THEN 'deleted' WHEN len(list_filter(regexp_extract_all(o, '\d{1,3}:\d{1,3}'), lambda x: NOT list_contains(regexp_extract_all(c, '\d{1,3}:\d{1,3}'), x))) > 0 THEN 'scripture' WHEN len(list_filter(regexp_extract_all(o, '\d{2,}'), lambda x: NOT list_contains(regexp_extract_all(c, '\d{2,}'), x))) > 0 THEN 'numbers' ELSE 'names_or_none' END AS reason FROM e")
@@ -151,12 +153,9 @@ def correction_gate(spark, sf_dir):
 
 @query("quote_location", "SELECT item_id, doc_id, CAST(strlen(substr(d.text, 1, strpos(d.text, b.text) - 1)) AS INTEGER) AS span_begin, CAST(strlen(substr(d.text, 1, strpos(d.text, b.text) - 1)) + strlen(b.text) AS INTEGER) AS span_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_location(spark, sf_dir):
-    """Byte spans of benchmark texts that documents quote verbatim.
-
-    The quotes are the stated small set; every document is searched once for each.
-    """
+    """Byte spans of benchmark texts that documents quote verbatim."""
     b, d = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, sf_dir, "documents", "doc_id", "text")
-    j = d.join(b, F.contains("text", "quote")).withColumn("s", T.quote_span(F.col("quote"), F.col("text")))
+    j = A.quoted_in(d, b, "text", "quote").withColumn("s", T.quote_span(F.col("quote"), F.col("text")))
     return j.select("item_id", "doc_id", F.col("s.begin").alias("span_begin"), F.col("s.end").alias("span_end"))
 
 

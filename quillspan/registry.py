@@ -30,4 +30,4 @@ def load() -> None:
         import_module(f"quillspan.plans.{name}")
 
 
-MODULES = ("retrieval", "graph", "chunking", "catalog", "rules", "scalars", "records", "evidence", "audits", "reads")
+MODULES = ("retrieval", "graph", "chunking", "catalog", "rules", "scalars", "records", "evidence", "audits", "reads", "stored")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 # Suffix -> reader, table window sizes and layout thresholds.
 FORMATS = {"pdf": "pdf", "txt": "plain", "md": "plain", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "xlsm": "xlsx", "csv": "csv"}
 WINDOW_ROWS, WINDOW_CHARS, HEADER_TEXT_SHARE, HEADER_DEPTH = 20, 1200, 0.6, 10
+SNIFF_CHARS = 16 << 10
 FOOTER_SHARE, GAP_FACTOR, TEXTLESS_CHARS = 0.06, 1.5, 40
 VIDEO_ID = r"(?:youtube\.com/(?:watch\?(?:[^#]*&)?v=|shorts/|embed/|live/|v/)|youtu\.be/)([A-Za-z0-9_-]{11})(?:[?&#/]|$)"
 
@@ -39,11 +40,24 @@ def plain(files: DataFrame) -> DataFrame:
 def csv_rows(files: DataFrame) -> DataFrame:
     """path, window, row, header and cells of CSV files.
 
-    Encodings are tried in order of strictness; the delimiter is the most frequent candidate
-    of the first line; blank rows go, missing names become ``colN``; windows hold 20 rows.
+    Encodings are tried in order of strictness; delimiter and header are sniffed from the
+    first 16 KiB (else: the most frequent candidate of the first line, and a header); blank
+    rows go, missing names become ``colN``; windows hold 20 rows.
     """
     import csv
 
+    def sniff(text):
+        sample, first = text[:SNIFF_CHARS], text.split("\n", 1)[0]
+        try:
+            sep = csv.Sniffer().sniff(sample, delimiters=",;\t|").delimiter
+        except csv.Error:
+            sep = max(",;\t|", key=first.count)
+        held = "\n".join(line for line in sample.splitlines() if line.strip(sep + " "))
+        try:
+            return sep, csv.Sniffer().has_header(held)
+        except (csv.Error, StopIteration):
+            return sep, True
+
     def run(frames):
         for pdf in frames:
             out = []
@@ -54,12 +68,11 @@ def csv_rows(files: DataFrame) -> DataFrame:
                         break
                     except UnicodeDecodeError:
                         continue
-                first = text.split("\n", 1)[0]
-                sep = max(",;\t|", key=first.count)
+                sep, named = sniff(text)
                 rows = [r for r in csv.reader(io.StringIO(text), delimiter=sep) if any(c.strip() for c in r)]
                 if rows:
-                    names = [c.strip() or f"col{i}" for i, c in enumerate(rows[0], 1)]
-                    out += [(path, i // WINDOW_ROWS, i, names, r) for i, r in enumerate(rows[1:])]
+                    names = [(c.strip() if named else "") or f"col{i}" for i, c in enumerate(rows[0], 1)]
+                    out += [(path, i // WINDOW_ROWS, i, names, r) for i, r in enumerate(rows[named:])]
             yield pd.DataFrame(out, columns=["path", "window", "row", "header", "cells"])
 
     return files.select("path", "content").mapInPandas(run, "path string, window int, row int, header array<string>, cells array<string>")
@@ -94,8 +107,11 @@ def xlsx_cells(files: DataFrame) -> DataFrame:
                 shared = []
                 if "xl/sharedStrings.xml" in z.namelist():
                     shared = ["".join(t.text or "" for t in si.iter("t")) for si in _xml(z, "xl/sharedStrings.xml").iter("si")]
+                rels = "xl/_rels/workbook.xml.rels"
+                parts = {r.get("Id"): "xl/" + r.get("Target").removeprefix("/xl/") for r in _xml(z, rels).iter("Relationship")} if rels in z.namelist() else {}
                 for i, sheet in enumerate(_xml(z, "xl/workbook.xml").iter("sheet"), 1):
-                    root, grid = _xml(z, f"xl/worksheets/sheet{i}.xml"), {}
+                    # The sheet's relationship names its part; files without relationships go by position.
+                    root, grid = _xml(z, parts.get(sheet.get("id"), f"xl/worksheets/sheet{i}.xml")), {}
                     for c in root.iter("c"):
                         v = c.find("v")
                         raw = v.text if v is not None else "".join(t.text or "" for t in c.iter("t")) or None
@@ -136,18 +152,42 @@ def header_rows(tables: DataFrame) -> DataFrame:
     return ranked.where((F.col("bad") == 0) & (F.col("k") <= HEADER_DEPTH)).select("path", "sheet", "table", "row")
 
 
+def trim_columns(tables: DataFrame) -> DataFrame:
+    """Cells between the first and last column of their table that hold anything, with ``first_col`` (from 1)."""
+    w = Window.partitionBy("path", "sheet", "table")
+    held = F.when(F.coalesce(F.trim("value"), F.lit("")) != "", F.col("col"))
+    placed = tables.withColumn("first_col", F.min(held).over(w)).withColumn("_last", F.max(held).over(w))
+    return placed.where((F.col("col") >= F.col("first_col")) & (F.col("col") <= F.col("_last"))).drop("_last")
+
+
 def row_windows(rows: DataFrame, key: list[str], order: str, text: str) -> DataFrame:
-    """Rows with ``window``: 20 rows or 1200 characters, whichever comes first.
+    """Rows with ``window``, from 0: up to 20 rows and 1200 characters, or one longer row.
 
-    A window that is cut early is followed by the next row, so no row is skipped.
+    A window that is cut early is followed by the next row, and its count starts anew, so no
+    row is skipped; where one ends depends on all before it, so a table is folded in order.
     """
-    w = Window.partitionBy(*key).orderBy(order)
-    placed = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_chars", F.sum(F.char_length(text)).over(w) - F.char_length(text))
-    return placed.withColumn("window", F.struct(F.floor(F.col("_n") / WINDOW_ROWS).alias("rows"), F.floor(F.col("_chars") / WINDOW_CHARS).alias("chars"))).drop("_n", "_chars")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order, text], kind="stable")
+        out, window, n, size = [], 0, 0, 0
+        for value in pdf[text]:
+            chars = len(value or "")
+            if n and (n == WINDOW_ROWS or size + chars > WINDOW_CHARS):
+                window, n, size = window + 1, 0, 0
+            n, size = n + 1, size + chars
+            out.append(window)
+        return pdf.assign(window=pd.Series(out, index=pdf.index, dtype="int32"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", window int"
+    return rows.groupBy(*key).applyInPandas(run, schema)
 
 
 def docx_paragraphs(files: DataFrame) -> DataFrame:
-    """path, idx, level, text of Word documents; tables follow as ``a | b`` rows."""
+    """path, idx, level, text of Word documents.
+
+    Headings without a number get a dotted one by their place. Tables come after all
+    paragraphs, each row as ``name: value | name: value`` by the table's first row.
+    """
 
     def run(frames):
         for pdf in frames:
@@ -155,13 +195,20 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 body = _xml(zipfile.ZipFile(io.BytesIO(bytes(content))), "word/document.xml").find("body")
                 say = lambda e: "".join(t.text or "" for t in e.iter("t")).strip()
-                found = []
+                found, counts = [], []
                 for p in body.findall("p"):
                     style = next((s.get("val", "") for s in p.iter("pStyle")), "")
-                    level = re.search(r"(?:Heading|Ttulo|Título)\s*(\d)", style)
-                    found.append((int(level[1]) if level else 0, say(p)))
+                    match, body_text = re.search(r"(?:Heading|Ttulo|Título)\s*(\d)", style), say(p)
+                    level = int(match[1]) if match else 0
+                    if level and body_text:
+                        counts = [*counts[:level], *[0] * (level - len(counts))]
+                        counts[level - 1] += 1
+                        if not re.match(r"\d+(\.\d+)*\.?\s", body_text):
+                            body_text = ".".join(str(n or 1) for n in counts) + " " + body_text
+                    found.append((level, body_text))
                 for t in body.findall("tbl"):
-                    found += [(0, " | ".join(say(c) for c in r.findall("tc"))) for r in t.findall("tr")]
+                    names, *rest = [[say(c) for c in r.findall("tc")] for r in t.findall("tr")] or [[]]
+                    found += [(0, " | ".join(f"{n}: {v}" for n, v in zip(names, r, strict=False))) for r in rest] or [(0, " | ".join(names))]
                 out += [(path, i, lv, tx) for i, (lv, tx) in enumerate(x for x in found if x[1])]
             yield pd.DataFrame(out, columns=["path", "idx", "level", "text"])
 

@@ -36,10 +36,31 @@ def test_files_and_formats(spark, tmp_path):
     tables = S.sheet_tables(cells)
     assert {(r.row, r.table) for r in tables.collect()} == {(1, 0), (2, 0), (4, 1)}
     assert {(r.table, r.row) for r in S.header_rows(tables).collect()} == {(0, 1), (1, 4)}
-    assert [(r.level, r.text) for r in S.docx_paragraphs(pick("e.docx")).orderBy("idx").collect()] == [(2, "Tema"), (0, "Texto"), (0, "a | b")]
+    assert [(r.level, r.text) for r in S.docx_paragraphs(pick("e.docx")).orderBy("idx").collect()] == [(2, "1.1 Tema"), (0, "Texto"), (0, "a | b")]
     assert [(r.slide, r.title) for r in S.pptx_slides(pick("f.pptx")).collect()] == [(1, "Título")]
 
 
+def test_windows_fold_in_order_and_columns_are_trimmed(spark):
+    texts = ["x" * 700, "y" * 700, "z" * 1300] + ["w"] * 25
+    rows = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "table string, row int, text string")
+    got = [r.window for r in S.row_windows(rows, ["table"], "row", "text").orderBy("row").collect()]
+    assert got == [0, 1, 2, *[3] * 20, *[4] * 5]
+    cells = spark.createDataFrame([("p", "s", 0, 1, c, v) for c, v in [(1, None), (2, " "), (3, "a"), (4, None), (5, "b"), (6, "")]], "path string, sheet string, table int, row int, col int, value string")
+    assert [(r.col, r.first_col) for r in S.trim_columns(cells).orderBy("col").collect()] == [(3, 3), (4, 3), (5, 3)]
+
+
+def test_sheets_go_by_relationship(spark):
+    sheet = lambda v: f'<worksheet><sheetData><row r="1"><c r="A1"><v>{v}</v></c></row></sheetData></worksheet>'
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="one" r:id="rId2"/><sheet name="two" r:id="rId1"/></sheets></workbook>')
+        f.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        f.writestr("xl/worksheets/sheet1.xml", sheet(1))
+        f.writestr("xl/worksheets/sheet2.xml", sheet(2))
+    cells = S.xlsx_cells(spark.createDataFrame([("p", bytearray(z.getvalue()))], "path string, content binary"))
+    assert {(r.sheet, r.value) for r in cells.collect()} == {("one", "2"), ("two", "1")}
+
+
 def test_layout(spark):
     rows = [("b", 1, y, 0.0, t, 100.0) for y, t in [(10.0, "a"), (12.0, "b"), (14.0, "c"), (20.0, "d"), (50.0, "7"), (98.0, "pie")]] + [("b", 2, 10.0, 0.0, "e", 100.0)]
     df = spark.createDataFrame(rows, "path string, page int, y0 double, x0 double, text string, height double")
