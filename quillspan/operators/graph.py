@@ -35,8 +35,10 @@ def related_versions(mentions: DataFrame, versions: DataFrame, cap: int) -> Data
     d = mentions.join(versions.select("version_id", "library_id"), "version_id").select("library_id", "version_id", "concept_id").distinct()
     other = d.withColumnRenamed("version_id", "other_id")
     pairs = d.join(other, ["library_id", "concept_id"]).where("version_id <> other_id")
-    lists = F.slice(F.array_sort(F.collect_list("concept_id")), 1, cap)
-    return pairs.groupBy("version_id", "other_id").agg(F.count("*").alias("shared"), lists.alias("concepts"))
+    # Numbered before they are listed, so that no list grows beyond the cap.
+    w = Window.partitionBy("version_id", "other_id")
+    listed = pairs.withColumn("shared", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("concept_id"))).where(F.col("k") <= cap)
+    return listed.groupBy("version_id", "other_id", "shared").agg(F.array_sort(F.collect_list("concept_id")).alias("concepts"))
 
 
 def library_mentions(mentions: DataFrame, versions: DataFrame, min_documents: int) -> DataFrame:
@@ -119,9 +121,13 @@ def communities(mentions: DataFrame, rounds: int = 6, resolution: float = 2.0) -
 
     Every round scores, for each node, the communities of its neighbours by shared edge
     weight less the expected weight, and moves one side of the bipartite graph at a time, so
-    that neighbours never swap labels. Each round is two equi-joins and two aggregations.
+    that neighbours never swap labels. Each round is two equi-joins and two aggregations, and
+    its labels are checkpointed (kept in memory and on disk where no folder is set), so that
+    rounds do not plan or run their predecessors again.
     """
+    settle = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
     e = mentions.groupBy(F.concat(F.lit("v"), F.col("version_id").cast("string")).alias("v"), F.concat(F.lit("c"), F.col("concept_id").cast("string")).alias("c")).agg(F.count("*").cast("double").alias("w"))
+    e = settle(e)
     sides = {"v": e.select(F.col("v").alias("node"), F.col("c").alias("other"), "w"), "c": e.select(F.col("c").alias("node"), F.col("v").alias("other"), "w")}
     both = sides["v"].unionByName(sides["c"])
     strength = both.groupBy("node").agg(F.sum("w").alias("k"))
@@ -134,5 +140,5 @@ def communities(mentions: DataFrame, rounds: int = 6, resolution: float = 2.0) -
         gain = near.join(size, "community").join(strength, "node").withColumn("gain", F.round(F.col("shared") - resolution * F.col("k") * F.col("size") / (2 * total), 9))
         best = gain.groupBy("node").agg(F.max(F.struct("gain", F.col("community").alias("to"))).alias("b")).select("node", "b.*").where("gain > 0")
         moved = label.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"))
-        label = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved
+        label = settle(moved)
     return label

@@ -30,14 +30,19 @@ def mentions(parsed: DataFrame) -> DataFrame:
 
 
 def claims(parsed: DataFrame, statuses: list[str]) -> DataFrame:
-    """claim_id, chunk_id, text, status (closed set or null), byte span of the quote, relations."""
+    """claim_id, chunk_id, text, status (closed set or null), byte span of the quote, relations.
+
+    Of claims with one id the one with a quote's place, then of the least text and status, stays.
+    """
     c = parsed.select("chunk_id", F.col("text").alias("chunk_text"), F.explode("claims").alias("c")).select("chunk_id", "chunk_text", "c.*")
     about = canonical_name(F.col("about"))
     others = F.filter(F.transform("involves", canonical_name), lambda k: (k != "") & (k != F.coalesce(about, F.lit(""))))
-    return c.select(
+    out = c.select(
         digest(F.col("chunk_id").cast("string"), collapse(F.col("text"))).alias("claim_id"), "chunk_id", "text", F.when(F.col("status").isin(statuses), F.col("status")).alias("status"),
         quote_span(F.col("quote"), F.col("chunk_text")).alias("span"), about.alias("about"), F.array_distinct(others).alias("involves"),
-    ).dropDuplicates(["claim_id"])
+    )
+    order = [F.col("span").isNull(), "span.begin", "text", F.asc_nulls_last("status"), F.asc_nulls_last("about"), F.array_join("involves", "|")]
+    return out.withColumn("_k", F.row_number().over(Window.partitionBy("claim_id").orderBy(*order))).where("_k = 1").drop("_k")
 
 
 def glean(passes: DataFrame) -> DataFrame:
