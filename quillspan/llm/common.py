@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -86,6 +86,13 @@ def cleanup(spark: SparkSession) -> None:
         _delete(spark, name)
 
 
+def row_key(*columns: Column | str) -> Column:
+    """16 bytes that name the columns' values, nulls told from empty: two hashes of 64 bits."""
+    marked = [part for c in (F.col(c) if isinstance(c, str) else c for c in columns) for part in (c.isNull(), c)]
+    half = lambda salt: F.lpad(F.hex(F.xxhash64(F.lit(salt), *marked)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of an undirected graph.
 

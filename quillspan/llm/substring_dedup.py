@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize, scratch
+from quillspan.llm.common import materialize, row_key, scratch
 
 #: Bytes of the grams whose smallest hash anchors a window.
 GRAM = 32
@@ -179,21 +179,6 @@ def cut_pieces(text: bytes, j0: int, n: int, d: int, h: int, size: int, span: in
         done += count
 
 
-def _resolve(group: list[tuple], size: int, span: int):
-    """(key, begin, end) of repeated bytes among the single pieces of one large group."""
-    if span == 1 or sum(len(p[5]) for p in group) <= GROUP_BYTES:
-        yield from _sorted_hits(group, size)
-        return
-    # Too large to sort at once: divide by narrower offset buckets and their longer cores.
-    finer: dict[int, list[tuple]] = {}
-    for key, begin, offset, h, single, text in group:
-        for k, b, o, t in cut_pieces(text, 0, len(text) - size + 1, offset, h, size, span // 8):
-            finer.setdefault(k, []).append((key, begin + b, o, h, single, t))
-    for part in finer.values():
-        if len(part) > 1:
-            yield from _resolve(part, size, span // 8)
-
-
 def _sorted_hits(pieces: list[tuple], size: int):
     if len({p[5] for p in pieces}) == 1 and len(pieces) > 1:  # one text many times over
         hits = [np.ones(len(p[5]) - size + 1, bool) for p in pieces]
@@ -210,7 +195,7 @@ def _segment_rows(size: int):
     """Arrow function (key, text) -> one row per segment."""
 
     def run(batches):
-        keys: list[int] = []
+        keys: list[bytes] = []
         offsets: list[int] = []
         pieces: list[np.ndarray] = []
         held = 0
@@ -218,8 +203,8 @@ def _segment_rows(size: int):
         def flush():
             piece, first, n, d, h, s = segments(pieces, size)
             j0 = first + np.array(offsets)[piece]
-            cols = [np.array(keys, np.int64)[piece], j0.astype(np.int32), n.astype(np.int32), d.astype(np.int32), h.view(np.int64), s.view(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "j0", "n", "d", "h", "s"])
+            cols = [pa.array(keys, pa.binary()).take(pa.array(piece)), j0.astype(np.int32), n.astype(np.int32), d.astype(np.int32), h.view(np.int64), s.view(np.int64)]
+            return pa.RecordBatch.from_arrays([cols[0], *map(pa.array, cols[1:])], names=["key", "j0", "n", "d", "h", "s"])
 
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -243,7 +228,7 @@ def _cut_rows(size: int):
 
     def run(batches):
         names = ["group", "key", "begin", "offset", "h", "single", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             for key, text, reps in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -272,7 +257,7 @@ def _sort_rows(size: int):
         def pack(rows):
             rows = list(rows)
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "begin", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["key", "begin", "end"])
 
         def rows():
             for batch in batches:
@@ -285,15 +270,11 @@ def _sort_rows(size: int):
                 group.append(tuple(piece))
                 continue
             if len(group) > 1:  # a piece alone in its group has no equal
-                weight = sum(len(p[5]) for p in group)
-                if weight > GROUP_BYTES:
-                    yield pack(_resolve(group, size, SPAN))
-                else:
-                    held += group
-                    held_bytes += weight
-                    if held_bytes >= SORT_BYTES:
-                        yield pack(_sorted_hits(held, size))
-                        held, held_bytes = [], 0
+                held += group
+                held_bytes += sum(len(p[5]) for p in group)
+                if held_bytes >= SORT_BYTES:
+                    yield pack(_sorted_hits(held, size))
+                    held, held_bytes = [], 0
             group, current, started = [tuple(piece)], g, True
         if held:
             yield pack(_sorted_hits(held, size))
@@ -314,8 +295,8 @@ def _window_rows(size: int):
                 n = len(value) - size + 1
                 digests = b"".join(hashlib.blake2b(value[i : i + size], digest_size=16).digest() for i in range(n))
                 w = np.frombuffer(digests, "<i8").reshape(n, 2)
-                cols = [w[:, 0].copy(), w[:, 1].copy(), np.full(n, key), np.arange(begin, begin + n, dtype=np.int32), np.full(n, single)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+                cols = [w[:, 0].copy(), w[:, 1].copy(), pa.repeat(pa.scalar(key, pa.binary()), n), np.arange(begin, begin + n, dtype=np.int32), np.full(n, single)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
     return run
 
@@ -325,7 +306,7 @@ def _counted_hits(pieces: DataFrame, size: int) -> DataFrame:
 
     Every window is dealt by its own hash; equal ones are counted, never gathered.
     """
-    windows = pieces.select("key", "begin", "single", "bytes").mapInArrow(_window_rows(size), "w1 long, w2 long, key long, begin int, single boolean")
+    windows = pieces.select("key", "begin", "single", "bytes").mapInArrow(_window_rows(size), "w1 long, w2 long, key binary, begin int, single boolean")
     windows = materialize(windows, "windows")
     several = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     hits = windows.where("single").join(several, ["w1", "w2"], "left_semi")
@@ -372,10 +353,11 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 200, id_col: str = "doc_
     gathered: their windows are dealt and counted by 128-bit hash. Null texts count as empty,
     null ids come back null; rows that repeat id and text are copies of each other; texts
     under ``min_bytes`` lose nothing, texts of any length are read whole; an empty table gives
-    no rows; other columns are not read. What hashes settle is settled by 128 bits of them.
+    no rows; other columns are not read. What hashes settle, rows' names too, is settled by 128
+    bits of them.
     """
     size = min_bytes
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key(id_col, text_col).alias("_key"))
     texts = base.where(F.octet_length("_text") >= size).select(F.col("_key").alias("key"), F.col("_text").alias("text"))
     with scratch(docs.sparkSession) as keep:
         by_row = keep(materialize(_repeated_runs(texts, size), "runs"))
@@ -387,14 +369,14 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 200, id_col: str = "doc_
 
 def _repeated_runs(texts: DataFrame, size: int) -> DataFrame:
     """_key and the runs (begin, end) of its text's bytes that windows of ``size`` repeat, not yet merged."""
-    segs = texts.mapInArrow(_segment_rows(size), "key long, j0 int, n int, d int, h long, s long")
+    segs = texts.mapInArrow(_segment_rows(size), "key binary, j0 int, n int, d int, h long, s long")
     anchors = segs.groupBy("h").agg(F.count("*").alias("m"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("m > 1")
     anchors = materialize(anchors.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     shared = materialize(segs.join(anchors, "h"), "segments")
     reps = shared.where("mixed").groupBy("h", "s").agg(F.count("*").alias("c"), F.min(F.struct("key", "j0", "n", "d")).alias("r"))
     reps = materialize(reps.select("h", "s", "c", "r.*"), "representatives")
     by_doc = reps.groupBy("key").agg(F.collect_list(F.struct("j0", "n", "d", "h", "c")).alias("reps"))
-    pieces = texts.join(by_doc, "key").select("key", "text", "reps").mapInArrow(_cut_rows(size), "group long, key long, begin int, offset int, h long, single boolean, bytes binary")
+    pieces = texts.join(by_doc, "key").select("key", "text", "reps").mapInArrow(_cut_rows(size), "group long, key binary, begin int, offset int, h long, single boolean, bytes binary")
     pieces = materialize(pieces, "pieces")
     weight = F.sum(F.length("bytes") + PIECE_OVERHEAD)
     heavy = materialize(pieces.groupBy("group").agg(weight.alias("weight")).where(F.col("weight") > GROUP_BYTES).select("group"), "heavy")
@@ -403,12 +385,13 @@ def _repeated_runs(texts: DataFrame, size: int) -> DataFrame:
         # There is at most one heavy group to GROUP_BYTES of pieces; the table's size picks the join.
         counted = _counted_hits(pieces.join(heavy, "group", "left_semi"), size)
         pieces = pieces.join(heavy, "group", "left_anti").select(pieces.columns)
-    partial = pieces.repartition("group").sortWithinPartitions("group").mapInArrow(_sort_rows(size), "key long, begin int, end int")
+    partial = pieces.repartition("group").sortWithinPartitions("group").mapInArrow(_sort_rows(size), "key binary, begin int, end int")
     partial = materialize(partial if counted is None else partial.unionByName(counted), "partial")
     run = lambda df: df.select("key", F.col("j0").alias("begin"), (F.col("j0") + F.col("n") + (size - 1)).alias("end"))
     copies = shared.where("mixed").join(reps.where("c > 1").select("h", "s"), ["h", "s"])
     runs = run(shared.where("not mixed")).unionByName(run(copies)).unionByName(partial)
-    return runs.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("runs")).withColumnRenamed("key", "_key")
+    # Rows that repeat id and text have one key and the same runs; a set of them is no longer than the text.
+    return runs.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("runs")).withColumnRenamed("key", "_key")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Components that a block of vectors holds at most.
 BLOCK_COMPONENTS = 1 << 23
+#: Squared norm of integer vectors, in doubles, below which no inner product leaves 64 bits.
+MOST_NORM = float(1 << 63) * (1 - 1e-9)
 
 
 def quantize(vector: Column, scale: float = 256.0) -> Column:
@@ -71,27 +73,37 @@ def exact_topk(
 ) -> DataFrame:
     """The k highest integer inner products of every query row against all other rows.
 
-    Returns query_id, rank, vec_id, score. Queries and candidates are dealt into blocks by a
-    hash of their id; every (query block, candidate block) pair is one group of bounded size,
-    and the blocks' winners are merged per query. A candidate is sent once for every
-    ``query_block`` queries, a query once for every ``candidate_block`` candidates. Vectors that are null or hold null or
-    non-finite components, and rows without id, take no part; of rows that repeat an id the
-    smallest vector counts; shorter vectors count as zero beyond their end; an empty table
-    gives an empty result.
+    Returns query_id, rank, vec_id, score. Rows that repeat id and vector are counted first and
+    at most ``k`` copies of one are compared, since more can't enter a result; what is left is
+    dealt into blocks by a hash of id, vector and copy. Every (query block, candidate block)
+    pair is one group of bounded size, and the blocks' winners are merged per query. A candidate
+    is sent once for every ``query_block`` queries, a query once for every ``candidate_block``
+    candidates.
+
+    Every row is a candidate, rows that repeat an id too, but those with the query's own id;
+    equal scores go by the smaller id, and rows that repeat an id are listed once for each row.
+    Query rows that repeat id and vector are one query; those of one id with different vectors
+    are ranked together under it. Vectors that are null or hold null or non-finite components,
+    and rows without id, take no part; shorter vectors count as zero beyond their end; an empty
+    table gives an empty result; other columns are not read. Scores are exact 64-bit integers:
+    vectors so long that a score may not fit one (by the product of the largest norms) are
+    refused with a ValueError before any work is done.
     """
-    rows = (
-        vectors.select(F.col(id_col).cast("bigint").alias("id"), quantize(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
-        .where("id is not null and v is not null")
-        .groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    )
-    n, nq, width = vectors.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size(vector_col)), F.lit(0))).first()
+    integers = quantize(F.col(vector_col), scale)
+    norm = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    named = vectors.select(F.col(id_col).cast("bigint").alias("id"), integers.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and v is not null")
+    n, nq, width, longest = named.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0))).first()
+    if longest >= MOST_NORM:
+        raise ValueError("scores of these vectors do not fit 64 bits; give a smaller scale")
+    rows = named.groupBy("id", "v").agg(F.max("q").alias("q"), F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
     # Blocks of very long vectors hold fewer of them, so that a group stays bounded in bytes.
     most = max(1, BLOCK_COMPONENTS // max(1, width))
     query_block, candidate_block = min(query_block, most), min(candidate_block, most)
     cb, qb = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))
-    block = lambda m: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(m)).cast("int")
+    block = lambda m, *by: F.pmod(F.xxhash64("id", "v", *by, F.lit(7)), F.lit(m)).cast("int")
     # Columns are named anew, as both sides stem from one table.
-    cand = rows.select(F.col("id").alias("id"), F.col("v").alias("v"), block(cb).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    each = rows.select("id", "v", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    cand = each.select(F.col("id").alias("id"), F.col("v").alias("v"), block(cb, "copy").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
     quer = rows.where("q").select(F.col("id").alias("id"), F.col("v").alias("v"), block(qb).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
     found = (
         quer.groupBy("qb", "cb").cogroup(cand.groupBy("qb", "cb"))
@@ -115,7 +127,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s

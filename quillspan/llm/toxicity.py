@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.llm.common import materialize, scratch
+
 #: Hash buckets of the word features; a power of two.
 BUCKETS = 1 << 18
 #: Lengths of the word beginnings and endings that are features beside the whole word.
@@ -120,7 +122,12 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, *, rounds: in
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, max_bytes: int) -> tuple[DataFrame, dict[int, int]]:
-    """A bounded, deterministic sample of labelled documents and the full counts by label."""
+    """A bounded, deterministic sample of labelled documents and the full counts by label.
+
+    At most ``per_label`` ids of each label, one text an id, and ``max_bytes`` of texts in all,
+    taken in the order of a hash of the id until the sum is reached. Both bounds are applied
+    in Spark, before anything comes to the driver.
+    """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     counts = {int(r["toxic"]): r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -129,9 +136,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, max_bytes:
     for y in (0, 1):  # a top-n per label is a bounded merge in Spark
         part = marked.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes // 64)  # at most 2 * per_label rows of two numbers
-    return rows.select("doc_id", "toxic", "text"), counts
+    size = F.octet_length("text")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (size <= max_bytes // 64))
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label rows of two numbers
+    # Rows may repeat an id; one of its texts stands for it.
+    rows = materialize(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    # One window over at most 2 * per_label rows of numbers.
+    so_far = F.sum("size").over(Window.orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = rows.select("doc_id", size.alias("size"), F.crc32(F.col("doc_id").cast("string")).alias("turn")).withColumn("so_far", so_far)
+    taken = taken.where(F.col("so_far") <= max_bytes).select("doc_id", "turn")
+    return rows.join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "turn", "text"), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, max_bytes: int = 48 << 20) -> NoisyOr:
@@ -140,20 +154,16 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, max_byte
     At most ``per_label`` documents of each label are used, those first by a hash of the id,
     whole texts only, up to ``max_bytes`` in all (texts over a 64th of that are passed over);
     they are weighted to the label's share among all labelled documents. Null ids, null texts
-    and labels but 0 and 1 take no part; of several labels of one id the largest counts; with
-    no document, or documents of one label only, the model is constant.
+    and labels but 0 and 1 take no part; of several labels of one id the largest counts, of
+    several texts of one id the one of smallest hash; with no document, or documents of one
+    label only, the model is constant.
     """
-    rows, counts = training_rows(docs, labels, per_label, max_bytes)
-    texts, marks, used = [], [], 0
-    for r in sorted(rows.collect(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode())):
-        used += len(r["text"].encode())
-        if used > max_bytes:
-            break
-        texts.append(r["text"])
-        marks.append(int(r["toxic"]))
-    y = np.array(marks, np.int64)
+    with scratch(docs.sparkSession):
+        rows, counts = training_rows(docs, labels, per_label, max_bytes)
+        got = sorted(rows.collect(), key=lambda r: (r["turn"], r["doc_id"]))
+    y = np.array([int(r["toxic"]) for r in got], np.int64)
     per = {k: counts.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
-    return fit(texts, y, np.where(y == 1, per[1], per[0]).astype(float))
+    return fit([r["text"] for r in got], y, np.where(y == 1, per[1], per[0]).astype(float))
 
 
 def score(docs: DataFrame, model: NoisyOr, *, text_col: str = "text", spans: bool = False) -> DataFrame:

@@ -63,8 +63,7 @@ def test_equals_brute_force(spark, size, seed):
     assert run(spark.createDataFrame(docs, "doc_id long, text string"), size) == brute(docs, size)
 
 
-def test_large_groups_are_divided_exactly(spark, monkeypatch):
-    monkeypatch.setattr(S, "GROUP_BYTES", 2000)
+def test_groups_are_sorted_exactly():
     rnd = random.Random(3)
     common = "".join(rnd.choice("abcdefghij ") for _ in range(300))
     text = lambda n: "".join(rnd.choice("klmnopqrst ") for _ in range(n))
@@ -79,7 +78,7 @@ def test_large_groups_are_divided_exactly(spark, monkeypatch):
     got = collections.defaultdict(set)
     for g in groups.values():
         if len(g) > 1:
-            for key, a, b in S._resolve(g, 200, S.SPAN):
+            for key, a, b in S._sorted_hits(g, 200):
                 got[key].update(range(a, b))
     want = brute([(p[0], p[5].decode()) for p in pieces], 200)
     assert {k: len(v) for k, v in got.items()} == {k: w[1] for k, w in want.items() if w[1]}
@@ -132,3 +131,12 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert got == brute(docs, 200)
     out = S.remove_repeats(spark.createDataFrame([(1, "x", 2)], "runs long, text string, kept long"), id_col="runs").collect()
     assert [(r.runs, r.n_bytes) for r in out] == [(1, 1)]
+
+
+def test_runs_of_repeated_rows_are_one_set(spark):
+    rows = [(None, "abc def ghi " * 40)] * 500 + [(1, "abc def ghi " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.remove_repeats(df).collect()
+    assert len(got) == 501 and all(r.n_removed == r.n_bytes == 480 for r in got)
+    runs = S._repeated_runs(df.select(S.row_key("doc_id", "text").alias("key"), "text"), 200).collect()
+    assert len(runs) == 2 and max(len(r.runs) for r in runs) <= 480

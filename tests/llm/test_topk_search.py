@@ -1,20 +1,21 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.llm import topk_search as K
 
 
 def brute(rows, k, query):
-    ints = {}
+    ints = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = tuple(math.floor(256 * x) for x in v)
-            ints[i] = min(ints.get(i, q), q)
+            ints.append((i, tuple(math.floor(256 * x) for x in v)))
     out = []
-    for q in (i for i in ints if query(i)):
-        scored = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=False)), c) for c in ints if c != q)[:k]
+    for q in {i for i, _ in ints if query(i)}:
+        asked = {v for i, v in ints if i == q}
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c) for v in asked for c, w in ints if c != q)[:k]
         out += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -36,3 +37,19 @@ def test_few_rows_and_empty(spark):
     assert K.exact_topk(df.where("false"), F.lit(True), 5).count() == 0
     long = spark.createDataFrame([(0, [1.0] * 50_000), (1, [0.5] * 50_000)], "vec_id long, embedding array<float>")
     assert K.exact_topk(long, F.col("vec_id") == 0, 5).first().score == 50_000 * 256 * 128
+
+
+def test_rows_that_repeat_an_id_are_all_candidates(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (1, [3.0])] + [(2, [0.5])] * 40 + [(0, [1.0])] * 3 + [(0, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, K.exact_topk(df, F.col("vec_id") % 2 == 0, 5, query_block=2, candidate_block=4).collect()))
+    assert got == brute(rows, 5, lambda i: i % 2 == 0)
+    assert got[0] == (0, 1, 1, 196608) and got[1] == (0, 2, 1, 131072)
+
+
+def test_scores_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="64 bits"):
+        K.exact_topk(df, F.lit(True))
+    near = spark.createDataFrame([(0, [11863283.0]), (1, [11863282.0])], "vec_id long, embedding array<double>")
+    assert K.exact_topk(near, F.lit(True)).first().score == 11863283 * 11863282 * 65536

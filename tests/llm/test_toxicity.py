@@ -63,3 +63,15 @@ def test_training_leaves_held_out_rows_alone_and_scores_all(spark):
     assert len(out) == 4 and all(0 <= r.score <= 1 for r in out) and [r.score for r in out if not r.text] == [0, 0, 0]
     assert T.score(extra.where("false"), model).count() == 0
     assert T.train(docs.where("false"), labels.where("false")).combine(np.array([])) == 0
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "two" * 10), (3, "three" * 10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)] * 5, "doc_id long, toxic int")
+    rows, counts = T.training_rows(docs, labels, 2000, 1 << 20)
+    got = rows.collect()
+    held = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sorted(r.doc_id for r in got) == sorted({1, 2, 3} - held) and sum(counts.values()) == 3 - len(held)
+    many = spark.createDataFrame([(i, "x" * 100) for i in range(500)], "doc_id long, text string")
+    rows, _ = T.training_rows(many, many.selectExpr("doc_id", "int(doc_id % 2) as toxic"), 2000, 6400)
+    assert rows.count() == 64
