@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -93,6 +93,33 @@ def row_key(*columns: Column | str) -> Column:
     return F.unhex(F.concat(half(1), half(2)))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, *, per_label: int, max_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded, deterministic sample of documents labelled 0 or 1, and the full counts by label.
+
+    ``docs``: doc_id, text; ``labels``: doc_id and ``label``; ``learn`` tells of a doc_id
+    whether it may be used. At most ``per_label`` ids of each label, one text an id (that of
+    smallest hash; of several labels the largest), whole texts of up to a 64th of
+    ``max_bytes``, and ``max_bytes`` in all, taken in the order of the id's CRC-32 until the
+    sum is reached. All bounds are applied in Spark, before anything comes to the driver.
+    Returns doc_id, label, turn (the CRC-32) and text; call it inside :func:`scratch`.
+    """
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias(label)).where(learn)
+    counts = {int(r[0]): r["n"] for r in marked.groupBy(label).agg(F.count("*").alias("n")).collect()}  # two rows
+    chosen = None
+    for y in (0, 1):  # a top-n per label is a bounded merge in Spark
+        part = marked.where(F.col(label) == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(per_label)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    size = F.octet_length("text")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (size <= max_bytes // 64))
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label rows of two numbers
+    rows = materialize(rows.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    # One window over at most 2 * per_label rows of numbers.
+    so_far = F.sum("size").over(Window.orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = rows.select("doc_id", size.alias("size"), F.crc32(F.col("doc_id").cast("string")).alias("turn")).withColumn("so_far", so_far)
+    taken = taken.where(F.col("so_far") <= max_bytes).select("doc_id", "turn")
+    return rows.join(F.broadcast(taken), "doc_id").select("doc_id", label, "turn", "text"), counts
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of an undirected graph.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm import bpe, decontaminate, line_dedup, sharding, simhash, substring_dedup, topk_search, toxicity, url_filter
+from quillspan.llm import bpe, conversations, decontaminate, importance, line_dedup, quality, sharding, simhash, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": bpe.op8_token_counts,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_topk": topk_search.op10_exact_topk,
+    "op11_importance_resample": importance.op11_importance_resample,
+    "op12_quality": quality.op12_quality,
+    "op13_repair_conversations": conversations.op13_repair_conversations,
 }
 
 ORACLES = {
