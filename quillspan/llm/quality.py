@@ -94,7 +94,7 @@ class Machine:
         return float(np.exp(-np.logaddexp(0, -self.logit(text))))
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, *, rounds: int = 50, min_docs: int = 3, rate: float = 0.1, l2: float = 2e-4, seed: int = 5) -> Machine:
+def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, *, rounds: int = 60, min_docs: int = 3, rate: float = 0.1, l2: float = 5e-5, seed: int = 5) -> Machine:
     """Penalised logistic likelihood by full-batch Adam.
 
     Statistics are cut into bins at quantiles of the sample. Buckets met in fewer than
@@ -145,7 +145,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, *, rounds: in
     return Machine(features, float(params[2]), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 1000, max_bytes: int = 24 << 20) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, max_bytes: int = 24 << 20) -> Machine:
     """Fit on labelled documents whose crc32(doc_id) mod 4 is not 2.
 
     The sample is bounded by ``per_label`` ids of each label and ``max_bytes`` of texts

@@ -7,10 +7,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import materialize, scratch
+from quillspan.llm.common import labelled_sample, scratch
 
 #: Hash buckets of the word features; a power of two.
 BUCKETS = 1 << 18
@@ -122,30 +122,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, *, rounds: in
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, max_bytes: int) -> tuple[DataFrame, dict[int, int]]:
-    """A bounded, deterministic sample of labelled documents and the full counts by label.
-
-    At most ``per_label`` ids of each label, one text an id, and ``max_bytes`` of texts in all,
-    taken in the order of a hash of the id until the sum is reached. Both bounds are applied
-    in Spark, before anything comes to the driver.
-    """
-    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    counts = {int(r["toxic"]): r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id", F.lit(11))
-    chosen = None
-    for y in (0, 1):  # a top-n per label is a bounded merge in Spark
-        part = marked.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    size = F.octet_length("text")
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (size <= max_bytes // 64))
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label rows of two numbers
-    # Rows may repeat an id; one of its texts stands for it.
-    rows = materialize(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
-    # One window over at most 2 * per_label rows of numbers.
-    so_far = F.sum("size").over(Window.orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    taken = rows.select("doc_id", size.alias("size"), F.crc32(F.col("doc_id").cast("string")).alias("turn")).withColumn("so_far", so_far)
-    taken = taken.where(F.col("so_far") <= max_bytes).select("doc_id", "turn")
-    return rows.join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "turn", "text"), counts
+    """:func:`labelled_sample` of the rows whose crc32(doc_id) mod 5 is not 0."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    return labelled_sample(docs, labels, "toxic", learn, per_label=per_label, max_bytes=max_bytes)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, max_bytes: int = 48 << 20) -> NoisyOr:
