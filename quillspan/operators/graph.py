@@ -1,4 +1,4 @@
-"""Reads over node and edge DataFrames, and communities of a bipartite graph."""
+"""Reads over node and edge DataFrames."""
 
 from __future__ import annotations
 
@@ -114,31 +114,3 @@ def community_weights(members: DataFrame) -> DataFrame:
     k = members.groupBy("version_id", "community").agg(F.count("*").alias("n"))
     a, b = k.select("version_id", F.col("community").alias("a"), F.col("n").alias("na")), k.select("version_id", F.col("community").alias("b"), F.col("n").alias("nb"))
     return a.join(b, "version_id").where("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("weight"))
-
-
-def communities(mentions: DataFrame, rounds: int = 6, resolution: float = 2.0) -> DataFrame:
-    """(node, community) by rounds of modularity moves.
-
-    Every round scores, for each node, the communities of its neighbours by shared edge
-    weight less the expected weight, and moves one side of the bipartite graph at a time, so
-    that neighbours never swap labels. Each round is two equi-joins and two aggregations, and
-    its labels are checkpointed (kept in memory and on disk where no folder is set), so that
-    rounds do not plan or run their predecessors again.
-    """
-    settle = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    e = mentions.groupBy(F.concat(F.lit("v"), F.col("version_id").cast("string")).alias("v"), F.concat(F.lit("c"), F.col("concept_id").cast("string")).alias("c")).agg(F.count("*").cast("double").alias("w"))
-    e = settle(e)
-    sides = {"v": e.select(F.col("v").alias("node"), F.col("c").alias("other"), "w"), "c": e.select(F.col("c").alias("node"), F.col("v").alias("other"), "w")}
-    both = sides["v"].unionByName(sides["c"])
-    strength = both.groupBy("node").agg(F.sum("w").alias("k"))
-    total = e.agg(F.sum("w")).first()[0] or 1.0
-    label = strength.select("node", F.col("node").alias("community"))
-    for r in range(rounds):
-        side = "cv"[r % 2]
-        size = label.join(strength, "node").groupBy("community").agg(F.sum("k").alias("size"))
-        near = sides[side].join(label.withColumnRenamed("node", "other"), "other").groupBy("node", "community").agg(F.sum("w").alias("shared"))
-        gain = near.join(size, "community").join(strength, "node").withColumn("gain", F.round(F.col("shared") - resolution * F.col("k") * F.col("size") / (2 * total), 9))
-        best = gain.groupBy("node").agg(F.max(F.struct("gain", F.col("community").alias("to"))).alias("b")).select("node", "b.*").where("gain > 0")
-        moved = label.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"))
-        label = settle(moved)
-    return label

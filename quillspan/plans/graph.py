@@ -3,10 +3,15 @@ line items for mentions, nations for libraries, regions for tenants."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators import community as C
 from quillspan.operators import graph as G
 from quillspan.registry import query
+from quillspan.sources.store import settled
 from quillspan.sources.tables import table
 
 MENTIONS = "m AS (SELECT l_suppkey AS version_id, l_partkey AS concept_id, l_orderkey * 10 + l_linenumber AS chunk_id, 1 - 4 * l_discount AS confidence FROM lineitem), ver AS (SELECT s_suppkey AS version_id, s_name AS title, s_nationkey AS library_id, n_regionkey AS tenant_id FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
@@ -189,5 +194,72 @@ def community_weights(spark, sf_dir):
 
 @query("clusters")
 def clusters(spark, sf_dir):
-    """Communities of the version-concept graph by deterministic modularity moves."""
-    return G.communities(strong(spark, sf_dir))
+    """Communities of the version-concept graph by multi-level modularity."""
+    return C.communities(strong(spark, sf_dir))
+
+
+def envelope(spark, sf_dir):
+    """Nodes and edges of the library graph by dense numbers."""
+    docs = table(spark, sf_dir, "supplier", "s_suppkey", "s_name").toDF("id", "label")
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name").toDF("id", "label")
+    return C.graph_index(docs, parts, strong(spark, sf_dir))
+
+
+NODES = f"{DEG}, nd AS (SELECT row_number() OVER (ORDER BY kind, id) - 1 AS node, * FROM (SELECT 0 AS kind, s_suppkey AS id, s_name AS label, 0 AS degree FROM supplier UNION ALL SELECT 1, p_partkey, p_name, coalesce(degree, 0) FROM part LEFT JOIN dg ON concept_id = p_partkey))"
+EDGES = f"{NODES}, ed AS (SELECT a.node AS src, b.node AS dst, count(*) AS mentions, round(max(confidence), 6) AS confidence, b.degree FROM st JOIN nd a ON a.kind = 0 AND a.id = version_id JOIN nd b ON b.kind = 1 AND b.id = concept_id GROUP BY ALL)"
+
+
+@query("graph_nodes", f"WITH {NODES} SELECT node, CAST(kind AS INTEGER) AS kind, id, label, degree FROM nd")
+def graph_nodes(spark, sf_dir):
+    """Nodes of the library graph by dense numbers, documents first."""
+    return envelope(spark, sf_dir)[0]
+
+
+@query("graph_edges", f"WITH {EDGES} SELECT * FROM ed")
+def graph_edges(spark, sf_dir):
+    """Edges of the library graph between node numbers."""
+    return envelope(spark, sf_dir)[1]
+
+
+VIEWS = {
+    "all": {}, "threshold": {"threshold": 5}, "concepts": {"books": False}, "found": {"only_found": True, "threshold": 2},
+    "book": {"only_book": 7}, "joined": {"threshold": 6, "hide_isolated": True}, "found_joined": {"only_found": True, "hide_isolated": True},
+}
+
+
+def view_sql(name: str, threshold=1, books=True, only_found=False, only_book=None, hide_isolated=False) -> str:
+    """One view as SQL over ``nd`` and ``ed``."""
+    keep = [f"(kind = 0 OR degree >= {threshold})"] + ["kind = 1"] * (not books) 
+    if only_found:
+        keep.append("contains(lower(label), 'an')")
+    nodes = f"SELECT * FROM nd WHERE {' AND '.join(keep)}"
+    if only_book is not None:
+        book = f"(SELECT node FROM ({nodes}) WHERE kind = 0 AND id = {only_book})"
+        nodes = f"SELECT * FROM ({nodes}) WHERE node IN {book} OR node IN (SELECT dst FROM ed WHERE src IN {book})"
+    edges = f"SELECT * FROM ed WHERE degree >= {threshold} AND src IN (SELECT node FROM ({nodes})) AND dst IN (SELECT node FROM ({nodes}))"
+    shown = f"SELECT * FROM ({nodes}) WHERE node IN (SELECT src FROM ({edges}) UNION ALL SELECT dst FROM ({edges}))" if hide_isolated else nodes
+    return f"SELECT '{name}' AS view, (SELECT count(*) FROM ({shown}) WHERE kind = 0) AS books, (SELECT count(*) FROM ({shown}) WHERE kind = 1) AS concepts, (SELECT count(*) FROM ({edges})) AS edges"
+
+
+@query("graph_views", f"WITH {EDGES} " + " UNION ALL ".join(view_sql(k, **v) for k, v in VIEWS.items()))
+def graph_views(spark, sf_dir):
+    """What several views of the library graph show."""
+    nodes, edges = envelope(spark, sf_dir)
+    found = nodes.where(G.matches(F.col("label"), "an"))
+    parts = []
+    for name, how in VIEWS.items():
+        shown, kept = C.visible(nodes, edges, matched=found, **how)
+        parts.append(shown.select(F.lit(name).alias("view"), (F.col("kind") == 0).cast("long").alias("books"), F.col("kind").cast("long").alias("concepts"), F.lit(0).cast("long").alias("edges")))
+        parts.append(kept.select(F.lit(name).alias("view"), F.lit(0).cast("long").alias("books"), F.lit(0).cast("long").alias("concepts"), F.lit(1).cast("long").alias("edges")))
+        parts.append(spark.createDataFrame([(name, 0, 0, 0)], "view string, books long, concepts long, edges long"))
+    return reduce(DataFrame.unionByName, parts).groupBy("view").agg(*[F.sum(c).alias(c) for c in ("books", "concepts", "edges")])
+
+
+@query("merged_clusters")
+def merged_clusters(spark, sf_dir):
+    """Concepts of the library graph in ten clusters or as near as sizes and links allow."""
+    nodes, edges = envelope(spark, sf_dir)
+    pairs = settled(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w")), "pairs")
+    label, _, _ = C.louvain(pairs)
+    out = C.merged_clusters(pairs, label, 10)
+    return out.join(nodes, "node").select(F.col("id").alias("concept_id"), "cluster")

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import fnv1a, tokenize
+from quillspan.operators import lexical_index as L
 from quillspan.operators import retrieval as R
+from quillspan.plans.lexical import document_index
 from quillspan.plans.sqltext import tokens
 from quillspan.registry import query
 from quillspan.sources.tables import table
@@ -23,9 +25,10 @@ score AS (SELECT item_id, doc_id, sum(idf * weight) AS score FROM ask JOIN df US
 
 
 def lexical(spark, sf_dir, k):
-    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
-    scored = R.bm25(items, docs, query_id="item_id", query_text="text", doc_id="doc_id", doc_text="text")
-    return R.top_k(scored, "item_id", "doc_id", k)
+    """Best documents of every benchmark text, from the stored index."""
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    scored = L.search(document_index(spark, sf_dir), items, query_id="item_id", query_text="text")
+    return R.top_k(scored.withColumnRenamed("id", "doc_id"), "item_id", "doc_id", k)
 
 
 @query("bm25_topk", f"WITH {INDEX} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM score) WHERE rank <= 10")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import audit as A
+from quillspan.operators import community as C
 from quillspan.operators import graph as G
 from quillspan.operators import mutations as K
 from quillspan.operators import retrieval as R
@@ -36,7 +37,7 @@ def test_library_overview_keeps_tenants_apart(spark):
 
 def test_communities_part_two_blocks(spark):
     rows = [(v, c) for v in range(4) for c in range(6)] + [(v, c) for v in range(10, 14) for c in range(20, 26)]
-    got = {r.node: r.community for r in G.communities(spark.createDataFrame(rows, "version_id long, concept_id long"), rounds=8).collect()}
+    got = {r.node: r.community for r in C.communities(spark.createDataFrame(rows, "version_id long, concept_id long")).collect()}
     left = {got[f"c{c}"] for c in range(6)}
     assert left.isdisjoint({got[f"c{c}"] for c in range(20, 26)})
 
