@@ -7,7 +7,7 @@ from quillspan.llm import bpe, queries
 
 def test_registration():
     names = list(queries.QUERIES)
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(names) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "bpe"]
 
@@ -48,3 +48,12 @@ def test_stages_on_an_empty_table(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         frame = corpus_pipeline.materialize(stage(spark, frame, sf), "e-" + name)
         assert frame.count() == 0
+
+
+def test_near_duplicates_without_id_are_judged_by_text(spark, sf):
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join([*words[:30], "x", *words[31:]]), "wholly other words that stand alone here"
+    rows = [(5, one, 1), (None, one, 2), (None, near, 3), (None, other, 4), (None, other, 5), (None, None, 6), (7, "", 7), (9, "", 8), (9, one, 9)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, component_id int"), sf).collect()
+    found = sorted((r.component_id, r.doc_id) for r in kept)
+    assert found[0] == (1, 5) and len(found) == 3 and found[1] in ((4, None), (5, None)) and found[2] == (7, 7)
