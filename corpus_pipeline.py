@@ -9,15 +9,12 @@ from quillspan.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from quillspan.llm.common import discard, materialize
 
 
-# All stages read whole texts of any length, give an empty table for an empty one, and keep
-# columns they do not know.
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled rows, does not reject.
 
     Null and empty texts score 0 and stay, as do rows without id; rows that repeat a text
     share its fate. Without labels of both kinds nothing can be learned and all rows stay.
+    Texts of any length are read whole, an empty table gives none, other columns stay.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     kinds = {r[0] for r in labels.where("toxic in (0, 1)").select("toxic").distinct().collect()}
@@ -34,7 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Null texts stay null, documents whose lines all go stay with an empty text. The first
     line of a class is the one of the smallest id (rows without id come before all), then of
-    the first place; rows that repeat id and text keep the same lines.
+    the first place; rows that repeat id and text keep the same lines. Texts of any length are
+    read whole, an empty table gives none, other columns stay.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))
@@ -49,16 +47,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, that of smallest id, of each group of five-word-shingle similarity 0.8 or more.
 
     Texts without words, null ones too, are one group: an empty document of a corpus is kept
-    once. Rows that repeat an id stand or fall together; rows without id stay.
+    once. Rows that repeat an id stand or fall together. Rows without id are judged by their
+    text: they go where a row with an id is of their group, otherwise one of equal text stays.
+    Texts of any length are compared whole, an empty table gives none, other columns stay.
     """
-    return simhash.near_duplicates_removed(docs)
+    key = "_near_key"
+    # Above all ids in use, so that a row with an id is kept before one without.
+    nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    kept = simhash.near_duplicates_removed(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), nameless)), id_col=key)
+    return kept.where("doc_id is not null").unionByName(kept.where("doc_id is null").dropDuplicates([key])).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage.
 
     Rows are judged by their text, so that rows that repeat a text go together, with an id or
-    without one; null and empty texts hold no passage and stay.
+    without one; null and empty texts hold no passage and stay. Texts of any length are
+    searched whole, an empty table gives none, other columns stay.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     digest = F.sha2("text", 256)
