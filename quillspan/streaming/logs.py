@@ -1,10 +1,7 @@
-"""Structured Streaming forms of the event log, its tail, sessions and windows."""
+"""Structured Streaming forms of the event log, its tail, sessions and windows; stateful ones are in ``relay``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,36 +32,3 @@ def windows(events: DataFrame, size: str, slide: str | None = None, time: str =
     w = F.window(time, size, slide) if slide else F.window(time, size)
     g = events.withWatermark(time, lateness).groupBy(w.alias("w"), "event_type")
     return g.agg(F.count("*").alias("events"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("start"), "events", "total")
-
-
-def _decode(field: str, raw: str) -> str:
-    """What is complete of a top-level string field in a JSON text that may end anywhere."""
-    import json
-    import re
-
-    m = re.search(rf'"{re.escape(field)}"\s*:\s*"((?:[^"\\]|\\.)*)', raw, re.S)
-    if not m:
-        return ""
-    body = re.sub(r"\\(u[0-9a-fA-F]{0,3})?$", "", m[1])
-    body = re.sub(r"\\u[dD][89abAB][0-9a-fA-F]{2}$", "", body)  # half of a surrogate pair
-    return json.loads(f'"{body}"', strict=False)
-
-
-def incremental_field(deltas: DataFrame, field: str, hold_back: int = 60) -> DataFrame:
-    """key, text: newly readable characters of one JSON string field as its deltas arrive.
-
-    ``deltas``: key string, seq long, delta string, done boolean. State is the raw text and
-    how much was emitted; the last characters wait for what follows until the stream is done.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        raw, sent = state.get if state.exists else ("", 0)
-        pdf = pd.concat(list(frames)).sort_values("seq")
-        raw += "".join(pdf["delta"])
-        done = bool(pdf["done"].any())
-        text = _decode(field, raw)
-        upto = len(text) if done else max(sent, len(text) - hold_back)
-        state.remove() if done else state.update((raw, upto))
-        yield pd.DataFrame({"key": [key[0]], "text": [text[sent:upto]]})
-
-    return deltas.groupBy("key").applyInPandasWithState(step, "key string, text string", "raw string, sent int", "append", "NoTimeout")

@@ -108,16 +108,3 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     assert sum(gaps.values()) == batch.count()
     runs = batch.select("user_id").distinct().limit(3)
     assert len(run_stream(spark, Z.attach_runs(stream(), runs, "user_id"), "runs")) == twice.join(runs, "user_id").count()
-
-
-def test_incremental_json(spark, tmp_path):
-    text = 'línea "uno"\ny 😀 dos ' * 10
-    raw = json.dumps({"other": "x", "answer": text})
-    parts = [raw[i : i + 7] for i in range(0, len(raw), 7)]
-    rows = [("k", i, p, i == len(parts) - 1) for i, p in enumerate(parts)]
-    schema = "key string, seq long, delta string, done boolean"
-    for n in range(0, len(rows), 10):
-        spark.createDataFrame(rows[n : n + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))
-    got = run_stream(spark, Z.incremental_field(stream, "answer"), "json")
-    assert "".join(r.text for r in got) == text
