@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,27 +28,84 @@ gén gen ex lev núm dt sal pr ecl is jer ez mt mr mc lc jn ro co gá ef fil col
 ts ti heb stg ap cf cfr etc p pp cap vol ed eds trad op cit ibid vs sr sra dr
 dra st sta núms art fig no nro sig ss aa vv a d c
 """.split()
+#: White space as the expressions mean it.
+BLANKS = " \t\n\x0b\f\r"
 KIND_BODY, KIND_QUESTIONS, KIND_NOTE = "cuerpo", "preguntas", "nota"
 
 
-def paragraphs(docs: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def batches_of(rows, schema, most: int = 4096):
+    """Record batches of up to ``most`` of the tuples that ``rows`` yields."""
+    out: list[tuple] = []
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+    for row in rows:
+        out.append(row)
+        if len(out) >= most:
+            yield pack()
+            out = []
+    if out:
+        yield pack()
+
+
+def split_paragraphs(text: str, delimiter: str):
+    """(offset in bytes, text) of the paragraphs of a text, trimmed; blank ones are passed over."""
+    at, step = 0, len(delimiter.encode())
+    for raw in text.split(delimiter):
+        body = raw.strip(BLANKS)
+        if body:
+            lead = len(raw) - len(raw.lstrip(BLANKS))
+            yield at + len(raw[:lead].encode()), body
+        at += len(raw.encode()) + step
+
+
+def paragraphs(docs: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text", also: tuple = (), whole: str | None = None) -> DataFrame:
     """id, idx, offset (bytes of the trimmed paragraph), text; blank paragraphs are dropped.
 
-    Offsets are running byte sums inside each text, computed in the row without a shuffle.
+    One pass over each text, in the row, without a shuffle; a document's paragraphs stay
+    together and in order. Columns named in ``also`` are repeated beside each paragraph; with
+    ``whole`` a column of that name holds the document's text in its first row and null in
+    others.
     """
-    parts = F.split(F.col(text_col), "\\Q" + delimiter + "\\E")
-    step = len(delimiter.encode())
-    width = lambda p: F.octet_length(p) + step
-    placed = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,text:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + width(p)).alias("at"),
-            F.when(F.trim(F.regexp_replace(p, r"\s+", " ")) == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.octet_length(F.regexp_extract(p, r"^\s*", 0))).alias("offset"), F.regexp_replace(p, r"^\s+|\s+$", "").alias("text"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return docs.select(id_col, F.posexplode(placed).alias("idx", "p")).select(id_col, "idx", "p.offset", "p.text")
+    typed = lambda c: f"`{c}` {docs.schema[c].dataType.simpleString()}"
+    kinds = ", ".join([typed(id_col), "idx int, offset int, text string", *map(typed, also), *([f"`{whole}` string"] if whole else [])])
+    names = [id_col, "idx", "offset", "text", *also, *([whole] if whole else [])]
+
+    def run(batches):
+        for batch in batches:
+            given = [batch.schema.field(i).type for i in range(batch.num_columns)]
+            kind = pa.schema(list(zip(names, [given[0], pa.int32(), pa.int32(), pa.string(), *given[2:], *([pa.string()] if whole else [])], strict=True)))
+
+            def rows(batch=batch):
+                for key, text, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if text is not None:
+                        for i, (offset, body) in enumerate(split_paragraphs(text, delimiter)):
+                            yield (key, i, offset, body, *rest, *([None if i else text] if whole else []))
+
+            yield from batches_of(rows(), kind)
+
+    return docs.select(id_col, F.col(text_col), *also).mapInArrow(run, kinds)
+
+
+def in_sequence(rows: DataFrame, key: str, order: list[str], schema: str, step) -> DataFrame:
+    """Rows that ``step(key, rows)`` makes from each key's rows in order, one at a time.
+
+    ``rows``: its first column is ``key``. Each key's rows are streamed in their order past
+    ``step``, which may hold what it must, so that no key is gathered in memory.
+    """
+    fields = [f.strip() for f in schema.split(",")]
+    names = [f.rpartition(" ")[0].strip("`") for f in fields]
+    plain = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+    def run(batches):
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        types = {first.schema.field(i).name: first.schema.field(i).type for i in range(first.num_columns)}
+        kind = pa.schema([(n, types[n] if n in types else plain[f.rpartition(" ")[2]]) for n, f in zip(names, fields, strict=True)])
+        stream = (row for batch in chain([first], batches) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from batches_of((made for k, mine in groupby(stream, key=itemgetter(0)) for made in step(k, mine)), kind)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def is_endnote(text: Column) -> Column:
@@ -59,27 +118,46 @@ def is_question(text: Column) -> Column:
     return text.contains("¿") | text.contains("?") | text.rlike(IMPERATIVE)
 
 
-def heading_level(text: Column, level1: str | None = None, level2: str | None = None) -> Column:
-    """Depth of a numbered heading, or of a learned pattern; 0 for anything else."""
+def _starts(text: Column, pattern) -> Column:
+    """Whether a text starts with a pattern, given as a string or a column; no pattern fits nothing."""
+    if not isinstance(pattern, Column):
+        return text.rlike(f"^(?:{pattern})")
+    return F.coalesce(F.regexp_like(text, F.concat(F.lit("^(?:"), pattern, F.lit(")"))), F.lit(False))
+
+
+def heading_level(text: Column, level1=None, level2=None, caps: tuple = (LEVEL1_CAP, LEVEL2_CAP)) -> Column:
+    """Depth of a numbered heading, or of a learned pattern; 0 for anything else.
+
+    Patterns may be strings or columns (null: none), caps numbers or columns; a cap of 0 turns
+    its level off.
+    """
     count = lambda rx: F.char_length(text) - F.char_length(F.regexp_replace(text, rx, ""))
     prefix = F.regexp_replace(F.regexp_extract(text, r"^(\S+)", 1), r"\.+$", "")
     depth = F.char_length(prefix) - F.char_length(F.replace(prefix, F.lit("."), F.lit(""))) + 1
-    cap = F.when(depth == 1, LEVEL1_CAP).otherwise(LEVEL2_CAP)
+    most1, most2 = (c if isinstance(c, Column) else F.lit(c) for c in caps)
+    cap = F.when(depth == 1, most1).otherwise(most2)
     out = F.when(text.rlike(LEADERS) | is_question(text) | is_endnote(text), 0)
-    for pattern, level, most in ((level1, 1, LEVEL1_CAP), (level2, 2, LEVEL2_CAP)):
-        if pattern:
-            out = out.when(text.rlike(f"^(?:{pattern})"), F.when(F.char_length(text) <= most, level).otherwise(0))
+    for pattern, level, most in ((level1, 1, most1), (level2, 2, most2)):
+        if pattern is not None:
+            out = out.when(_starts(text, pattern), F.when(F.char_length(text) <= most, level).otherwise(0))
     wrong = ~text.rlike(HEADING) | (count(r"\p{Nd}") > count(r"\p{L}")) | text.rlike(LOWER_TITLE) | (F.char_length(text) > cap)
     return out.when(wrong, 0).otherwise(depth)
 
 
-def kind(text: Column) -> Column:
-    """Body, review questions or footnote, for a paragraph."""
+def kind(text: Column, level: Column | None = None, question=None, footnote=None) -> Column:
+    """Body, review questions or footnote, for a paragraph; learned patterns come before the rules.
+
+    ``level``: the paragraph's heading level, where it is known already.
+    """
     marks = F.char_length(text) - F.char_length(F.replace(text, F.lit("¿"), F.lit("")))
     dense = (marks > 0) & (marks * MARK_DENSITY >= F.octet_length(text)) & ((marks >= MIN_MARKS) | text.rlike(r"(?m)^\d+\.\s"))
     cited = text.rlike(ENDNOTE) | (is_endnote(text) & ~is_question(text))
+    out = F.when((heading_level(text) if level is None else level) > 0, KIND_BODY)
+    for pattern, name in ((question, KIND_QUESTIONS), (footnote, KIND_NOTE)):
+        if pattern is not None:
+            out = out.when(_starts(text, pattern), name)
     return (
-        F.when((heading_level(text) > 0) | text.rlike(LEADERS), KIND_BODY)
+        out.when(text.rlike(LEADERS), KIND_BODY)
         .when(text.rlike(NUMBERED), F.when(cited, KIND_NOTE).otherwise(KIND_QUESTIONS))
         .when(dense, KIND_QUESTIONS).when(text.rlike(FOOTNOTE), KIND_NOTE).otherwise(KIND_BODY)
     )
@@ -92,6 +170,7 @@ def chapters(paras: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return p.withColumn("chapter", F.last(F.when(F.col("level") == 1, F.col("text")), ignorenulls=True).over(w))
 
 
+# The end of a sentence, and what the next one opens with.
 _BOUNDARY = re.compile(r"[.!?][\"»'”’)\]]*\s+")
 _OPENERS = "ÁÉÍÓÚÜÑ¿«—“\"'("
 
@@ -219,32 +298,96 @@ def pack(text: str, paras: list[tuple]) -> list[dict]:
 CHUNK_SCHEMA = "index int, kind string, chapter string, section string, text string, char_from int, char_to int, para_from int, para_to int, overlap string"
 
 
+def packed(paras: DataFrame, id_col: str = "doc_id", whole: str = "_whole") -> DataFrame:
+    """Chunks of paragraphs (id, offset, text, level, kind and ``whole``) that lie in order.
+
+    Only the greedy packing, which SQL windows can't express, runs in Python, on one document
+    at a time and without a shuffle.
+    """
+    fields = [c.split(" ")[0] for c in CHUNK_SCHEMA.split(", ")]
+
+    def run(batches):
+        kind_ = None
+
+        def rows():
+            nonlocal kind_
+            key, text, held = None, None, []
+            for batch in batches:
+                kind_ = kind_ or pa.schema([(id_col, batch.schema.field(0).type), *((n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split(" ") for c in CHUNK_SCHEMA.split(", ")))])
+                for k, idx, offset, body, level, name, document in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if document is not None:  # the first paragraph of the next document
+                        yield from ((key, *(c[f] for f in fields)) for c in pack(text, held)) if held else ()
+                        key, text, held = k, document, []
+                    held.append((idx, offset, body, level, name))
+            if held:
+                yield from ((key, *(c[f] for f in fields)) for c in pack(text, held))
+
+        made = rows()
+        first = next(made, None)
+        if first is not None:
+            yield from batches_of(chain([first], made), kind_)
+
+    ready = paras.select(id_col, "idx", "offset", "text", "level", "kind", whole)
+    return ready.mapInArrow(run, f"`{id_col}` {paras.schema[id_col].dataType.simpleString()}, {CHUNK_SCHEMA}")
+
+
 def chunks(docs: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks of every document.
+    """Chunks of every document by the built-in rules; levels and kinds are flat columns."""
+    p = paragraphs(docs, delimiter, id_col, text_col, whole="_whole").withColumn("level", heading_level(F.col("text")))
+    return packed(p.withColumn("kind", kind(F.col("text"), F.col("level"))), id_col)
+
 
-    Paragraphs, levels and kinds are columns; only the greedy packing, which SQL windows
-    can't express, runs in Python, on one document at a time and without a shuffle.
+# The kind of every chunk of a transcript, and the names of a profile's learned rules.
+KIND_TRANSCRIPT = "transcripcion"
+RULES = ("heading_l1_pattern", "heading_l2_pattern", "question_pattern", "footnote_pattern")
+CAPS = {"heading_l1_max": LEVEL1_CAP, "heading_l2_max": LEVEL2_CAP}
+
+
+def learned_paragraphs(docs: DataFrame, profiles: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Paragraphs with level and kind by the rules of each document's profile.
+
+    ``docs``: id, text, fingerprint; ``profiles``: fingerprint, learned_at, RULES and CAPS,
+    any of them null. The newest profile of a fingerprint counts. A pattern is matched at the
+    start of a paragraph, the kind patterns after headings and before the built-in rules,
+    which hold wherever a document has no profile or its profile no such rule.
     """
-    parts = F.split(F.col(text_col), "\\Q" + delimiter + "\\E")
-    shaped = F.transform(parts, lambda p: F.struct(p.alias("raw"), F.regexp_replace(p, r"^\s+|\s+$", "").alias("text")))
-    shaped = F.transform(shaped, lambda p: F.struct(p["raw"].alias("raw"), p["text"].alias("text"), heading_level(p["text"]).alias("level"), kind(p["text"]).alias("kind")))
-    rows = docs.select(id_col, F.col(text_col).alias("_text"), shaped.alias("_paras")).where("_text is not null")
-    step = len(delimiter.encode())
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for key, text, paras in zip(pdf[id_col], pdf["_text"], pdf["_paras"], strict=True):
-                at, listed = 0, []
-                for p in paras:
-                    if p["text"]:
-                        lead = len(p["raw"]) - len(p["raw"].lstrip())
-                        listed.append((len(listed), at + len(p["raw"][:lead].encode()), p["text"], p["level"], p["kind"]))
-                    at += len(p["raw"].encode()) + step
-                out += [{id_col: key, **c} for c in pack(text, listed)]
-            yield pd.DataFrame(out, columns=[id_col, *(c.split(" ")[0] for c in CHUNK_SCHEMA.split(", "))])
+    rules = F.struct(*RULES, *CAPS)
+    newest = profiles.groupBy("fingerprint").agg(F.max_by(rules, F.struct("learned_at", rules)).alias("rules")).select("fingerprint", "rules.*")
+    ruled = docs.join(newest, "fingerprint", "left").withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in CAPS.items()})
+    p = paragraphs(ruled, delimiter, id_col, text_col, also=(*RULES, *CAPS), whole="_whole")
+    p = p.withColumn("level", heading_level(F.col("text"), F.col(RULES[0]), F.col(RULES[1]), tuple(F.col(c) for c in CAPS)))
+    return p.withColumn("kind", kind(F.col("text"), F.col("level"), F.col(RULES[2]), F.col(RULES[3])))
+
 
-    return rows.mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {CHUNK_SCHEMA}")
+def learned_chunks(docs: DataFrame, profiles: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks by each document's learned rules; a change of kind ends a chunk, whoever decides it."""
+    return packed(learned_paragraphs(docs, profiles, delimiter, id_col, text_col), id_col)
+
+
+def transcript_chunks(videos: DataFrame, times: DataFrame, delimiter: str = "\n\n", key: str = "video_id") -> tuple[DataFrame, DataFrame]:
+    """(chunks with start_s and end_s, report) of timed transcripts.
+
+    ``videos``: key, corrected, original; ``times``: key, idx, start_s, end_s, one row a
+    paragraph. The corrected text counts where it has as many paragraphs as the times, else
+    the original; where neither has, the video is left out, for a wrong time is worse than
+    none. Transcripts have no headings, and all chunks one kind. The report has each video's
+    ``stream`` (corrected, original or null), both counts of paragraphs, the timed ones, and
+    ``uncovered``, those that no chunk covers.
+    """
+    count = lambda c: F.coalesce(F.size(F.filter(F.split(F.col(c), "\\Q" + delimiter + "\\E"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "") != "")), F.lit(0))
+    timed = times.groupBy(key).agg(F.count("*").cast("int").alias("timed"))
+    j = videos.join(timed, key, "left").withColumns({"timed": F.coalesce("timed", F.lit(0)), "n_corrected": count("corrected"), "n_original": count("original")})
+    fits = lambda c: F.col(c).isNotNull() & (F.col(f"n_{c}") == F.col("timed")) & (F.col("timed") > 0)
+    j = j.withColumn("stream", F.when(fits("corrected"), "corrected").when(fits("original"), "original"))
+    chosen = j.where("stream is not null").select(key, F.when(F.col("stream") == "corrected", F.col("corrected")).otherwise(F.col("original")).alias("text"))
+    p = paragraphs(chosen, delimiter, key, whole="_whole").withColumns({"level": F.lit(0), "kind": F.lit(KIND_TRANSCRIPT)})
+    made = packed(p, key)
+    first = times.select(key, F.col("idx").alias("para_from"), "start_s")
+    last = times.select(key, F.col("idx").alias("para_to"), "end_s")
+    spoken = made.join(first, [key, "para_from"]).join(last, [key, "para_to"]).select(*made.columns, "start_s", "end_s")
+    covered = made.select(key, F.explode(F.sequence("para_from", "para_to")).alias("idx")).distinct().groupBy(key).agg(F.count("*").cast("int").alias("_covered"))
+    report = j.join(covered, key, "left").select(key, "stream", "n_corrected", "n_original", "timed", F.when(F.col("stream").isNotNull(), F.col("timed") - F.coalesce("_covered", F.lit(0))).alias("uncovered"))
+    return spoken, report
 
 
 def verify_spans(chunked: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,22 +411,21 @@ def embed_text(chapter: Column, section: Column, overlap: Column, text: Column)
 def drop_rolling(cues: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """Cues without the words that repeat the end of the cue emitted before.
 
-    Each cue's longest word prefix that equals the end of the last kept cue goes; order
-    matters, so a key's cues are folded in sequence.
+    Each cue's longest word prefix that equals the end of the last kept cue goes; a key's cues
+    are streamed in sequence, and only the last kept one is held.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], []
-        for row in pdf.sort_values([order, text]).itertuples(index=False):
-            words = (getattr(row, text) or "").split()
+    def step(k, rows):
+        last: list[str] = []
+        for _, at, said in rows:
+            words = (said or "").split()
             n = next((n for n in range(min(len(words), len(last)), 0, -1) if last[-n:] == words[:n]), 0)
             if words[n:]:
                 last = words
-                out.append({key: getattr(row, key), order: getattr(row, order), text: " ".join(words[n:])})
-        return pd.DataFrame(out, columns=[key, order, text])
+                yield k, at, " ".join(words[n:])
 
     schema = ", ".join(f"`{c}` {cues.schema[c].dataType.simpleString()}" for c in (key, order, text))
-    return cues.select(key, order, text).groupBy(key).applyInPandas(run, schema)
+    return in_sequence(cues.select(key, order, text), key, [order, text], schema, step)
 
 
 def gap_sessions(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: float) -> DataFrame:
@@ -301,20 +443,19 @@ def group_cues(cues: DataFrame, key: str, target: int = 400, cap: int = 900, max
     before it would exceed ``cap``.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        held: dict | None = None
-        for r in pdf.sort_values(["start_s", "seq"]).itertuples(index=False):
-            if held and (r.start_s - held["end_s"] > max_gap or len(held["text"]) + 1 + len(r.text) > cap):
-                out, held = [*out, held], None
-            if held is None:
-                held = {key: getattr(r, key), "start_s": r.start_s, "end_s": r.end_s, "text": r.text, "cues": 1}
-            else:
-                held = {**held, "end_s": r.end_s, "text": f"{held['text']} {r.text}", "cues": held["cues"] + 1}
-            if len(held["text"]) >= target and held["text"][-1:] in ".!?":
-                out, held = [*out, held], None
-        out += [held] if held else []
-        return pd.DataFrame([{"para": i, **p} for i, p in enumerate(out)], columns=[key, "para", "start_s", "end_s", "text", "cues"])
+    def step(k, rows):
+        held, para = None, 0
+        for _, _, start, end, said in rows:
+            if held and (start - held[1] > max_gap or len(held[2]) + 1 + len(said) > cap):
+                yield (k, para, *held)
+                held, para = None, para + 1
+            held = (start, end, said, 1) if held is None else (held[0], end, f"{held[2]} {said}", held[3] + 1)
+            if len(held[2]) >= target and held[2][-1:] in ".!?":
+                yield (k, para, *held)
+                held, para = None, para + 1
+        if held:
+            yield (k, para, *held)
 
     kind_ = cues.schema[key].dataType.simpleString()
-    return cues.groupBy(key).applyInPandas(run, f"`{key}` {kind_}, para int, start_s double, end_s double, text string, cues int")
+    rows = cues.select(key, "seq", F.col("start_s").cast("double"), F.col("end_s").cast("double"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_sequence(rows, key, ["start_s", "seq"], f"`{key}` {kind_}, para int, start_s double, end_s double, text string, cues int", step)

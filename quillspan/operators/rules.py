@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import jaccard, normal_header
-from quillspan.operators.chunking import heading_level, is_question
+from quillspan.operators.chunking import heading_level, in_sequence, is_question
 
 # Bounds of a useful kind pattern.
 HIT_LOW, HIT_HIGH, PURITY, MIN_HEADINGS, MAX_ATTEMPTS = 0.003, 0.20, 0.7, 2, 3
@@ -67,16 +67,14 @@ def resolve_profiles(documents: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def correction_batches(paras: DataFrame, key: str = "doc_id", limit: int = 24_000) -> DataFrame:
     """(key, idx, batch): paragraphs in order, greedily packed up to a number of characters."""
-    import pandas as pd
 
-    def run(pdf):
-        out, batch, size = [], 0, 0
-        for row in pdf.sort_values("idx").itertuples(index=False):
-            if size and size + row.n > limit:
+    def step(k, rows):
+        batch, size = 0, 0
+        for _, idx, n in rows:
+            if size and size + n > limit:
                 batch, size = batch + 1, 0
-            size += row.n
-            out.append((getattr(row, key), row.idx, batch))
-        return pd.DataFrame(out, columns=[key, "idx", "batch"])
+            size += n
+            yield k, idx, batch
 
     kind = paras.schema[key].dataType.simpleString()
-    return paras.select(key, "idx", F.char_length("text").alias("n")).groupBy(key).applyInPandas(run, f"`{key}` {kind}, idx int, batch int")
+    return in_sequence(paras.select(key, "idx", F.char_length("text").alias("n")), key, ["idx"], f"`{key}` {kind}, idx int, batch int", step)

@@ -100,3 +100,63 @@ def section_ordinals(spark, sf_dir):
     """Sections of every source in order of first appearance."""
     g = table(spark, sf_dir, "documents", "source", "lang", "doc_id").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
     return g.select("source", "lang", F.row_number().over(Window.partitionBy("source").orderBy("first", "lang")).cast("long").alias("ordinal"), "first")
+
+
+# Rule families by language: one with headings and both kinds, one with a single rule, one older than another, one empty.
+FAMILIES = [
+    ("en", 1, None, None, "Never used", None, None, None), ("en", 2, "Th[a-z]+ ", "On[a-z]* ", "An", "Re", 300, 60),
+    ("fr", 1, None, None, None, "Le", None, None), ("de", 5, None, None, None, None, None, None),
+]
+FAMILY_SCHEMA = "fingerprint string, learned_at int, heading_l1_pattern string, heading_l2_pattern string, question_pattern string, footnote_pattern string, heading_l1_max int, heading_l2_max int"
+
+
+def families(spark):
+    return spark.createDataFrame(FAMILIES, FAMILY_SCHEMA)
+
+
+def fingerprinted(spark, sf_dir):
+    """Documents whose language stands for the structural fingerprint."""
+    return table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumnRenamed("lang", "fingerprint")
+
+
+QUIET = LEVEL[: LEVEL.index(" THEN 0") + len(" THEN 0")]
+BUILT_IN = "CASE WHEN level > 0 THEN 'cuerpo' WHEN lang = 'en' AND regexp_matches(text, '^(?:An)') THEN 'preguntas' WHEN lang = 'en' AND regexp_matches(text, '^(?:Re)') THEN 'nota' WHEN lang = 'fr' AND regexp_matches(text, '^(?:Le)') THEN 'nota' WHEN regexp_matches(text, '(\\.\\s?){5,}') THEN 'cuerpo' WHEN regexp_matches(text, '^\\d+\\.\\s') THEN 'preguntas' WHEN marks >= 2 AND marks * 300 >= strlen(text) THEN 'preguntas' WHEN regexp_matches(text, '^\\d+\\s') THEN 'nota' ELSE 'cuerpo' END"
+LEARNED = f"{PARA}, h AS (SELECT p.*, lang, length(text) - length(replace(text, '¿', '')) AS marks, {QUIET} WHEN lang = 'en' AND regexp_matches(text, '^(?:Th[a-z]+ )') THEN CAST(length(text) <= 300 AS INTEGER) WHEN lang = 'en' AND regexp_matches(text, '^(?:On[a-z]* )') THEN 2 * CAST(length(text) <= 60 AS INTEGER) ELSE {LEVEL} END AS level FROM p JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)), k AS (SELECT *, {BUILT_IN} AS kind FROM h)"
+
+
+@query("learned_kinds", f"WITH {LEARNED} SELECT lang AS fingerprint, least(level, 2) AS level, kind, count(*) AS n, sum(idx) AS places FROM k GROUP BY ALL")
+def learned_kinds(spark, sf_dir):
+    """Levels and kinds of all paragraphs by the rules each document's family has learned."""
+    p = C.learned_paragraphs(fingerprinted(spark, sf_dir), families(spark), "\n")
+    named = p.join(fingerprinted(spark, sf_dir).select("doc_id", "fingerprint"), "doc_id")
+    return named.groupBy("fingerprint", F.least("level", F.lit(2)).alias("level"), "kind").agg(F.count("*").alias("n"), F.sum("idx").alias("places"))
+
+
+@query("learned_chunks")
+def learned_chunks(spark, sf_dir):
+    """Chunks of every document by its family's learned rules (checked against one machine in the tests)."""
+    return C.learned_chunks(fingerprinted(spark, sf_dir), families(spark), "\n")
+
+
+def transcripts(spark, sf_dir):
+    """(videos, times) of the conversations: correction loses the system's paragraph, so that those shift."""
+    t = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    t = t.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "\\n+", " "))
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    videos = t.groupBy(F.col("conv_id").alias("video_id")).agg(said.alias("said"))
+    text = lambda rows: F.array_join(F.transform(rows, lambda x: x["text"]), "\n\n")
+    videos = videos.select("video_id", F.upper(text(F.filter("said", lambda x: x["role"] != "system"))).alias("corrected"), text(F.col("said")).alias("original"))
+    idx = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    return videos, t.select(F.col("conv_id").alias("video_id"), idx.alias("idx"), (F.col("turn") * 5.0).alias("start_s"), (F.col("turn") * 5.0 + 4).alias("end_s"))
+
+
+@query("transcript_streams", "WITH t AS (SELECT conv_id AS video_id, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> '' AS said FROM conversations), g AS (SELECT video_id, CAST(count(*) FILTER (WHERE said AND role <> 'system') AS INTEGER) AS n_corrected, CAST(count(*) FILTER (WHERE said) AS INTEGER) AS n_original, CAST(count(*) AS INTEGER) AS timed FROM t GROUP BY ALL) SELECT *, CASE WHEN n_corrected = timed THEN 'corrected' WHEN n_original = timed THEN 'original' END AS stream FROM g")
+def transcript_streams(spark, sf_dir):
+    """Which stream of every transcript can carry its times."""
+    return C.transcript_chunks(*transcripts(spark, sf_dir))[1].drop("uncovered")
+
+
+@query("transcript_chunks")
+def transcript_chunks(spark, sf_dir):
+    """Chunks of every transcript with their times (checked for order and cover in the tests)."""
+    return C.transcript_chunks(*transcripts(spark, sf_dir))[0]
