@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,24 +172,61 @@ def semantic_diff(produced: dict[str, DataFrame], held: dict[str, DataFrame], ke
     return out
 
 
-#: Words of the inner run by which a quote is looked up.
-QUOTE_GRAM = 4
+#: Words of the inner run by which a quote is looked up, and short quotes that one pass over the documents searches for.
+QUOTE_GRAM, QUOTES_PER_PASS = 4, 50_000
 
 
-def quoted_in(docs: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
-    """Documents with each quote they hold verbatim.
+def quoted_in(docs: DataFrame, quotes: DataFrame, key: str, text: str, quote: str) -> DataFrame:
+    """Documents (``key`` names them) with each quote they hold verbatim; null and empty quotes are held by none.
 
     A quote of six words or more is found by the hash of its second to fifth word, which any
-    text that holds it must have between blanks; what meets is verified. Shorter quotes,
-    which have no such run, are searched in every document.
+    text that holds it must have between blanks: only keys and hashes are exploded and met,
+    and texts are fetched once for each pair that met, to be verified. Shorter quotes, which
+    have no such run, are searched by an automaton in one pass for QUOTES_PER_PASS of them.
     """
-    parts = F.split(F.col(quote), " ")
     run = lambda words, i: F.xxhash64(*[F.get(words, i + k) for k in range(QUOTE_GRAM)])
-    marked = quotes.withColumn("_parts", parts)
-    long = marked.where(F.size("_parts") >= QUOTE_GRAM + 2).withColumn("_key", run(F.col("_parts"), F.lit(1))).drop("_parts")
-    short = marked.where(F.size("_parts") < QUOTE_GRAM + 2).drop("_parts")
-    words = docs.select(F.struct(*docs.columns).alias("doc"), F.split(text, " ").alias("_words")).where(F.size("_words") >= QUOTE_GRAM)
+    distinct = quotes.where(F.col(quote) != "").select(F.col(quote).alias("_quote")).distinct()
+    size = F.size(F.split("_quote", " "))
+    long = distinct.where(size >= QUOTE_GRAM + 2).withColumn("_key", run(F.split("_quote", " "), F.lit(1)))
+    words = docs.select(F.col(key).alias("_id"), F.split(text, " ").alias("_words")).where(F.size("_words") >= QUOTE_GRAM)
     keys = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_words") - QUOTE_GRAM), lambda i: run(F.col("_words"), i)))
-    met = words.select("doc", F.explode(keys).alias("_key")).join(long, "_key").drop("_key").select("doc.*", *quotes.columns)
-    both = met.where(F.contains(text, F.col(quote)))
-    return both.unionByName(docs.join(short, F.contains(F.col(text), F.col(quote))).select(both.columns))
+    met = words.select("_id", F.explode(keys).alias("_key")).join(long, "_key").select("_id", "_quote").distinct()
+    for asked in _passes(distinct.where(size < QUOTE_GRAM + 2), "_quote", QUOTES_PER_PASS):
+        met = met.unionByName(_short_hits(docs, key, text, asked))
+    found = docs.join(met, F.col(key).eqNullSafe(F.col("_id"))).where(F.contains(text, F.col("_quote")))
+    return found.join(quotes, F.col("_quote") == F.col(quote)).select(*docs.columns, *quotes.columns)
+
+
+def _passes(rows: DataFrame, column: str, most: int):
+    """The column's values as lists of up to ``most``."""
+    held: list[str] = []
+    for row in rows.select(column).toLocalIterator():
+        held.append(row[0])
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _short_hits(docs: DataFrame, key: str, text: str, asked: list[str]) -> DataFrame:
+    """_id, _quote: which of the strings each document holds, by one automaton over all of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(asked)  # QUOTES_PER_PASS strings of under six words
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for q in shared.value:
+            automaton.add_word(q, q)
+        automaton.make_automaton()
+        for batch in batches:
+            places, quotes = [], []
+            for i, value in enumerate(batch.column(1)):
+                hits = {q for _, q in automaton.iter(value.as_py() or "")}
+                places += [i] * len(hits)
+                quotes += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(quotes, pa.string())], names=["_id", "_quote"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"_id {kind}, _quote string")

@@ -10,6 +10,7 @@ from quillspan.functions import text as T
 from quillspan.operators import audit as A
 from quillspan.operators import catalog as C
 from quillspan.operators import mutations as K
+from quillspan.plans.sqltext import fold as folded
 from quillspan.registry import query
 from quillspan.sources.tables import table
 
@@ -142,20 +143,25 @@ def topical_jaccard(spark, sf_dir):
     return met.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("overlap"))
 
 
-@query("correction_gate", r"WITH e AS (SELECT doc_id, text AS o, trim(replace(regexp_replace(text, '\d', '', 'g'), ' the ', ' ')) AS c FROM documents) SELECT doc_id, CASE WHEN length(c) = 0 THEN 'empty' WHEN abs(length(c) - length(o)) / greatest(1, length(o)) > 0.25 THEN 'length' WHEN length(o) - length(c) > 20 THEN 'deleted' WHEN len(list_filter(regexp_extract_all(o, '\d{1,3}:\d{1,3}'), lambda x: NOT list_contains(regexp_extract_all(c, '\d{1,3}:\d{1,3}'), x))) > 0 THEN 'scripture' WHEN len(list_filter(regexp_extract_all(o, '\d{2,}'), lambda x: NOT list_contains(regexp_extract_all(c, '\d{2,}'), x))) > 0 THEN 'numbers' ELSE 'names_or_none' END AS reason FROM e")
+GATE = rf"""WITH e AS (SELECT doc_id, text || ' con Pedro' AS o, trim(replace(regexp_replace(text, '\d', '', 'g'), ' the ', ' ') || CASE WHEN doc_id % 2 = 0 THEN ' con pédro' ELSE ' con nadie' END) AS c FROM documents),
+n AS (SELECT *, regexp_extract_all(regexp_replace(o, '(^|[.!?¿¡]\s+)[A-ZÁÉÍÓÚÑ]', '\1', 'g'), '\b([A-ZÁÉÍÓÚÑ][a-záéíóúñ]{{2,}})', 1) AS names FROM e)
+SELECT doc_id, CASE WHEN length(c) = 0 THEN 'empty' WHEN abs(length(c) - length(o)) / greatest(1, length(o)) > 0.25 THEN 'length' WHEN length(o) - length(c) > 20 THEN 'deleted' WHEN len(list_filter(regexp_extract_all(o, '\d{{1,3}}:\d{{1,3}}'), lambda x: NOT list_contains(regexp_extract_all(c, '\d{{1,3}}:\d{{1,3}}'), x))) > 0 THEN 'scripture' WHEN len(list_filter(regexp_extract_all(o, '\d{{2,}}'), lambda x: NOT list_contains(regexp_extract_all(c, '\d{{2,}}'), x))) > 0 THEN 'numbers' WHEN len(list_filter(names, lambda x: NOT contains({folded('c')}, {folded('x')}))) > 0 THEN 'proper_noun' ELSE '' END AS reason FROM n"""
+
+
+@query("correction_gate", GATE)
 def correction_gate(spark, sf_dir):
-    """Why an edit of every document would be refused (names are checked in the tests)."""
+    """Why an edit of every document would be refused; every second edit loses a name."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
     edited = F.replace(F.regexp_replace("text", r"\d", ""), F.lit(" the "), F.lit(" "))
-    reason = A.correction_gate(F.col("text"), edited)
-    return d.select("doc_id", F.when(reason.isin("proper_noun", ""), "names_or_none").otherwise(reason).alias("reason"))
+    edited = F.concat(edited, F.when(F.col("doc_id") % 2 == 0, " con pédro").otherwise(" con nadie"))
+    return d.select("doc_id", A.correction_gate(F.concat("text", F.lit(" con Pedro")), edited).alias("reason"))
 
 
 @query("quote_location", "SELECT item_id, doc_id, CAST(strlen(substr(d.text, 1, strpos(d.text, b.text) - 1)) AS INTEGER) AS span_begin, CAST(strlen(substr(d.text, 1, strpos(d.text, b.text) - 1)) + strlen(b.text) AS INTEGER) AS span_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_location(spark, sf_dir):
     """Byte spans of benchmark texts that documents quote verbatim."""
     b, d = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, sf_dir, "documents", "doc_id", "text")
-    j = A.quoted_in(d, b, "text", "quote").withColumn("s", T.quote_span(F.col("quote"), F.col("text")))
+    j = A.quoted_in(d, b, "doc_id", "text", "quote").withColumn("s", T.quote_span(F.col("quote"), F.col("text")))
     return j.select("item_id", "doc_id", F.col("s.begin").alias("span_begin"), F.col("s.end").alias("span_end"))
 
 

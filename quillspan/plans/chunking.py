@@ -150,7 +150,7 @@ def transcripts(spark, sf_dir):
     return videos, t.select(F.col("conv_id").alias("video_id"), idx.alias("idx"), (F.col("turn") * 5.0).alias("start_s"), (F.col("turn") * 5.0 + 4).alias("end_s"))
 
 
-@query("transcript_streams", "WITH t AS (SELECT conv_id AS video_id, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> '' AS said FROM conversations), g AS (SELECT video_id, CAST(count(*) FILTER (WHERE said AND role <> 'system') AS INTEGER) AS n_corrected, CAST(count(*) FILTER (WHERE said) AS INTEGER) AS n_original, CAST(count(*) AS INTEGER) AS timed FROM t GROUP BY ALL) SELECT *, CASE WHEN n_corrected = timed THEN 'corrected' WHEN n_original = timed THEN 'original' END AS stream FROM g")
+@query("transcript_streams", r"WITH t AS (SELECT conv_id AS video_id, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> '' AS said FROM conversations), g AS (SELECT video_id, CAST(count(*) FILTER (WHERE said AND role <> 'system') AS INTEGER) AS n_corrected, CAST(count(*) FILTER (WHERE said) AS INTEGER) AS n_original, CAST(count(*) AS INTEGER) AS timed FROM t GROUP BY ALL) SELECT *, CASE WHEN n_corrected = timed THEN 'corrected' WHEN n_original = timed THEN 'original' END AS stream FROM g")
 def transcript_streams(spark, sf_dir):
     """Which stream of every transcript can carry its times."""
     return C.transcript_chunks(*transcripts(spark, sf_dir))[1].drop("uncovered")
