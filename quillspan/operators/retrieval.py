@@ -192,6 +192,12 @@ def where_lost(dense_rank: Column, sparse_rank: Column, fused_rank: Column, deli
 POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
 
 
+def poisson_draw(item: str, turn: str, seed: int) -> Column:
+    """How often an item is in the sample of a round: Poisson of mean 1, by a hash of both."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", item, turn, F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+
+
 def bootstrap_margin(ranks: DataFrame, rounds: int = 400, seed: int = 7) -> DataFrame:
     """Population deviation of resampled mean reciprocal ranks (``q``, ``rr``).
 
@@ -199,7 +205,6 @@ def bootstrap_margin(ranks: DataFrame, rounds: int = 400, seed: int = 7) -> Data
     Poisson distribution of mean 1, by a hash; so rounds need neither an index nor a join.
     """
     drawn = ranks.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", "q", "round", F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    times = poisson_draw("q", "round", seed)
     means = drawn.withColumn("times", times).groupBy("round").agg((F.sum(F.col("times") * F.col("rr")) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
     return means.agg(F.count("*").alias("rounds"), F.round(F.stddev_pop("m"), 6).alias("margin"))
