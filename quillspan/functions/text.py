@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -234,3 +237,28 @@ def semantic_counts(document: Column) -> Column:
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     quoted = size(F.filter(parsed["claims"], lambda c: F.coalesce(c["quote"], F.lit("")) != ""))
     return F.when(document.rlike(r"^\s*\{"), F.struct(size(parsed["concepts"]).alias("concepts"), size(parsed["claims"]).alias("claims"), quoted.alias("quoted")))
+
+
+def decomposed(text: Column) -> Column:
+    """Exact compatibility decomposition without combining marks, for any script.
+
+    Spark SQL has no normal forms, so this one scalar runs in Python, on Arrow batches; texts
+    of ASCII alone are passed through. ``fold`` stays the native way for Latin letters.
+    """
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts:
+            plain = value.as_py()
+            if plain is not None and not plain.isascii():
+                plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+            out.append(plain)
+        return pa.array(out, pa.string())
+
+    return run(text)
+
+
+def exact_name(name: Column) -> Column:
+    """Concept key in any script: case folded, decomposed, punctuation to blanks, collapsed."""
+    return collapse(F.regexp_replace(F.lower(decomposed(F.lower(name))), r"[^\p{L}\p{N}]+", " "))

@@ -22,6 +22,8 @@ from quillspan.sources import store
 
 #: Buckets of terms, and files that a segment's bucket is spread over, so that no frequent term fills one task.
 BUCKETS, SPREAD = 32, 2
+#: Raised whenever what is stored changes, so that an index of an older form is not taken up.
+FORMAT = 2
 DOCUMENT, TOTALS = "scope string, id long, dl int", "scope string, n long, measured long, terms long"
 POSTING, FREQUENCY = "scope string, id long, term string, tf int, dl int", "scope string, term string, df long"
 

@@ -21,7 +21,7 @@ def texts(spark, sf_dir):
 def document_index(spark, sf_dir) -> L.LexicalIndex:
     """The stored index of all documents; the first caller builds it."""
     docs = texts(spark, sf_dir)
-    path = f"{store.shared_dir(spark)}/lexical-{store.fingerprint(table(spark, sf_dir, 'documents'))}"
+    path = f"{store.shared_dir(spark)}/lexical-{L.FORMAT}-{store.fingerprint(table(spark, sf_dir, 'documents'))}"
     index = L.LexicalIndex(spark, path)
     return index if index.segments() else L.build(docs.drop("source"), path)
 
@@ -29,7 +29,7 @@ def document_index(spark, sf_dir) -> L.LexicalIndex:
 def changed_index(spark, sf_dir) -> L.LexicalIndex:
     """An index of three segments: all languages but English; English added; src1 removed and src2 replaced."""
     docs = texts(spark, sf_dir)
-    path = f"{store.shared_dir(spark)}/lexical-changed-{store.fingerprint(table(spark, sf_dir, 'documents'))}"
+    path = f"{store.shared_dir(spark)}/lexical-changed-{L.FORMAT}-{store.fingerprint(table(spark, sf_dir, 'documents'))}"
     index = L.LexicalIndex(spark, path)
     if len(index.segments()) != 3:
         source = F.coalesce("source", F.lit(""))

@@ -30,4 +30,4 @@ def load() -> None:
         import_module(f"quillspan.plans.{name}")
 
 
-MODULES = ("lexical", "retrieval", "graph", "chunking", "catalog", "rules", "scalars", "records", "evidence", "audits", "reads", "stored", "tuning")
+MODULES = ("lexical", "retrieval", "graph", "chunking", "catalog", "rules", "scalars", "records", "evidence", "audits", "reads", "stored", "tuning", "replay")

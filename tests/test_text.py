@@ -37,3 +37,15 @@ def test_scalars(spark):
     assert tuple(one(spark, "ñandú corre", T.quote_span(F.lit("corre"), c))[0]) == (8, 13)
     assert one(spark, "a b", T.quote_still_locates(F.lit(None).cast("string"), c))[0] is None
     assert spark.range(1).select(T.upper_median(F.array(F.lit(1), F.lit(9), F.lit(5), F.lit(7)))).first()[0] == 7
+
+
+def test_exact_decomposition_of_every_character(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    rows = ["".join(chars[i : i + 64]) for i in range(0, len(chars), 64)] + ["", None, "plain"]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", r) if not unicodedata.combining(c)) if r is not None else None for r in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", T.decomposed(F.col("t")).alias("t"))
+    assert [r.t for r in df.orderBy("i").collect()] == want
+    names = spark.createDataFrame([("Ｃafé — Ἀθῆναι",), ("ﬁn  de siècle!",)], "t string").select(T.exact_name(F.col("t")).alias("t")).collect()
+    assert [r.t for r in names] == ["cafe αθηναι", "fin de siecle"]
