@@ -218,6 +218,24 @@ def _meet(x: DataFrame, y: DataFrame, similarity: float, also=None) -> DataFrame
     return x.alias("x").join(y.alias("y"), met if also is None else met & also).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
 
 
+def _leader_pairs(alive: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of every node and the leaders (lo, hi, mid) of its shingles that may be similar.
+
+    Leaders come with each row, so that nothing is joined; a node names a leader once, however
+    many shingles they share.
+    """
+
+    def may(x):
+        left = F.least(F.col("n") - F.col("pos"), x["n"] - x["pos"])
+        return (x["node"] != F.col("node")) & (left >= (F.col("n") + x["n"]) * (similarity / (1 + similarity)) - 1e-6)
+
+    named = F.transform(F.filter(F.array("lo", "hi", "mid"), may), lambda x: x["node"])
+    mine = alive.select("node", F.array_distinct(named).alias("leaders")).where(F.size("leaders") > 0)
+    mine = mine.groupBy("node").agg(F.collect_set("leaders").alias("leaders"))
+    each = mine.select("node", F.explode(F.array_distinct(F.flatten("leaders"))).alias("other"))
+    return each.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+
+
 def _similar_pairs(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of ids whose texts have an exact shingle Jaccard of ``similarity`` or more."""
 
@@ -277,12 +295,12 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float, id_col: str,
     spread = nodes.where("n > 0").select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # A shared shingle counts if it is early enough in the smaller set of some pair.
     early = F.col("n") - F.col("pos") >= F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6
-    lead = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node")).alias("mid"), F.max(early).alias("any")]
-    alive = materialize(spread.join(spread.groupBy("shingle").agg(*lead).where("lo < hi and any").drop("any"), "shingle"), "meetings")
-    leaders = alive.where("node in (lo, hi, mid)")
+    one = F.struct("node", "n", "pos")
+    lead = [F.min(one).alias("lo"), F.max(one).alias("hi"), F.min_by(one, F.xxhash64("node")).alias("mid"), F.max(early).alias("any")]
+    alive = materialize(spread.join(spread.groupBy("shingle").agg(*lead).where("lo.node < hi.node and any").drop("any"), "shingle"), "meetings")
     folded = rows.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
     hashed = simhash_groups(folded, width=width, id_col="id").where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    near = _similar_pairs(hashed.unionByName(_meet(leaders, alive, similarity)), rows, width, similarity)
+    near = _similar_pairs(hashed.unionByName(_leader_pairs(alive, similarity)), rows, width, similarity)
     placed = alive.drop("lo", "hi", "mid").join(connected_components(near), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     placed = materialize(placed, "meeting-classes")
     # Pairs of different classes have one outside the largest class that meets at the shingle.
