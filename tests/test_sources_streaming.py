@@ -1,6 +1,8 @@
 import io
 import json
+import re
 import zipfile
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -108,3 +110,36 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     assert sum(gaps.values()) == batch.count()
     runs = batch.select("user_id").distinct().limit(3)
     assert len(run_stream(spark, Z.attach_runs(stream(), runs, "user_id"), "runs")) == twice.join(runs, "user_id").count()
+
+
+class Reader(HTMLParser):
+    """Text outside scripts and styles, by the standard parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.said, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        self.said.append(" ")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+        self.said.append(" ")
+
+    def handle_comment(self, data):
+        self.said.append(" ")
+
+    def handle_data(self, data):
+        self.said.append("" if self.hidden else data)
+
+
+def test_page_text(spark, sf):
+    rows = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect() if r.html]
+    rows += ["<p>a &lt;b&gt; &amp;amp; c</p><script>var x = '<p>no</p>';</script><!-- <i>no</i> -->d<style>p{}</style>\n\n e", "", "plain"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(rows)), "i int, h string").select("i", S.page_text(F.col("h")).alias("t")).orderBy("i").collect()]
+    for page, text in zip(rows, got, strict=True):
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert text == re.sub(r"[ \t\n\x0b\f\r]+", " ", "".join(reader.said)).strip(" ")
