@@ -271,7 +271,7 @@ def vtt_cues(texts: DataFrame, key: str = "path", text: str = "text") -> DataFra
     blocks = texts.select(key, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n\s*\n")).alias("seq", "b")).where(F.col("b").contains("-->"))
     timing = F.regexp_extract("b", r"(?m)^(.*-->.*)$", 1)
     body = F.regexp_replace(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", ""), "<[^>]*>", "")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, sign in ENTITIES:
         body = F.replace(body, F.lit(name), F.lit(sign))
     said = F.trim(F.regexp_replace(body, r"\s+", " "))
     return blocks.select(key, "seq", _seconds(F.split(timing, "-->")[0]).alias("start_s"), _seconds(F.split(timing, "-->")[1]).alias("end_s"), said.alias("text")).where("text <> ''")
@@ -303,12 +303,19 @@ def choose_track(tracks: DataFrame, preferred: list[str]) -> DataFrame:
     return tracks.where("ext = 'vtt'").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+# The entities that are read; the ampersand's own comes last, so that nothing is read twice.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"),
+    ("&mdash;", "—"), ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&iquest;", "¿"), ("&iexcl;", "¡"), ("&amp;", "&"),
+)
+
+
 def page_text(page: Column) -> Column:
     """Readable text of an HTML page: scripts, styles, comments and tags out."""
     out = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, sign in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
