@@ -195,7 +195,7 @@ def community_weights(spark, sf_dir):
 @query("clusters")
 def clusters(spark, sf_dir):
     """Communities of the version-concept graph by multi-level modularity."""
-    return C.communities(strong(spark, sf_dir))
+    return C.communities(strong(spark, sf_dir), levels=3, sweeps=3)
 
 
 def envelope(spark, sf_dir):
@@ -260,6 +260,6 @@ def merged_clusters(spark, sf_dir):
     """Concepts of the library graph in ten clusters or as near as sizes and links allow."""
     nodes, edges = envelope(spark, sf_dir)
     pairs = settled(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w")), "pairs")
-    label, _, _ = C.louvain(pairs)
+    label, _, _ = C.louvain(pairs, levels=3, sweeps=3)
     out = C.merged_clusters(pairs, label, 10)
     return out.join(nodes, "node").select(F.col("id").alias("concept_id"), "cluster")
