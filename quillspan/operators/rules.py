@@ -33,8 +33,8 @@ def header_pattern_check(paras: DataFrame, pattern: str, key: str = "doc_id", lo
 
 
 def heading_sequence_check(paras: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Whether level-1 numbers are unique, rising and without gaps."""
-    tops = paras.where(heading_level(F.col("text")) == 1).select(key, "idx", F.regexp_extract("text", r"^(\d+)", 1).cast("int").alias("no"))
+    """Whether level-1 numbers are unique, rising and without gaps; a number may have up to 38 digits."""
+    tops = paras.where(heading_level(F.col("text")) == 1).select(key, "idx", F.regexp_extract("text", r"^(\d+)", 1).cast("decimal(38,0)").alias("no"))
     w = Window.partitionBy(key).orderBy("idx")
     steps = tops.withColumn("prev", F.lag("no").over(w))
     return steps.groupBy(key).agg(
