@@ -125,29 +125,31 @@ def _starts(text: Column, pattern) -> Column:
     return F.coalesce(F.regexp_like(text, F.concat(F.lit("^(?:"), pattern, F.lit(")"))), F.lit(False))
 
 
-def heading_level(text: Column, level1=None, level2=None, caps: tuple = (LEVEL1_CAP, LEVEL2_CAP)) -> Column:
+def heading_level(text: Column, level1=None, level2=None, caps: tuple = (LEVEL1_CAP, LEVEL2_CAP), flat: int | None = None) -> Column:
     """Depth of a numbered heading, or of a learned pattern; 0 for anything else.
 
     Patterns may be strings or columns (null: none), caps numbers or columns; a cap of 0 turns
-    its level off.
+    its level off. With ``flat``, numbered headings of any depth are of level 1, up to that many
+    characters; the caps hold for learned patterns alone then.
     """
     count = lambda rx: F.char_length(text) - F.char_length(F.regexp_replace(text, rx, ""))
     prefix = F.regexp_replace(F.regexp_extract(text, r"^(\S+)", 1), r"\.+$", "")
     depth = F.char_length(prefix) - F.char_length(F.replace(prefix, F.lit("."), F.lit(""))) + 1
     most1, most2 = (c if isinstance(c, Column) else F.lit(c) for c in caps)
-    cap = F.when(depth == 1, most1).otherwise(most2)
+    cap = F.when(depth == 1, most1).otherwise(most2) if flat is None else F.lit(flat)
     out = F.when(text.rlike(LEADERS) | is_question(text) | is_endnote(text), 0)
     for pattern, level, most in ((level1, 1, most1), (level2, 2, most2)):
         if pattern is not None:
             out = out.when(_starts(text, pattern), F.when(F.char_length(text) <= most, level).otherwise(0))
     wrong = ~text.rlike(HEADING) | (count(r"\p{Nd}") > count(r"\p{L}")) | text.rlike(LOWER_TITLE) | (F.char_length(text) > cap)
-    return out.when(wrong, 0).otherwise(depth)
+    return out.when(wrong, 0).otherwise(depth if flat is None else 1)
 
 
-def kind(text: Column, level: Column | None = None, question=None, footnote=None) -> Column:
+def kind(text: Column, level: Column | None = None, question=None, footnote=None, cite: bool = True) -> Column:
     """Body, review questions or footnote, for a paragraph; learned patterns come before the rules.
 
-    ``level``: the paragraph's heading level, where it is known already.
+    ``level``: the paragraph's heading level, where it is known already. Numbered paragraphs
+    that cite are notes; without ``cite`` all numbered ones are questions.
     """
     marks = F.char_length(text) - F.char_length(F.replace(text, F.lit("¿"), F.lit("")))
     dense = (marks > 0) & (marks * MARK_DENSITY >= F.octet_length(text)) & ((marks >= MIN_MARKS) | text.rlike(r"(?m)^\d+\.\s"))
@@ -158,7 +160,7 @@ def kind(text: Column, level: Column | None = None, question=None, footnote=None
             out = out.when(_starts(text, pattern), name)
     return (
         out.when(text.rlike(LEADERS), KIND_BODY)
-        .when(text.rlike(NUMBERED), F.when(cited, KIND_NOTE).otherwise(KIND_QUESTIONS))
+        .when(text.rlike(NUMBERED), F.when(cited & F.lit(cite), KIND_NOTE).otherwise(KIND_QUESTIONS))
         .when(dense, KIND_QUESTIONS).when(text.rlike(FOOTNOTE), KIND_NOTE).otherwise(KIND_BODY)
     )
 
