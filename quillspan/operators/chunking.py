@@ -345,20 +345,21 @@ RULES = ("heading_l1_pattern", "heading_l2_pattern", "question_pattern", "footno
 CAPS = {"heading_l1_max": LEVEL1_CAP, "heading_l2_max": LEVEL2_CAP}
 
 
-def learned_paragraphs(docs: DataFrame, profiles: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learned_paragraphs(docs: DataFrame, profiles: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text", flat: int | None = None, cite: bool = True) -> DataFrame:
     """Paragraphs with level and kind by the rules of each document's profile.
 
     ``docs``: id, text, fingerprint; ``profiles``: fingerprint, learned_at, RULES and CAPS,
     any of them null. The newest profile of a fingerprint counts. A pattern is matched at the
     start of a paragraph, the kind patterns after headings and before the built-in rules,
-    which hold wherever a document has no profile or its profile no such rule.
+    which hold wherever a document has no profile or its profile no such rule. ``flat`` and
+    ``cite`` bound those, as in :func:`heading_level` and :func:`kind`.
     """
     rules = F.struct(*RULES, *CAPS)
     newest = profiles.groupBy("fingerprint").agg(F.max_by(rules, F.struct("learned_at", rules)).alias("rules")).select("fingerprint", "rules.*")
     ruled = docs.join(newest, "fingerprint", "left").withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in CAPS.items()})
     p = paragraphs(ruled, delimiter, id_col, text_col, also=(*RULES, *CAPS), whole="_whole")
-    p = p.withColumn("level", heading_level(F.col("text"), F.col(RULES[0]), F.col(RULES[1]), tuple(F.col(c) for c in CAPS)))
-    return p.withColumn("kind", kind(F.col("text"), F.col("level"), F.col(RULES[2]), F.col(RULES[3])))
+    p = p.withColumn("level", heading_level(F.col("text"), F.col(RULES[0]), F.col(RULES[1]), tuple(F.col(c) for c in CAPS), flat))
+    return p.withColumn("kind", kind(F.col("text"), F.col("level"), F.col(RULES[2]), F.col(RULES[3]), cite))
 
 
 def learned_chunks(docs: DataFrame, profiles: DataFrame, delimiter: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
