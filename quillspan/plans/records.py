@@ -57,10 +57,14 @@ def catalog(spark, sf_dir):
 def upsert_documents(spark, sf_dir):
     """Catalog documents after a scan: known ones filled and revived, new ones added."""
     c = table(spark, sf_dir, "customer", "c_custkey", "c_name")
-    ids = c.where("c_custkey % 3 = 0").unionByName(c.where("c_custkey % 100 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000))
-    author = F.when((F.col("c_custkey") % 5 == 0) & (F.col("c_custkey") < 1000000), "scan")
-    seen = ids.select(F.col("c_custkey").alias("document_id"), F.upper("c_name").alias("title"), author.alias("author"), F.lit(None).cast("int").alias("folder_id"), F.concat(F.lit("/in/"), F.col("c_custkey").cast("string")).alias("path"), F.lit(True).alias("present"))
-    return R.upsert_documents(catalog(spark, sf_dir), seen)
+    # The ids of new documents may be those of customers too, so the key says which of both a row is.
+    key = lambda fresh, c: F.struct(fresh.alias("fresh"), c.alias("id"))
+    ids = c.where("c_custkey % 3 = 0").withColumn("fresh", F.lit(False)).unionByName(c.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), "c_name", F.lit(True).alias("fresh")))
+    author = F.when((F.col("c_custkey") % 5 == 0) & ~F.col("fresh"), "scan")
+    seen = ids.select(key(F.col("fresh"), F.col("c_custkey")).alias("document_id"), F.upper("c_name").alias("title"), author.alias("author"), F.lit(None).cast("int").alias("folder_id"), F.concat(F.lit("/in/"), F.col("c_custkey").cast("string")).alias("path"), F.lit(True).alias("present"))
+    docs = catalog(spark, sf_dir)
+    held = docs.withColumn("document_id", key(F.lit(False), F.col("document_id")))
+    return R.upsert_documents(held, seen).withColumn("document_id", F.col("document_id.id")).select(docs.columns)
 
 
 @query("mark_absent", "SELECT c_custkey AS document_id, c_custkey % 7 <> 0 AND c_custkey % 4 <> 0 AS present FROM customer")
