@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,23 +21,25 @@ TABLES = {
 }
 
 
-def replayed(held: dict[str, DataFrame], produced: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def replayed(held: dict[str, DataFrame], produced: dict[str, DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """The tables once the artifact's rows are the semantics of the versions it speaks of.
 
     Rows that the artifact has are taken over with its values, but those columns that tell
     where a row comes from stay as they were first written, so that a replay never claims a
     new extraction. Rows of the replayed versions that the artifact lacks go; other versions
     keep theirs. A concept stays while any mention is left or the artifact names it; concepts
-    that nothing mentions any more go. Doing it twice gives the same rows.
+    that nothing mentions any more go. Doing it twice gives the same rows. What several of the
+    tables are made from passes ``keep`` first, which may store it.
     """
+    produced = {name: keep(produced[name].select(held[name].columns).dropDuplicates(keys)) for name, (keys, _) in TABLES.items()}
     spoken = [df.select("version_id") for n, df in produced.items() if "version_id" in df.columns]
     versions = spoken[0]
     for more in spoken[1:]:
         versions = versions.unionByName(more)
-    versions = versions.distinct()
+    versions = keep(versions.distinct())
     out = {}
     for name, (keys, first) in TABLES.items():
-        old, new = held[name], produced[name].select(held[name].columns).dropDuplicates(keys)
+        old, new = held[name], produced[name]
         if name != "concepts":
             # Only the versions that are replayed can lose rows.
             other = old.join(versions, "version_id", "left_anti").select(old.columns)
@@ -46,6 +49,7 @@ def replayed(held: dict[str, DataFrame], produced: dict[str, DataFrame]) -> dict
         kept = mine.select(*keys, *[F.col(c).alias(f"_{c}") for c in first])
         taken = new.join(kept, keys, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in first})
         out[name] = other.unionByName(taken.select(old.columns))
+    out["mentions"] = keep(out["mentions"])
     used = out["mentions"].select("concept_id").unionByName(produced["concepts"].select("concept_id"))
     out["concepts"] = out["concepts"].join(used, "concept_id", "left_semi").select(held["concepts"].columns)
     return out
@@ -82,5 +86,15 @@ class Snapshots:
         return n
 
     def replay(self, produced: dict[str, DataFrame]) -> int:
-        """Publish what :func:`replayed` makes of the snapshot in force."""
-        return self.publish(replayed(self.read(), produced))
+        """Publish what :func:`replayed` makes of the snapshot in force; the artifact is read once."""
+        kept = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(store.settled(df, "replay"))
+            return kept[-1]
+
+        try:
+            return self.publish(replayed(self.read(), produced, keep))
+        finally:
+            for df in kept:
+                store.dropped(df)

@@ -11,16 +11,16 @@ from quillspan.sources.tables import table
 
 
 def semantic_tables(spark, sf_dir, flag: str, day: int, model: str) -> dict:
-    """An extraction over the line items of a return flag: concepts, mentions, claims and edges."""
+    """An extraction over the line items of a return flag: concepts, mentions, claims and edges; rows may repeat."""
     li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag").where(F.col("l_returnflag") == flag)
     text = lambda c: F.col(c).cast("string")
     made = [F.lit(model).alias("model"), F.lit(day).alias("created_at")]
     version, part = F.col("l_suppkey").cast("int").alias("version_id"), text("l_partkey")
     return {
-        "concepts": li.select(part.alias("concept_id"), F.concat(F.lit(f"{model} "), part).alias("name"), F.lit(flag).alias("kind")).distinct(),
-        "mentions": li.select(version, F.col("l_linenumber").cast("int").alias("chunk_id"), part.alias("concept_id"), *made).distinct(),
-        "claims": li.select(version, F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), F.lit(flag)).alias("claim_id"), *made, F.lit(flag).alias("quote")).distinct(),
-        "edges": li.select(version, part.alias("source_id"), F.lit("holds").alias("type"), text("l_linenumber").alias("target_id"), *made).distinct(),
+        "concepts": li.select(part.alias("concept_id"), F.concat(F.lit(f"{model} "), part).alias("name"), F.lit(flag).alias("kind")),
+        "mentions": li.select(version, F.col("l_linenumber").cast("int").alias("chunk_id"), part.alias("concept_id"), *made),
+        "claims": li.select(version, F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), F.lit(flag)).alias("claim_id"), *made, F.lit(flag).alias("quote")),
+        "edges": li.select(version, part.alias("source_id"), F.lit("holds").alias("type"), text("l_linenumber").alias("target_id"), *made),
     }
 
 
