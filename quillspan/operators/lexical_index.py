@@ -13,15 +13,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import tokenize
 from quillspan.operators.retrieval import B, K1
 from quillspan.sources import store
 
-#: Buckets of terms, and files that a segment's bucket is spread over, so that no frequent term fills one task.
+#: Buckets of terms, and files that a segment's bucket is spread over at least, so that no frequent term fills one task.
 BUCKETS, SPREAD = 32, 2
+#: Bytes of text, or as many terms at eight bytes each, whose postings of one bucket go to one task and file.
+FILE_BYTES = 8_000_000
 #: Raised whenever what is stored changes, so that an index of an older form is not taken up.
 FORMAT = 2
 DOCUMENT, TOTALS = "scope string, id long, dl int", "scope string, n long, measured long, terms long"
@@ -84,6 +86,25 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _dealt(rows: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Postings dealt by bucket and document; the more there are of them, the more tasks share a bucket."""
+    spread = max(SPREAD, -(-size // (buckets * FILE_BYTES)))
+    return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+
+
+def counted_terms(terms: Column) -> Column:
+    """(term, tf) of an array of terms, counted in the row; the first, of a null term, stands for the document itself."""
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+
+    def runs(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(places, lambda j: (j <= 1) | (F.get(s, j) != F.get(s, j - 1)))
+        pairs = lambda at: F.transform(at, lambda j, k: F.struct(F.get(s, j).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - j).alias("tf")))
+        return bind(starts, pairs)
+
+    return bind(F.concat(F.array(F.lit(None).cast("string")), F.array_sort(F.coalesce(terms, F.array().cast("array<string>")))), runs)
+
+
 def _put(index: LexicalIndex, segment: int, buckets: int, docs: DataFrame | None, removed: DataFrame) -> LexicalIndex:
     """Write one segment: ``docs`` (scope, id, text) in, ``removed`` (id) out."""
     spark, at = index.spark, lambda name: f"{index.path}/{name}/segment={segment}"
@@ -92,17 +113,21 @@ def _put(index: LexicalIndex, segment: int, buckets: int, docs: DataFrame | None
     before = index.segments()
     if docs is None:
         docs = spark.createDataFrame([], "scope string, id long, text string")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    repeats = not docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     tokens = docs.select("scope", "id", tokenize(F.col("text")).alias("t"))
-    tokens = tokens.select("scope", "id", F.when(F.col("t").isNotNull(), F.size("t")).alias("dl"), F.coalesce("t", F.array().cast("array<string>")).alias("t"))
-    # A leading null stands for the document itself, so that one pass over the texts gives both tables.
-    each = tokens.select("scope", "id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
-    counted = each.groupBy("scope", "id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    # One pass over the texts gives both tables, as a null term stands for the document itself.
+    each = tokens.select("scope", "id", F.when(F.col("t").isNotNull(), F.size("t")).alias("dl"), F.inline(counted_terms(F.col("t"))))
     bucket = F.when(F.col("term").isNull(), -1).otherwise(_bucket(buckets))
-    rows = counted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
-    # What stands in the folder of bucket -1 are the documents.
+    rows = _dealt(each.withColumn("bucket", bucket), size, buckets)
+    if repeats:
+        rows = rows.groupBy("bucket", "scope", "id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf"))
+        rows = _dealt(rows.select("scope", "id", "dl", "term", "tf", "bucket"), size, buckets)
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+    # What stands in the folder of bucket -1 are the documents, rows that repeat one as its count.
     put = spark.read.schema(f"{POSTING}, bucket int").parquet(at("postings"))
-    put.where("bucket = -1").select("scope", "id", "dl").write.mode("overwrite").parquet(at("documents"))
+    found = put.where("bucket = -1").withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("tf"))))
+    found.select("scope", "id", "dl").write.mode("overwrite").parquet(at("documents"))
     docs_in = spark.read.schema(DOCUMENT).parquet(at("documents"))
     df = put.where("bucket >= 0").groupBy("scope", "term").agg(F.count("*").alias("df"))
     totals = _measures(docs_in)
@@ -143,7 +168,8 @@ def compact(index: LexicalIndex, path: str) -> LexicalIndex:
     spark, buckets = index.spark, index.segments()[0]
     spark.createDataFrame([], "buckets int, segment int").write.mode("overwrite").partitionBy("segment").parquet(f"{path}/segments")
     at = lambda name: f"{path}/{name}/segment=0"
-    live = index.postings().repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
+    size = 8 * (index.totals().agg(F.sum("terms")).first()[0] or 0)
+    live = _dealt(index.postings(), size, buckets).sortWithinPartitions("bucket", "term")
     live.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     index.documents().write.mode("overwrite").parquet(at("documents"))
     index.frequencies().write.mode("overwrite").parquet(at("frequencies"))
