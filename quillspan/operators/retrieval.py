@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -80,23 +81,31 @@ def top_k(scored: DataFrame, group: str, item: str, k: int, score: str = "score"
 
 def _units(vectors: pa.ChunkedArray) -> np.ndarray:
     """Unit rows of a list column; vectors shorter than the longest end in zeros, null ones are zero."""
-    rows = vectors.to_pylist()
-    out = np.zeros((len(rows), max(map(len, filter(None, rows)), default=0)))
-    for i, v in enumerate(rows):
-        out[i, : len(v or ())] = v or ()
-    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy().astype(np.int64)
+    out = np.zeros((len(vectors), int(sizes.max(initial=0))))
+    # Row after row, so that values go to the places below each row's size.
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = pc.list_flatten(vectors).to_numpy()
+    out /= np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+    return out
+
 
+#: Queries of a block that are scored at a time: with 4096 vectors eight megabytes of scores.
+ROWS = 256
 
-def _scores(queries: pa.Table, vectors: pa.Table) -> np.ndarray:
-    """Cosines of a block of queries with a block of vectors; a vector's own and null ones' are nan."""
+
+def _scores(queries: pa.Table, vectors: pa.Table):
+    """(slice, cosines) of ROWS of a block's queries with a block of vectors; a vector's own and null ones' are nan."""
     a, b = _units(queries["v"]), _units(vectors["v"])
     n = min(a.shape[1], b.shape[1])
-    out = a[:, :n] @ b[:, :n].T
-    out[queries["id"].to_numpy()[:, None] == vectors["id"].to_numpy()[None, :]] = np.nan
-    for side, axis in ((queries, 0), (vectors, 1)):
-        gone = np.flatnonzero(side["v"].is_null().to_numpy(zero_copy_only=False))
-        out[(gone, slice(None)) if axis == 0 else (slice(None), gone)] = np.nan
-    return out
+    qid, vid = queries["id"].to_numpy(), vectors["id"].to_numpy()
+    no_q, no_v = (side["v"].is_null().to_numpy() for side in (queries, vectors))
+    for begin in range(0, len(qid), ROWS):
+        part = slice(begin, begin + ROWS)
+        out = a[part, :n] @ b[:, :n].T
+        out[qid[part, None] == vid[None, :]] = np.nan
+        out[no_q[part]] = np.nan
+        out[:, no_v] = np.nan
+        yield part, out
 
 
 def _blocked(queries: DataFrame, vectors: DataFrame, run, schema: str, block: int) -> DataFrame:
@@ -121,18 +130,21 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, *, floor: float |
     """
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        s = _scores(q, v)
-        ids, ql, vl = v["id"].to_numpy(), q["label"].to_numpy(), v["label"].to_numpy()
-        if other_label:
-            s[ql[:, None] == vl[None, :]] = np.nan
-        s = np.where(np.isnan(s) | (s < (-2 if floor is None else floor)), -np.inf, s)
-        rounded = np.round(s, DIGITS)
-        at = np.array([np.lexsort((ids, -r))[:k] for r in rounded], np.int64).reshape(len(q), -1)
-        row = np.repeat(np.arange(len(q)), at.shape[1])
-        at = at.ravel()
-        keep = s[row, at] > -np.inf
-        row, at = row[keep], at[keep]
-        return pa.table({"q": q["id"].to_numpy()[row], "ql": ql[row], "id": ids[at], "label": vl[at], "score": s[row, at]})
+        v = v.take(pc.sort_indices(v["id"]))  # so that a stable sort by score leaves ties to smaller ids
+        qid, ids, ql, vl = q["id"].to_numpy(), v["id"].to_numpy(), q["label"].to_numpy(), v["label"].to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for part, s in _scores(q, v):
+            if other_label:
+                s[ql[part, None] == vl[None, :]] = np.nan
+            s[np.isnan(s) | (s < (-2 if floor is None else floor))] = -np.inf
+            for i, r in enumerate(np.round(s, DIGITS), part.start):
+                # All that are as good as the k-th best, ties included, and of these the first k.
+                near = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k]) if k < len(r) else np.arange(len(r))
+                at = near[np.argsort(-r[near], kind="stable")[:k]]
+                at = at[r[at] > -np.inf]
+                found.append((np.full(len(at), i), at, s[i - part.start, at]))
+        row, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"q": qid[row], "ql": ql[row], "id": ids[at], "label": vl[at], "score": score})
 
     kind = vectors.schema["label"].dataType.simpleString()
     found = _blocked(queries, vectors, run, f"q long, ql {kind}, id long, label {kind}, score double", block)
@@ -143,10 +155,12 @@ def dense_counts(queries: DataFrame, vectors: DataFrame, floor: float, block: in
     """q, best, above, scored: of all vectors of every query, counted block by block."""
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        s = _scores(q, v)
-        seen = ~np.isnan(s)
-        best = np.where(seen, s, -np.inf).max(1, initial=-np.inf)
-        return pa.table({"q": q["id"].to_numpy(), "best": best, "above": (np.where(seen, s, -2) >= floor).sum(1), "scored": seen.sum(1)})
+        best, above, scored = np.full(len(q), -np.inf), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for part, s in _scores(q, v):
+            seen = ~np.isnan(s)
+            best[part] = np.where(seen, s, -np.inf).max(1, initial=-np.inf)
+            above[part], scored[part] = (np.where(seen, s, -2) >= floor).sum(1), seen.sum(1)
+        return pa.table({"q": q["id"].to_numpy(), "best": best, "above": above, "scored": scored})
 
     found = _blocked(queries, vectors, run, "q long, best double, above long, scored long", block)
     return found.groupBy("q").agg(F.max("best").alias("best"), F.sum("above").alias("above"), F.sum("scored").alias("scored"))
