@@ -191,8 +191,9 @@ def weights(index: LexicalIndex, postings: DataFrame, *, by_scope: bool = False)
     return j.select("scope", "id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("weight"))
 
 
-#: Distinct query terms up to which they are broadcast.
+#: Distinct query terms up to which they are broadcast, and pairs of a query and a document that one task adds up.
 BROADCAST_TERMS = 200_000
+TASK_PAIRS = 1_000_000
 
 
 def search(index: LexicalIndex, queries: DataFrame, *, query_id: str, query_text: str, scope: str | None = None) -> DataFrame:
@@ -200,7 +201,9 @@ def search(index: LexicalIndex, queries: DataFrame, *, query_id: str, query_text
 
     Each distinct query term counts once, by its inverse document frequency in the collection,
     or in ``scope`` alone. Only the asked terms' buckets are read; their postings meet the
-    queries' terms by equality, broadcast up to BROADCAST_TERMS of them.
+    queries' terms by equality, broadcast up to BROADCAST_TERMS of them. Then the postings are
+    dealt by document first, so that pairs of a query and a document are made and added up in
+    one place, at most about TASK_PAIRS in each task.
     """
     mine = (lambda df: df.where(F.col("scope") == scope)) if scope is not None else (lambda df: df)
     buckets = next(iter(index.segments().values()))
@@ -216,5 +219,8 @@ def search(index: LexicalIndex, queries: DataFrame, *, query_id: str, query_text
     idf = idf.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     found = mine(index.postings(sorted(wanted))).join(hint(terms.select("term")), "term", "left_semi")
     side = weights(index, found, by_scope=scope is not None)
+    if few <= BROADCAST_TERMS:
+        asking, documents = queries.count(), mine(index.totals()).agg(F.sum("n")).first()[0] or 0
+        side = side.select("id", "term", "weight").repartition(max(1, -(-asking * documents // TASK_PAIRS)), "id")
     hits = side.join(hint(asked.join(hint(idf), "term")), "term")
     return hits.groupBy("q", "id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).select(F.col("q").alias(query_id), "id", "score")
