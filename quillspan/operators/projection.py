@@ -17,20 +17,23 @@ def project_structure(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     HAS_CHUNK, IN_SECTION, NEXT (in reading order) and CITES. Ids derive from content, so
     projecting twice gives the same rows; ``section`` and ``locator`` may be null.
     """
+    # Dealt once, by version and before the longer ids are made; all ids but a document's belong to one version, so what repeats is found there.
+    raw = chunks.select("document_id", "version_id", "index", "section", "locator").repartition("version_id").distinct()
     doc, ver = F.concat(F.lit("doc_"), F.col("document_id").cast("string")), F.concat(F.lit("ver_"), F.col("version_id").cast("string"))
-    c = chunks.select(
+    c = raw.select(
         doc.alias("doc"), ver.alias("ver"), F.when(F.col("section").isNotNull(), F.concat(F.lit("sec_"), digest(ver, F.col("section")))).alias("sec"),
         F.concat(F.lit("chk_"), digest(ver, F.col("index").cast("string"))).alias("chunk"), "version_id", "index",
         F.when(F.col("locator").isNotNull(), F.concat(F.lit("cit_"), digest(ver, F.col("index").cast("string"), F.col("locator")))).alias("cit"),
-    ).distinct()
+    )
     follows = F.lead("chunk").over(Window.partitionBy("version_id").orderBy("index"))
-    c = c.withColumn("after", follows)
-    node = lambda label, col: c.select(F.lit(label).alias("label"), F.col(col).alias("id"))
-    edge = lambda kind, a, b: c.select(F.lit(kind).alias("type"), F.col(a).alias("source_id"), F.col(b).alias("target_id"))
-    nodes = reduce(DataFrame.unionByName, [node(*x) for x in (("document", "doc"), ("version", "ver"), ("section", "sec"), ("chunk", "chunk"), ("citation", "cit"))])
+    node = lambda label, col: F.struct(F.lit(label).alias("label"), F.col(col).alias("id"))
+    edge = lambda kind, a, b: F.struct(F.lit(kind).alias("type"), F.col(a).alias("source_id"), F.col(b).alias("target_id"))
+    within = lambda df, rows, *cols: df.select("version_id", F.inline(F.array(*rows))).dropna(subset=list(cols)).distinct().select(*cols)
+    nodes = within(c, [node(*x) for x in (("version", "ver"), ("section", "sec"), ("chunk", "chunk"), ("citation", "cit"))], "label", "id")
+    documents = chunks.select(F.lit("document").alias("label"), doc.alias("id")).dropna().distinct()
     pairs = (("HAS_VERSION", "doc", "ver"), ("HAS_SECTION", "ver", "sec"), ("HAS_CHUNK", "ver", "chunk"), ("IN_SECTION", "chunk", "sec"), ("NEXT", "chunk", "after"), ("CITES", "cit", "chunk"))
-    edges = reduce(DataFrame.unionByName, [edge(*x) for x in pairs])
-    return nodes.dropna().distinct(), edges.dropna().distinct()
+    edges = within(c.withColumn("after", follows), [edge(*x) for x in pairs], "type", "source_id", "target_id")
+    return nodes.unionByName(documents), edges
 
 
 def prune_citations(citations: DataFrame, projected: DataFrame) -> DataFrame:
