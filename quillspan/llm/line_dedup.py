@@ -96,25 +96,55 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     return F.when(d > t, F.lit(t + 1)).when(F.size(b) == 0, d).otherwise(run)
 
 
+def common_ends(a: Column, b: Column) -> Column:
+    """(p, q): how many characters at the front of two strings are equal, and at the back of what is left of ``b``.
+
+    ``a`` must not be the shorter one. Found by halving: each step compares one run of characters.
+    """
+    size = F.char_length(b)
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+
+    def longest(equal, most: Column) -> Column:
+        fits = F.filter(steps, lambda k: k <= most)
+        return F.aggregate(fits, F.lit(0), lambda n, k: F.when(n + k > most, n).when(equal(n, k), n + k).otherwise(n))
+
+    front = longest(lambda n, k: F.substring(a, n + 1, k) == F.substring(b, n + 1, k), size)
+    back = lambda p: longest(lambda n, k: F.substring(a, -(n + k), k) == F.substring(b, -(n + k), k), size - p)
+    return _bind(front, lambda p: F.struct(p.alias("p"), back(p).alias("q")))
+
+
 def edit_distance(left: Column, right: Column, max_edits: int) -> Column:
-    """:func:`banded_distance` of two strings, on what lies between common ends."""
-    swap = F.char_length(left) < F.char_length(right)
-    a, b = F.split(F.when(swap, right).otherwise(left), ""), F.split(F.when(swap, left).otherwise(right), "")
+    """Edit distance of two strings, right where it is at most ``max_edits``, else one more.
 
-    def ends(x: Column, y: Column) -> Column:
-        first = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
-        return F.when(first == 0, F.size(y)).otherwise(first.cast("int") - 1)
+    Decided on what lies between common ends, whose first characters differ, and whose last
+    ones do: so one edit leaves at most one character on either side, and of two edits one
+    stands at each end; :func:`banded_distance` counts more than two.
+    """
+    swap = F.char_length(left) < F.char_length(right)
+    a, b = F.when(swap, right).otherwise(left), F.when(swap, left).otherwise(right)
 
     def middle(s: Column) -> Column:
-        cut = lambda x: F.slice(x, s["p"] + 1, F.size(x) - s["p"] - s["q"])
-        return banded_distance(cut(s["a"]), cut(s["b"]), max_edits)
-
-    return _bind(F.struct(a.alias("a"), b.alias("b")), lambda s: _bind(
-        F.struct(s["a"].alias("a"), s["b"].alias("b"), ends(s["a"], s["b"]).alias("p"), ends(F.reverse(s["a"]), F.reverse(s["b"])).alias("r")),
-        lambda s: _bind(
-            F.struct(s["a"].alias("a"), s["b"].alias("b"), s["p"].alias("p"), F.least(s["r"], F.size(s["b"]) - s["p"]).alias("q")), middle
-        ),
-    ))
+        a, b, p, t = s["a"], s["b"], s["e"]["p"], max_edits
+        m, n = F.char_length(a) - p - s["e"]["q"], F.char_length(b) - p - s["e"]["q"]
+        out = F.when(m - n > t, t + 1).when(n == 0, m)
+        if t <= 2:
+            out = out.when(m == 1, 1)
+        if t == 2:
+            # An edit replaces a character (1, 1), or drops one of a (1, 0) or of b (0, 1).
+            kinds = [(1, 1), (1, 0), (0, 1)]
+            rest = lambda x, size, first, last: F.substring(x, p + 1 + first, F.greatest(size - first - last, F.lit(0)))
+            fits = [
+                (m - f[0] - l[0] == n - f[1] - l[1]) & (rest(a, m, f[0], l[0]) == rest(b, n, f[1], l[1]))
+                for f in kinds for l in kinds
+            ]
+            out = out.when(reduce(lambda x, y: x | y, fits), 2)
+        if t <= 2:
+            return out.otherwise(t + 1)
+        cut = lambda x, size: F.split(F.substring(x, p + 1, size), "")
+        return out.otherwise(banded_distance(cut(a, m), cut(b, n), t))
+
+    ended = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), common_ends(s["a"], s["b"]).alias("e"))
+    return _bind(F.struct(a.alias("a"), b.alias("b")), lambda s: _bind(ended(s), middle))
 
 
 def remainder_keys(line: Column, length: Column, group: Column, t: int) -> Column:
@@ -172,42 +202,22 @@ def line_candidates(distinct: DataFrame, max_edits: int, chars_per_edit: int) ->
     return out
 
 
-#: Pieces of a line of which all but ``max_edits`` must be found in its partner.
-PIECES = 8
-
-
-def pieces_agree(left: Column, right: Column, max_edits: int) -> Column:
-    """Whether two lines may be within ``max_edits``: an edit spoils one of PIECES pieces at most.
-
-    All other pieces of the left line stand in the right one, shifted by ``max_edits`` at most.
-    """
-    n = F.char_length(left)
-    at = [F.floor(n * j / PIECES).cast("int") for j in range(PIECES + 1)]
-    agree = F.lit(0)
-    for a, b in zip(at, at[1:], strict=False):
-        own = F.substring(left, a + 1, b - a)
-        same = [(a + 1 + s > 0) & (F.substring(right, a + 1 + s, b - a) == own) for s in sorted(range(-max_edits, max_edits + 1), key=abs)]
-        agree = agree + F.when(reduce(lambda x, y: x | y, same), 1).otherwise(0)
-    return agree >= PIECES - max_edits
-
-
 def line_links(distinct: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
     """(a, b): 128-bit hashes, as hexadecimal strings, of different lines that are alike.
 
     ``distinct``: h, h2, line, each line once. Lines of ``chars_per_edit`` characters or more
-    are alike within :func:`allowed_edits` of the shorter. A pair that meets under a key is
-    passed over where too few of its pieces agree; the banded bit-parallel edit distance
-    decides all others.
+    are alike within :func:`allowed_edits` of the shorter. Each pair that meets under a key is
+    decided inside the join, behind what tells the pair itself, so only links leave it.
     """
     found = line_candidates(distinct, max_edits, chars_per_edit)
     node = F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     found = materialize(found.select("key", "own", node.alias("node"), "line"), "line-candidates")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & ~(F.col("y.own") & (F.col("x.node") > F.col("y.node")))
     near = F.abs(F.char_length("x.line") - F.char_length("y.line")) <= max_edits
-    pairs = found.where("own").alias("x").join(found.alias("y"), met & near & pieces_agree(F.col("x.line"), F.col("y.line"), max_edits))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.line").alias("left"), F.col("y.line").alias("right")).distinct()
-    limit = allowed_edits(F.least(F.char_length("left"), F.char_length("right")), max_edits, chars_per_edit)
-    return pairs.where(edit_distance(F.col("left"), F.col("right"), max_edits) <= limit).select("a", "b")
+    limit = allowed_edits(F.least(F.char_length("x.line"), F.char_length("y.line")), max_edits, chars_per_edit)
+    alike = edit_distance(F.col("x.line"), F.col("y.line"), max_edits) <= limit
+    pairs = found.where("own").alias("x").join(found.alias("y"), met & near & alike)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", max_edits: int = 1, chars_per_edit: int = 20) -> DataFrame:

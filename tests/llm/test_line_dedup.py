@@ -144,3 +144,15 @@ def test_query_equals_brute_force(spark, tmp_path):
         left = 0 if not kept[i] and n else (kept[i] or "").count("\n") + (x is not None)
         digest = hashlib.sha256((kept[i] or "").encode()).hexdigest()
         assert got[i][0] == n and got[i][2] == digest and (not kept[i] or got[i][1] == n - left)
+
+
+def test_links_are_decided_without_taking_lines_apart(spark):
+    # The distance used to stand before all other conditions of the join, and split both lines of every pair into characters.
+    rnd = random.Random(4)
+    base = "".join(rnd.choice("abcdefgh") for _ in range(80))
+    lines = [base, base[:30] + "x" + base[31:], base[:40] + base[41:], base[:9] + "xyz" + base[12:], base[:5] + "y" + base[5:]]
+    rows = L.exploded_lines(spark.createDataFrame(list(enumerate(lines)), "row_key long, text string")).select("h", "h2", "line")
+    links = L.line_links(rows, 1, 20)
+    assert links.count() == 3
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "zip_with(" not in plan
