@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text", row.alias("row")))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", row.alias("row")), max_edits=2)
     new = {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)

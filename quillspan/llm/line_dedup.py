@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import connected_components, materialize, scratch
@@ -172,8 +172,9 @@ def remainder_keys(line: Column, length: Column, group: Column, t: int) -> Colum
     return F.when(m >= 2, F.flatten(rows)).otherwise(F.array(F.xxhash64(length, m)))
 
 
-#: Rows of a key from which on its lines are told apart by remainder keys.
-LARGE_GROUP = 16
+#: Rows of a key from which on its lines are told apart by remainder keys; at two edits, where
+#: a line has up to 198 of these, so many times more.
+LARGE_GROUP, TWO_EDITS = 16, 8
 
 
 def line_candidates(distinct: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
@@ -185,17 +186,21 @@ def line_candidates(distinct: DataFrame, max_edits: int, chars_per_edit: int) ->
     keys = segment_keys(distinct.withColumn("n", F.char_length("line")), max_edits, chars_per_edit)
     # Only keys that different lines share matter; for a key, its lines' extremes tell. Keys
     # name lines by half their hash: should two lines agree in it, both are candidates.
-    shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    alive = materialize(keys.join(shared, "key"), "line-keys")
+    # A window deals the keys once, where a group and a join would deal them twice.
+    w = Window.partitionBy("key")
+    told = keys.withColumns({"lo": F.min("h").over(w), "hi": F.max("h").over(w), "group": F.count("*").over(w)})
+    alive = materialize(told.where("lo <> hi").drop("lo", "hi"), "line-keys")
     # Only the texts of lines with such keys go on; written, so that joins know how few they are.
     names = materialize(alive.select("h").distinct(), "line-names")
     distinct = materialize(distinct.join(names, "h", "left_semi"), "live-texts")
-    alive = alive.join(alive.groupBy("key").agg(F.count("*").alias("group")), "key").join(distinct, "h")
-    out = alive.where(F.col("group") <= LARGE_GROUP).select("key", "own", "h", "h2", "line")
+    alive = alive.join(distinct, "h")
+    edits = allowed_edits(F.col("length"), max_edits, chars_per_edit)
+    many = F.col("group") > F.when(edits == 1, LARGE_GROUP).otherwise(LARGE_GROUP * TWO_EDITS)
+    out = alive.where(~many).select("key", "own", "h", "h2", "line")
     for t in range(1, max_edits + 1):
         if t > 2:
             raise ValueError("max_edits must be 1 or 2")
-        large = alive.where((F.col("group") > LARGE_GROUP) & (allowed_edits(F.col("length"), max_edits, chars_per_edit) == t))
+        large = alive.where(many & (edits == t))
         finer = large.select("h", "h2", "own", F.explode(remainder_keys(F.col("line"), F.col("length"), F.col("group"), t)).alias("key")).distinct()
         several = finer.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
         out = out.unionByName(finer.join(several, "key", "left_semi").join(distinct, ["h", "h2"]).select("key", "own", "h", "h2", "line"))
@@ -203,7 +208,7 @@ def line_candidates(distinct: DataFrame, max_edits: int, chars_per_edit: int) ->
 
 
 def line_links(distinct: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
-    """(a, b): 128-bit hashes, as hexadecimal strings, of different lines that are alike.
+    """(a, b, edits): 128-bit hashes, as hexadecimal strings, of different lines that are alike, and how far apart they are.
 
     ``distinct``: h, h2, line, each line once. Lines of ``chars_per_edit`` characters or more
     are alike within :func:`allowed_edits` of the shorter. Each pair that meets under a key is
@@ -215,55 +220,80 @@ def line_links(distinct: DataFrame, max_edits: int, chars_per_edit: int) -> Data
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & ~(F.col("y.own") & (F.col("x.node") > F.col("y.node")))
     near = F.abs(F.char_length("x.line") - F.char_length("y.line")) <= max_edits
     limit = allowed_edits(F.least(F.char_length("x.line"), F.char_length("y.line")), max_edits, chars_per_edit)
-    alike = edit_distance(F.col("x.line"), F.col("y.line"), max_edits) <= limit
-    pairs = found.where("own").alias("x").join(found.alias("y"), met & near & alike)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    edits = edit_distance(F.col("x.line"), F.col("y.line"), max_edits)
+    pairs = found.where("own").alias("x").join(found.alias("y"), met & near & (edits <= limit))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), edits.alias("edits")).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", max_edits: int = 1, chars_per_edit: int = 20) -> DataFrame:
+def line_classes(distinct: DataFrame, levels: list[int], chars_per_edit: int) -> DataFrame:
+    """h, h2, class_0, class_1 ...: the classes of lines with links, at each of ``levels`` edits, from one join."""
+    links = materialize(line_links(distinct, max(levels), chars_per_edit), "line-links")
+    out = None
+    for i, t in enumerate(levels):
+        found = connected_components(links.where(F.col("edits") <= t)).withColumnRenamed("component", f"class_{i}")
+        out = found if out is None else out.join(found, "node", "full")
+    hashes = [F.conv(F.substring("node", at, 16), 16, -10).cast("bigint").alias(name) for at, name in ((1, "h"), (17, "h2"))]
+    return out.select(*hashes, *[f"class_{i}" for i in range(len(levels))])
+
+
+def dedup_lines(
+    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", max_edits: int = 1, wider: int | None = None, chars_per_edit: int = 20
+) -> DataFrame:
     """Replace every text by its lines without those seen before; adds n_lines and n_removed.
 
     Lines are classes: equal lines of any length, and lines that chains of small edits
     connect: at most one character edit for every ``chars_per_edit`` characters of the
     shorter line, and at most ``max_edits`` (1 or 2). Of each class the first line stays (by
     smallest id, then position) and the others go, in the whole corpus; blank lines always
-    stay. Null texts stay null with no lines, empty ones are one blank line; lines and texts
-    of any length are compared whole; rows that repeat an id and text are treated alike (the
-    first of their lines stay in all of them); nulls sort before all ids; an empty table gives
-    an empty result; other columns are kept, except ``n_lines`` and ``n_removed`` in whatever
-    case, which are replaced.
+    stay. With ``wider`` (1 or 2 too) the columns wider_text and wider_removed tell what stays
+    and goes at that many edits; both come from the same join. Null texts stay null with no
+    lines, empty ones are one blank line; lines and texts of any length are compared whole;
+    rows that repeat an id and text are treated alike (the first of their lines stay in all of
+    them); nulls sort before all ids; an empty table gives an empty result; other columns are
+    kept, except those of the names that are added, in whatever case, which are replaced.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+    levels = [max_edits] if wider is None else [max_edits, wider]
+    added = ["n_lines", "n_removed"] + ["wider_text", "wider_removed"] * (wider is not None)
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("row_key"))
     with scratch(docs.sparkSession) as keep:
         distinct = materialize(exploded_lines(slim).select("h", "h2", "line").distinct(), "line-texts")
-        classes = connected_components(line_links(distinct, max_edits, chars_per_edit))
-        hashes = [F.conv(F.substring("node", at, 16), 16, -10).cast("bigint").alias(name) for at, name in ((1, "h"), (17, "h2"))]
-        classes = keep(materialize(classes.select(*hashes, "component"), "line-classes"))
+        classes = keep(materialize(line_classes(distinct, levels, chars_per_edit), "line-classes"))
     at = F.struct("id", "row_key", "pos").alias("at")
     places = exploded_lines(slim.select(F.struct("id", "row_key").alias("row_key"), "text"))
     places = places.select("h", "h2", F.col("row_key.id").alias("id"), F.col("row_key.row_key").alias("row_key"), "pos").select("h", "h2", at)
     groups = places.groupBy("h", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).join(classes, ["h", "h2"], "left")
     # Lines that occur once and have no links stay; all others are decided by their class.
-    several = materialize(groups.where("n > 1 or component is not null"), "line-groups")
-    # Written, so that its size is known when the join is planned: small, it isn't dealt by class.
-    chained = materialize(several.where("component is not null").groupBy("component").agg(F.min("first").alias("keep")), "line-chains")
-    decided = several.join(chained, "component", "left").select("h", "h2", F.coalesce("keep", "first").alias("keep"))
-    gone = places.join(decided, ["h", "h2"]).where("at <> keep").groupBy("at.row_key").agg(F.collect_set("at.pos").alias("_gone"))
+    linked = F.coalesce(*[f"class_{i}" for i in range(len(levels))]).isNotNull()
+    decided = several = materialize(groups.where((F.col("n") > 1) | linked), "line-groups")
+    for i in range(len(levels)):
+        # Written, so that its size is known when the join is planned: small, it isn't dealt by class.
+        of = several.where(F.col(f"class_{i}").isNotNull()).groupBy(f"class_{i}").agg(F.min("first").alias(f"chain_{i}"))
+        decided = decided.join(materialize(of, "line-chains"), f"class_{i}", "left")
+    decided = decided.select("h", "h2", *[F.coalesce(f"chain_{i}", "first").alias(f"keep_{i}") for i in range(len(levels))])
+    goes = [F.col("at") != F.col(f"keep_{i}") for i in range(len(levels))]
+    sets = [F.collect_set(F.when(goes[i], F.col("at.pos"))).alias(f"gone_{i}") for i in range(len(levels))]
+    gone = places.join(decided, ["h", "h2"]).where(reduce(lambda x, y: x | y, goes)).groupBy("at.row_key").agg(*sets)
     # The row travels as one struct, so that no column of it can clash with those used here.
     whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(text_col).alias("text"), key.alias("row_key"))
     out = whole.join(gone, "row_key", "left").withColumn("lines", F.split("text", NEWLINE))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), NEWLINE)
-    new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
-    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint")
-    return out.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in rows.columns], n.alias("n_lines"), removed.alias("n_removed"))
+
+    def told(i: int) -> tuple[Column, Column]:
+        less = F.coalesce(F.size(f"gone_{i}") > 0, F.lit(False))
+        left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col(f"gone_{i}"))
+        kept = F.array_join(F.transform(left, lambda k: F.get(F.col("lines"), k)), NEWLINE)
+        return F.when(less, kept).otherwise(F.col("text")), F.when(less, F.size(f"gone_{i}")).otherwise(0).cast("bigint")
+
+    new, removed = told(0)
+    more = [c.alias(name) for c, name in zip(told(1), added[2:], strict=True)] if wider is not None else []
+    return out.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in rows.columns], n.alias("n_lines"), removed.alias("n_removed"), *more)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Lines, removed lines and the digest of what stays, for every document."""
+    """Lines, removed lines and the digest of what stays, for every document: at one edit a line, and (wider) at two."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = dedup_lines(docs, max_edits=1, wider=2)
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    return out.select("doc_id", "n_lines", "n_removed", digest("text").alias("kept_sha256"), "wider_removed", digest("wider_text").alias("wider_sha256"))

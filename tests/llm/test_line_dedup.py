@@ -156,3 +156,22 @@ def test_links_are_decided_without_taking_lines_apart(spark):
     assert links.count() == 3
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "zip_with(" not in plan
+
+
+def test_query_also_tells_two_edits(spark, tmp_path):
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (25, 45, 90, 200) for _ in range(4)]
+    docs = []
+    for i in range(60):
+        lines = [list(rnd.choice(base)) for _ in range(rnd.randint(1, 6))]
+        for s in lines:
+            for _ in range(rnd.randint(0, 3)):
+                s[rnd.randrange(len(s))] = rnd.choice("xyz")
+        docs.append((i, "\n".join(map("".join, lines))))
+    docs += [(100, None), (101, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in L.op3_line_dedup(spark, str(tmp_path)).collect()}
+    digest = lambda kept: {i: hashlib.sha256((x or "").encode()).hexdigest() for i, x in kept.items()}
+    assert {i: r.kept_sha256 for i, r in got.items()} == digest(brute(docs, 1, 20))
+    assert {i: r.wider_sha256 for i, r in got.items()} == digest(brute(docs, 2, 20))
+    assert sum(r.wider_removed for r in got.values()) > sum(r.n_removed for r in got.values()) > 0
