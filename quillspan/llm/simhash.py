@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import connected_components, materialize, scratch
@@ -296,8 +296,10 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float, id_col: str,
     # A shared shingle counts if it is early enough in the smaller set of some pair.
     early = F.col("n") - F.col("pos") >= F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6
     one = F.struct("node", "n", "pos")
-    lead = [F.min(one).alias("lo"), F.max(one).alias("hi"), F.min_by(one, F.xxhash64("node")).alias("mid"), F.max(early).alias("any")]
-    alive = materialize(spread.join(spread.groupBy("shingle").agg(*lead).where("lo.node < hi.node and any").drop("any"), "shingle"), "meetings")
+    # A window deals the shingles once, where a group and a join would deal them twice, leaders and all.
+    w = Window.partitionBy("shingle")
+    lead = {"lo": F.min(one).over(w), "hi": F.max(one).over(w), "mid": F.min_by(one, F.xxhash64("node")).over(w), "any": F.max(early).over(w)}
+    alive = materialize(spread.withColumns(lead).where("lo.node < hi.node and any").drop("any"), "meetings")
     folded = rows.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
     hashed = simhash_groups(folded, width=width, id_col="id").where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     near = _similar_pairs(hashed.unionByName(_leader_pairs(alive, similarity)), rows, width, similarity)

@@ -145,3 +145,20 @@ def test_columns_of_any_name(spark):
     assert sorted((r.node, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
     assert sorted(map(tuple, S.near_duplicates_removed(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_shingles_are_dealt_once_for_their_leaders(spark, monkeypatch):
+    from quillspan.llm import simhash
+
+    plans, write = {}, simhash.materialize
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", watched)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(words[:i] + ["x"] + words[i + 1 :])) for i in range(30)] + [(40, "one two"), (41, None)]
+    out = simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()}.keys() == {i for i, _ in docs}
+    assert plans["meetings"].count("Exchange hashpartitioning(shingle") == 1
