@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import connected_components, materialize, scratch
+from quillspan.llm.common import connected_components, marked, matching, materialize, scratch
 
 NEWLINE = "\n"
 
@@ -177,23 +177,41 @@ def remainder_keys(line: Column, length: Column, group: Column, t: int) -> Colum
 LARGE_GROUP, TWO_EDITS = 16, 8
 
 
-def line_candidates(distinct: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
-    """(key, own, h, h2, line): lines under keys that at least two of them share.
+#: Copies from which on a line is frequent, and how many of the most frequent are told apart:
+#: any other line makes up no more than one in so many of all.
+FREQUENT, MOST = 16, 10_000
+
+
+def seldom_repeated(lines: DataFrame) -> DataFrame:
+    """Lines (h, h2, line) with the most frequent ones once; the others come as often as they did.
+
+    So no line's copies fill one task, though texts are not dealt, as taking each line once would do.
+    """
+    counts = lines.groupBy("h", "h2").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
+    frequent = materialize(counts.orderBy(F.desc("n"), "h", "h2").limit(MOST).select("h", "h2"), "frequent-lines")
+    few = F.broadcast(frequent)  # at most MOST rows of two numbers
+    once = lines.join(few, ["h", "h2"], "left_semi").distinct()
+    return lines.join(few, ["h", "h2"], "left_anti").unionByName(once)
+
+
+def line_candidates(lines: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
+    """(key, own, h, h2, line): lines under keys that at least two different ones share.
 
     Keys that many lines share are replaced by remainder keys, so that the many variants of
-    one line do not all meet each other.
+    one line do not all meet each other. ``lines`` (h, h2, line) may repeat.
     """
-    keys = segment_keys(distinct.withColumn("n", F.char_length("line")), max_edits, chars_per_edit)
+    lines = lines.select("h", "h2", "line").where(F.char_length("line") >= chars_per_edit)
+    keys = segment_keys(seldom_repeated(lines).withColumn("n", F.char_length("line")), max_edits, chars_per_edit)
     # Only keys that different lines share matter; for a key, its lines' extremes tell. Keys
     # name lines by half their hash: should two lines agree in it, both are candidates.
     # A window deals the keys once, where a group and a join would deal them twice.
     w = Window.partitionBy("key")
-    told = keys.withColumns({"lo": F.min("h").over(w), "hi": F.max("h").over(w), "group": F.count("*").over(w)})
-    alive = materialize(told.where("lo <> hi").drop("lo", "hi"), "line-keys")
-    # Only the texts of lines with such keys go on; written, so that joins know how few they are.
+    told = keys.withColumns({"lo": F.min("h").over(w), "hi": F.max("h").over(w)})
+    alive = materialize(told.where("lo <> hi").drop("lo", "hi").distinct(), "line-keys")
+    # Only the texts of lines with such keys are dealt; written, so that joins know how few they are.
     names = materialize(alive.select("h").distinct(), "line-names")
-    distinct = materialize(distinct.join(names, "h", "left_semi"), "live-texts")
-    alive = alive.join(distinct, "h")
+    distinct = materialize(matching(lines, names, "h").select("h", "h2", "line").distinct(), "live-texts")
+    alive = alive.withColumn("group", F.count("*").over(w)).join(distinct, "h")
     edits = allowed_edits(F.col("length"), max_edits, chars_per_edit)
     many = F.col("group") > F.when(edits == 1, LARGE_GROUP).otherwise(LARGE_GROUP * TWO_EDITS)
     out = alive.where(~many).select("key", "own", "h", "h2", "line")
@@ -207,14 +225,14 @@ def line_candidates(distinct: DataFrame, max_edits: int, chars_per_edit: int) ->
     return out
 
 
-def line_links(distinct: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
+def line_links(lines: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
     """(a, b, edits): 128-bit hashes, as hexadecimal strings, of different lines that are alike, and how far apart they are.
 
-    ``distinct``: h, h2, line, each line once. Lines of ``chars_per_edit`` characters or more
+    ``lines``: h, h2, line; they may repeat. Lines of ``chars_per_edit`` characters or more
     are alike within :func:`allowed_edits` of the shorter. Each pair that meets under a key is
     decided inside the join, behind what tells the pair itself, so only links leave it.
     """
-    found = line_candidates(distinct, max_edits, chars_per_edit)
+    found = line_candidates(lines, max_edits, chars_per_edit)
     node = F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     found = materialize(found.select("key", "own", node.alias("node"), "line"), "line-candidates")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & ~(F.col("y.own") & (F.col("x.node") > F.col("y.node")))
@@ -225,9 +243,9 @@ def line_links(distinct: DataFrame, max_edits: int, chars_per_edit: int) -> Data
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), edits.alias("edits")).distinct()
 
 
-def line_classes(distinct: DataFrame, levels: list[int], chars_per_edit: int) -> DataFrame:
+def line_classes(lines: DataFrame, levels: list[int], chars_per_edit: int) -> DataFrame:
     """h, h2, class_0, class_1 ...: the classes of lines with links, at each of ``levels`` edits, from one join."""
-    links = materialize(line_links(distinct, max(levels), chars_per_edit), "line-links")
+    links = materialize(line_links(lines, max(levels), chars_per_edit), "line-links")
     out = None
     for i, t in enumerate(levels):
         found = connected_components(links.where(F.col("edits") <= t)).withColumnRenamed("component", f"class_{i}")
@@ -258,8 +276,7 @@ def dedup_lines(
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("row_key"))
     with scratch(docs.sparkSession) as keep:
-        distinct = materialize(exploded_lines(slim).select("h", "h2", "line").distinct(), "line-texts")
-        classes = keep(materialize(line_classes(distinct, levels, chars_per_edit), "line-classes"))
+        classes = keep(materialize(line_classes(exploded_lines(slim), levels, chars_per_edit), "line-classes"))
     at = F.struct("id", "row_key", "pos").alias("at")
     places = exploded_lines(slim.select(F.struct("id", "row_key").alias("row_key"), "text"))
     places = places.select("h", "h2", F.col("row_key.id").alias("id"), F.col("row_key.row_key").alias("row_key"), "pos").select("h", "h2", at)
@@ -275,9 +292,14 @@ def dedup_lines(
     goes = [F.col("at") != F.col(f"keep_{i}") for i in range(len(levels))]
     sets = [F.collect_set(F.when(goes[i], F.col("at.pos"))).alias(f"gone_{i}") for i in range(len(levels))]
     gone = places.join(decided, ["h", "h2"]).where(reduce(lambda x, y: x | y, goes)).groupBy("at.row_key").agg(*sets)
+    # Written, as it is read twice; texts that lose no line are mostly not dealt.
+    gone = materialize(gone, "lines-gone")
     # The row travels as one struct, so that no column of it can clash with those used here.
-    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(text_col).alias("text"), key.alias("row_key"))
-    out = whole.join(gone, "row_key", "left").withColumn("lines", F.split("text", NEWLINE))
+    others = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != text_col])
+    whole = marked(rows.select(others.alias("row"), F.col(text_col).alias("text"), key.alias("row_key")), gone, "row_key")
+    unmet = [F.lit(None).cast(gone.schema[f"gone_{i}"].dataType).alias(f"gone_{i}") for i in range(len(levels))]
+    lost = whole.where("_likely").drop("_likely").join(gone, "row_key", "left")
+    out = lost.unionByName(whole.where("not _likely").drop("_likely").select("*", *unmet)).withColumn("lines", F.split("text", NEWLINE))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
 
     def told(i: int) -> tuple[Column, Column]:

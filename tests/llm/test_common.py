@@ -34,3 +34,18 @@ def test_tables_are_shared_and_can_be_cleaned_up(spark):
     assert made._quillspan_path.startswith(spark.conf.get("spark.checkpoint.dir"))
     common.cleanup(spark)
     assert not folder.exists()
+
+
+def test_sketched_joins_equal_plain_ones(spark, monkeypatch):
+    from quillspan.llm import common
+
+    rows = spark.range(2000).selectExpr("if(id % 50 = 0, null, id) as id", "cast(id % 7 as string) as other")
+    keys = spark.range(0, 4000, 9).selectExpr("id")
+    for bits in (1 << 23, 64):  # with 64 bits all rows are likely
+        monkeypatch.setattr(common, "SKETCH_BITS", bits)
+        marked = common.marked(rows, keys, "id")
+        assert marked.columns == [*rows.columns, "_likely"] and marked.count() == 2000
+        assert marked.where("_likely").count() < (300 if bits > 64 else 2001)
+        for got, how in ((common.matching, "left_semi"), (common.lacking, "left_anti")):
+            want = rows.join(keys, "id", how)
+            assert sorted(map(str, got(rows, keys, "id").collect())) == sorted(map(str, want.collect()))

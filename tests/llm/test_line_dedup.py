@@ -175,3 +175,24 @@ def test_query_also_tells_two_edits(spark, tmp_path):
     assert {i: r.kept_sha256 for i, r in got.items()} == digest(brute(docs, 1, 20))
     assert {i: r.wider_sha256 for i, r in got.items()} == digest(brute(docs, 2, 20))
     assert sum(r.wider_removed for r in got.values()) > sum(r.n_removed for r in got.values()) > 0
+
+
+def test_texts_are_dealt_only_for_lines_that_share_a_key(spark, monkeypatch):
+    # All lines' texts used to be dealt and written once each, before any key was made.
+    shown, write = {}, L.materialize
+
+    def watched(df, label):
+        out = write(df, label)
+        shown[label] = (out.count(), out.columns)
+        return out
+
+    monkeypatch.setattr(L, "materialize", watched)
+    monkeypatch.setattr(L, "FREQUENT", 3)
+    rnd = random.Random(12)
+    line = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(50))
+    common, near = line(), line()
+    docs = [(i, "\n".join([common, line(), line(), line()])) for i in range(40)] + [(90, near), (91, near[:20] + "x" + near[21:]), (92, common[1:]), (93, None), (94, near)]
+    out = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == brute(docs, 1, 20)
+    assert shown["frequent-lines"] == (1, ["h", "h2"])
+    assert shown["live-texts"][0] == 4 and [c for label, (n, c) in shown.items() if "line" in c and n > 20] == []
