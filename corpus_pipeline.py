@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from quillspan.llm.common import discard, materialize
+from quillspan.llm.common import discard, lacking, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +66,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     searched whole, an empty table gives none, other columns stay.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    digest = F.sha2("text", 256)
-    hits = decontaminate.contaminated(docs.select(digest.alias("digest"), "text"), items, id_col="digest").select("digest").distinct()
+    key = "_digest"
+    named = docs.withColumn(key, F.sha2("text", 256))
+    hits = decontaminate.contaminated(named.select(key, "text"), items, id_col=key).select(key).distinct()
     # Written, so that its size is known when the join is planned.
-    return docs.join(materialize(hits, "contaminated"), digest == F.col("digest"), "left_anti").select(docs.columns)
+    return lacking(named, materialize(hits, "contaminated"), key).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import connected_components, materialize, scratch
+from quillspan.llm.common import connected_components, discard, lacking, matching, materialize, scratch
 
 #: Length, covering radius and generator polynomial of the perfect binary Golay code.
 CODE_BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011
@@ -110,6 +110,15 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     return home.alias("h").join(probe.alias("p"), (F.col("h.anchor") == F.col("p.anchor")) & (F.col("h.node") != F.col("p.node")) & near).select(F.col("h.node").alias("a"), F.col("p.node").alias("b"))
 
 
+def print_classes(prints: DataFrame, threshold: int) -> DataFrame:
+    """print, component_id of fingerprints (id, print): the smallest id that links of ``threshold`` bits reach."""
+    with scratch(prints.sparkSession) as keep:
+        folded = materialize(prints.groupBy("print").agg(F.min("id").cast("long").alias("node")), "simhash-nodes")
+        found = connected_components(links(folded.where("node is not null"), threshold))
+        classes = folded.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+        return keep(materialize(classes, "simhash-classes"))
+
+
 def simhash_groups(docs: DataFrame, *, width: int = 3, threshold: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id_col``, ``print`` (signed long) and ``component_id`` for every row of ``docs``.
 
@@ -129,12 +138,7 @@ def simhash_groups(docs: DataFrame, *, width: int = 3, threshold: int = 2, text_
 
     kind = rows.schema[0].dataType.simpleString()
     prints = materialize(rows.mapInArrow(run, f"id {kind}, print long"), "simhash")
-    with scratch(docs.sparkSession) as keep:
-        folded = materialize(prints.groupBy("print").agg(F.min("id").cast("long").alias("node")), "simhash-nodes")
-        found = connected_components(links(folded.where("node is not null"), threshold))
-        classes = folded.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-        classes = keep(materialize(classes, "simhash-classes"))
-    return prints.join(classes, "print", "left").select(F.col("id").alias(id_col), "print", "component_id")
+    return prints.join(print_classes(prints, threshold), "print", "left").select(F.col("id").alias(id_col), "print", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
@@ -147,6 +151,8 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Counters of the sketch that orders shingles by how common they are.
 SKETCH = 1 << 20
+#: Parts of the shingles that are dealt one after the other, so that no more lies on disk at once.
+PARTS = 4
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -182,7 +188,7 @@ def _sketch_rows(width: int):
 
 
 def _prefix_rows(width: int, similarity: float, common):
-    """Arrow function (id, text) -> id, 128-bit hash of the shingle set, its size and its rarest shingles in order.
+    """Arrow function (id, text) -> id, 128-bit hash of the shingle set, its size, its rarest shingles in order, and the SimHash.
 
     A set of n shares at least similarity * n shingles with any set as similar, so the first
     shingle that both have, in one order for all sets, is among the n - ceil(similarity * n) + 1
@@ -192,17 +198,19 @@ def _prefix_rows(width: int, similarity: float, common):
     def run(batches):
         counts = common.value
         for batch in batches:
-            first, second, sizes, prefixes = [], [], [], []
+            first, second, sizes, prefixes, prints = [], [], [], [], []
             for value in batch.column(1):
-                hashes = shingle_set(value.as_py() or "", width)
+                text = value.as_py() or ""
+                hashes = shingle_set(text, width)
+                prints.append(fingerprint(text.encode(), width))
                 n, whole = len(hashes), xxhash.xxh3_128_intdigest(hashes.tobytes())
                 order = np.lexsort((hashes, counts[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]))
                 first.append(whole >> 64)
                 second.append(whole & (1 << 64) - 1)
                 sizes.append(n)
                 prefixes.append(hashes[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64))
-            cols = [batch.column(0), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (first, second)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "n", "prefix"])
+            cols = [batch.column(0), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (first, second)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "n", "prefix", "print"])
 
     return run
 
@@ -254,8 +262,8 @@ def _similar_pairs(pairs: DataFrame, rows: DataFrame, width: int, similarity: fl
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     pairs = materialize(pairs.distinct(), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(rows.join(involved, "id", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "pair-texts")
+    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    texts = materialize(matching(rows, involved, "id").select("id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "pair-texts")
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     met = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
     # Dealt anew by pair, with a fixed number of tasks: a node of many pairs is no task of its own.
@@ -268,7 +276,7 @@ def similar_groups(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
 
     Exact: texts of equal shingle sets are one node, and nodes link if the sets of their
     ``width``-word shingles have that Jaccard similarity. SimHash classes of the same shingles
-    (:func:`simhash_groups`) come first: each member is compared with its class's smallest
+    (:func:`print_classes`) come first: each member is compared with its class's smallest
     id. As fingerprints of 64 bits can't tell 0.8 from less, a second pass finds all other
     links: shingles are ordered from rare to common by a sketch of fixed size (any order is
     right, this one is fast), and every node goes to the first of its shingles, one of which
@@ -290,8 +298,12 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float, id_col: str,
     counts = np.zeros(SKETCH, np.int64)
     counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
     common = spark.sparkContext.broadcast(counts)
-    prints = materialize(rows.mapInArrow(_prefix_rows(width, similarity, common), "id long, k1 long, k2 long, n int, prefix array<long>"), "prefixes")
-    nodes = materialize(prints.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefix-nodes")
+    prints = materialize(rows.mapInArrow(_prefix_rows(width, similarity, common), "id long, k1 long, k2 long, n int, prefix array<long>, print long"), "prefixes")
+    nodes = prints.groupBy("k1", "k2").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("n", "prefix", "print")])
+    nodes = materialize(nodes, "prefix-nodes")
+    # Prefixes are by far the most of both tables, and are given up as soon as they are read.
+    ids = materialize(prints.select("id", "k1", "k2"), "prefix-ids")
+    discard(prints)
     spread = nodes.where("n > 0").select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # A shared shingle counts if it is early enough in the smaller set of some pair.
     early = F.col("n") - F.col("pos") >= F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6
@@ -299,9 +311,13 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float, id_col: str,
     # A window deals the shingles once, where a group and a join would deal them twice, leaders and all.
     w = Window.partitionBy("shingle")
     lead = {"lo": F.min(one).over(w), "hi": F.max(one).over(w), "mid": F.min_by(one, F.xxhash64("node")).over(w), "any": F.max(early).over(w)}
-    alive = materialize(spread.withColumns(lead).where("lo.node < hi.node and any").drop("any"), "meetings")
-    folded = rows.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
-    hashed = simhash_groups(folded, width=width, id_col="id").where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    parts = [spread.where(F.pmod("shingle", F.lit(PARTS)) == k).withColumns(lead).where("lo.node < hi.node and any").drop("any") for k in range(PARTS)]
+    alive = reduce(DataFrame.unionByName, [materialize(part, "meetings") for part in parts])
+    kept = materialize(nodes.select("k1", "k2", "node", "print"), "node-ids")
+    discard(nodes)
+    nodes = kept
+    hashed = nodes.join(print_classes(nodes.select(F.col("node").alias("id"), "print"), 2), "print")
+    hashed = hashed.where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
     near = _similar_pairs(hashed.unionByName(_leader_pairs(alive, similarity)), rows, width, similarity)
     placed = alive.drop("lo", "hi", "mid").join(connected_components(near), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     placed = materialize(placed, "meeting-classes")
@@ -313,7 +329,7 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float, id_col: str,
     rest = _meet(own.where("class <> main"), open_, similarity, apart).unionByName(_meet(own.where("class = main"), minor, similarity, apart))
     found = near.unionByName(_similar_pairs(rest, rows, width, similarity))
     classes = nodes.join(connected_components(found), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "component_id")
+    return ids.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,4 +340,4 @@ def near_duplicates_removed(docs: DataFrame, *, width: int = 5, similarity: floa
     groups = similar_groups(docs, width=width, similarity=similarity, id_col=id_col, text_col=text_col)
     # Written, so that its size is known when the join is planned.
     gone = materialize(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-duplicates")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return lacking(docs, gone, id_col).select(docs.columns)

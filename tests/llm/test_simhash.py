@@ -162,3 +162,24 @@ def test_shingles_are_dealt_once_for_their_leaders(spark, monkeypatch):
     out = simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in out.collect()}.keys() == {i for i, _ in docs}
     assert "Join" not in plans["meetings"] and plans["meetings"].count("Exchange hashpartitioning(shingle") == 1
+
+
+def test_shingles_are_dealt_in_parts(spark, monkeypatch):
+    # All shingles used to lie on disk at once, and all texts were dealt for their fingerprints.
+    from quillspan.llm import simhash
+
+    labels, write, gone = [], simhash.materialize, []
+
+    def watched(df, label):
+        labels.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", watched)
+    drop = simhash.discard
+    monkeypatch.setattr(simhash, "discard", lambda df: (gone.append(df.columns), drop(df)))
+    words = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(words[:i] + ["x"] + words[i + 1 :])) for i in range(20)] + [(40, "one two"), (41, None), (42, "one two")]
+    out = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == jaccard_classes([(i, t or "") for i, t in docs])
+    assert labels.count("meetings") == simhash.PARTS > 1 and "simhash" not in labels
+    assert len(gone) == 2 and all("prefix" in c for c in gone)
