@@ -93,7 +93,9 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
 
     ``distinct``: long columns ``node`` and ``print``, each fingerprint once. Every
     fingerprint goes to all anchors in reach and meets there those that are at home; they are
-    compared per anchor, inside the join.
+    compared per anchor, inside the join. Both sides are dealt: Spark sizes them by the few
+    bytes of the fingerprints, not by the tens of anchors that each becomes, so it would send
+    them through the driver.
     """
 
     def run(batches):
@@ -107,7 +109,7 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     # The lowest bit of the anchor says whether it is the fingerprint's home.
     home, probe = spread.where("anchor & 1 = 1").withColumn("anchor", F.expr("anchor >> 1")), spread.withColumn("anchor", F.expr("anchor >> 1"))
     near = F.bit_count(F.expr("h.print ^ p.print")) <= threshold
-    return home.alias("h").join(probe.alias("p"), (F.col("h.anchor") == F.col("p.anchor")) & (F.col("h.node") != F.col("p.node")) & near).select(F.col("h.node").alias("a"), F.col("p.node").alias("b"))
+    return home.alias("h").join(probe.alias("p").hint("merge"), (F.col("h.anchor") == F.col("p.anchor")) & (F.col("h.node") != F.col("p.node")) & near).select(F.col("h.node").alias("a"), F.col("p.node").alias("b"))
 
 
 def print_classes(prints: DataFrame, threshold: int) -> DataFrame:

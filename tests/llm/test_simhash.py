@@ -183,3 +183,14 @@ def test_shingles_are_dealt_in_parts(spark, monkeypatch):
     assert out == jaccard_classes([(i, t or "") for i, t in docs])
     assert labels.count("meetings") == simhash.PARTS > 1 and "simhash" not in labels
     assert len(gone) == 2 and all("prefix" in c for c in gone)
+
+
+def test_anchors_are_not_broadcast(spark):
+    rnd = random.Random(8)
+    prints = [rnd.getrandbits(64) - (1 << 63) for _ in range(100)]
+    rows = list(enumerate(prints + [p ^ 1 << rnd.randrange(60) ^ 1 << rnd.randrange(60) for p in prints]))
+    # Written, as the query does it: the size that Spark then knows is that of the file.
+    found = S.links(S.materialize(spark.createDataFrame(rows, "node long, print long"), "nodes"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    near = {frozenset((a, b)) for a, x in rows for b, y in rows if a != b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 2}
+    assert {frozenset((r.a, r.b)) for r in found.collect()} == near and len(near) >= 100
