@@ -151,3 +151,55 @@ def test_unknown_ends_are_dropped_and_views_compose(spark):
     assert see(books=False) == ([2, 3], 0) and see(books=False, hide_isolated=True) == ([], 0)
     found = nodes.where("label = 'y' or kind = 0")
     assert see(matched=found) == see() and see(matched=found, only_found=True) == ([0, 1, 3], 1)
+
+
+def islands(seed, count):
+    """Graphs without links among them, and one node number in thirteen used by each."""
+    rnd = random.Random(seed)
+    return [(x * 13 + i, y * 13 + i, w) for i in range(count) for x, y, w in bipartite(rnd.random(), 2, 3, 4, 0.8, 0.2)]
+
+
+@pytest.mark.parametrize("block", [4, 500_000])
+def test_components_that_fit_a_task_are_not_swept(spark, monkeypatch, block):
+    edges = islands(4, 9) + [(13 * 50, 13 * 51, 1.0), (13 * 51, 13 * 52, 0.5), (13 * 52, 13 * 52, 2.0)]
+    whole, q, levels = C.louvain(frame(spark, edges))
+    monkeypatch.setattr(C, "MOST_EDGES", 40)
+    monkeypatch.setattr(C, "_level", None)
+    monkeypatch.setattr(C.local_moving, "BLOCK_EDGES", block)
+    label, q_parts, levels_parts = C.louvain(frame(spark, edges))
+    got = {r.node: r.community for r in label.collect()}
+    assert got == {r.node: r.community for r in whole.collect()} and math.isclose(q, q_parts, abs_tol=1e-9) and levels == levels_parts
+    assert math.isclose(q, quality(edges, got), abs_tol=1e-9) and q >= quality(edges, one_machine(edges)) - 1e-9
+
+
+def test_larger_components_are_swept_and_others_not(spark, monkeypatch):
+    edges = islands(7, 4) + [(a + 10_000, b + 10_000, w) for a, b, w in bipartite(1, 3, 4, 12, 0.8, 0.02)]
+    monkeypatch.setattr(C, "MOST_EDGES", 40)
+    sizes, level = [], C._level
+    monkeypatch.setattr(C, "_level", lambda graph, *how: sizes.append(graph.count()) or level(graph, *how))
+    label, q, _ = C.louvain(frame(spark, edges))
+    got = {r.node: r.community for r in label.collect()}
+    assert sizes and sizes[0] == len([1 for a, *_ in edges if a >= 10_000]) and min(sizes) > 40
+    assert set(got) == {x for a, b, _ in edges for x in (a, b)} and math.isclose(q, quality(edges, got), abs_tol=1e-9)
+    assert q >= quality(edges, one_machine(edges)) - 0.01
+
+
+def test_forests_reach_what_edges_reach(spark, monkeypatch):
+    rnd = random.Random(2)
+    edges = [(a, a + rnd.randrange(1, 6), 1.0) for a in range(400) if rnd.random() < 0.7]
+    root = {x: x for a, b, _ in edges for x in (a, b)}
+    for _ in edges:
+        for a, b, _ in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(C.local_moving, "BLOCK_EDGES", 7)
+    assert {r.node: r.part for r in C._parts(frame(spark, edges)).collect()} == root
+
+
+def test_clusters_go_on_until_nothing_moves(spark, sf):
+    from quillspan.plans import graph
+
+    pairs = {(f"c{r.concept_id}", f"v{r.version_id}") for r in graph.strong(spark, sf).select("version_id", "concept_id").collect()}
+    number = {name: i for i, name in enumerate(sorted({x for p in pairs for x in p}))}
+    edges = sorted((number[c], number[v], 1.0) for c, v in pairs)
+    got = {number[r.node]: number[r.community] for r in graph.clusters(spark, sf).collect()}
+    assert quality(edges, got) >= quality(edges, one_machine(edges)) - 1e-9
