@@ -203,3 +203,17 @@ def test_clusters_go_on_until_nothing_moves(spark, sf):
     edges = sorted((number[c], number[v], 1.0) for c, v in pairs)
     got = {number[r.node]: number[r.community] for r in graph.clusters(spark, sf).collect()}
     assert quality(edges, got) >= quality(edges, one_machine(edges)) - 1e-9
+
+
+def test_merging_reads_the_edges_twice(spark):
+    edges = bipartite(5, 6, 3, 5, 0.8, 0.12)
+    labels = spark.createDataFrame([(x, x // 5) for x in sorted({b for _, b, _ in edges})], "node long, community long")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    C.merged_clusters(frame(spark, edges).mapInArrow(run, "a long, b long, w double"), labels, 3).collect()
+    assert 0 < seen.value <= 2 * len(edges)
